@@ -1,10 +1,11 @@
 """Substring dedup: word windows that also start in an earlier document are removed.
 
 Method: a Count-min sketch in front of exact grouping. Pass one has every task count the anchors of its windows in a sketch of its
-own; the merged sketch never underestimates. Pass two sends only the windows whose estimate is two or more, and groups these
+own; the merged sketch never underestimates. A later pass sends only the windows whose estimate is two or more, and groups these
 exactly. A window's anchor is the smallest hash among its short grams, so equal windows have equal anchors and no repeat is lost,
-while a sketch holds about a fifth as many items as there are windows. The sketch's width follows the input up to `max_cell_bits`;
-beyond that it lets more windows through and the result stays the same.
+while a sketch holds about a fifth as many items as there are windows. A second sketch counts the different runs of windows
+around each suspected anchor: where all documents have the same run, the run is grouped as one row in place of its windows. The
+sketches' width follows the input up to `max_cell_bits`; beyond that more windows pass and the result stays the same.
 
 Cases: null text has no words; texts of fewer than `window` words keep all; empty tables give empty tables; rows with the same id
 count as one document for "earlier"; a null id is the smallest; columns of other names are carried, not read.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, signed, span_hashes, steps, text_bytes, word_spans
+from .common import GRAM_BASES, U64, gram_hashes, id_key, keyed, mix, powers, signed, span_hashes, steps, text_bytes, word_spans
 
 _ROWS = 2
 _SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
@@ -62,48 +63,91 @@ def _count(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int)
     yield from part.flush()
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int, repeated) -> Iterator[pa.RecordBatch]:
-    held = repeated.value
+def _runs(batch: pa.RecordBatch, window: int, gram: int, bits: int, repeated: np.ndarray):
+    """Runs of windows of one document under one suspected anchor: word hashes, document, place, first word, length, anchor and content."""
+    got = _windows(batch, window, gram)
+    if not got:
+        return None
+    place, doc, h, first, anchor = got
+    a, c = _cells(anchor, bits)
+    hit = np.flatnonzero(sketch.test(repeated, a))
+    hit = hit[sketch.test(repeated, c[hit])]
+    if not len(hit):
+        return None
+    new = np.ones(len(hit), bool)
+    new[1:] = (hit[1:] != hit[:-1] + 1) | (anchor[hit[1:]] != anchor[hit[:-1]]) | (doc[hit[1:]] != doc[hit[:-1]])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(hit)))
+    at = hit[at]
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * powers(GRAM_BASES[1], len(h)), out=total[1:])
+    inverse = powers(pow(GRAM_BASES[1], -1, 2**64), len(h))
+    content = mix((total[first[at] + n + window - 1] - total[first[at]]) * inverse[first[at]] + n.astype(U64))
+    return h, doc[at], place[at], first[at], n, anchor[at], content
+
+
+def _contents(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int, repeated) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in steps(batch, "text"):
+            if got := _runs(b, window, gram, bits, repeated.value):
+                yield pa.RecordBatch.from_arrays([signed(got[5]), signed(got[6])], ["anchor", "content"])
+
+
+def _count_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    part = sketch.Partial()
+    for b in batches:
+        for cells in _cells(b.column("anchor").to_numpy(zero_copy_only=False).view(U64), bits):
+            yield from part.add(cells)
+    yield from part.flush()
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int, repeated, varied) -> Iterator[pa.RecordBatch]:
+    """A run whose anchor has one content in all documents goes as one row, other runs as a row for each window."""
     for batch in batches:
         for b in steps(batch, "text"):
-            got = _windows(b, window, gram)
+            got = _runs(b, window, gram, bits, repeated.value)
             if not got:
                 continue
-            place, doc, h, first, anchor = got
-            a, c = _cells(anchor, bits)
-            hit = np.flatnonzero(sketch.test(held, a))
-            hit = hit[sketch.test(held, c[hit])]
-            if len(hit):
-                both = [gram_hashes(h, window, base)[first[hit]] for base in GRAM_BASES]
-                take = pa.array(doc[hit])
-                yield pa.RecordBatch.from_arrays([signed(both[0]), signed(both[1]), b.column("k").take(take), b.column("t").take(take), pa.array(place[hit].astype(np.int32))], ["h1", "h2", "k", "t", "place"])
+            h, doc, place, first, n, anchor, content = got
+            one, two = _cells(anchor, bits)
+            split = sketch.test(varied.value, one) & sketch.test(varied.value, two)
+            whole, apart = np.flatnonzero(~split), np.flatnonzero(split)
+            step = np.arange(n[apart].sum()) - np.repeat(np.cumsum(n[apart]) - n[apart], n[apart])
+            wins = np.repeat(first[apart], n[apart]) + step
+            keys = [np.concatenate([x[whole], gram_hashes(h, window, base)[wins]]) for x, base in zip((anchor, content), GRAM_BASES, strict=True)]
+            take = pa.array(np.concatenate([doc[whole], np.repeat(doc[apart], n[apart])]))
+            places = np.concatenate([place[whole], np.repeat(place[apart], n[apart]) + step]).astype(np.int32)
+            length = np.concatenate([n[whole], np.ones(len(wins), np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([signed(keys[0]), signed(keys[1]), b.column("k").take(take), b.column("t").take(take), pa.array(places), pa.array(length)], ["h1", "h2", "k", "t", "place", "n"])
 
 
 def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per_word: int = 4, max_cell_bits: int = 28) -> DataFrame:
-    """(k, t, places): first words of the windows of each row of `rows` (see `keyed`) that also start in a row of smaller k."""
+    """(k, t, runs): runs (first word, count) of the windows of each row of `rows` (see `keyed`) that also start in a row of smaller k."""
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.width_for(n_bytes // 6, cells_per_word, 18, max_cell_bits)
     gram = min(gram, window)
-    partials = rows.select("text").mapInArrow(lambda it: _count(it, window, gram, bits), sketch.SCHEMA)
-    repeated = sketch.merged_bits(partials, bits)
-    found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated), "h1 long, h2 long, k long, t long, place int")
+    texts = rows.select("text")
+    repeated = sketch.merged_bits(texts.mapInArrow(lambda it: _count(it, window, gram, bits), sketch.SCHEMA), bits)
+    contents = texts.mapInArrow(lambda it: _contents(it, window, gram, bits, repeated), "anchor long, content long").distinct()
+    varied = sketch.merged_bits(contents.select("anchor").mapInArrow(lambda it: _count_anchors(it, bits), sketch.SCHEMA), bits)
+    found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated, varied), "h1 long, h2 long, k long, t long, place int, n int")
     first = found.groupBy("h1", "h2").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
     later = found.join(first, ["h1", "h2"]).filter("k > low")
-    return later.groupBy("k", "t").agg(F.collect_set("place").alias("places"))
+    return later.groupBy("k", "t").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
+        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
             raw = text.as_buffer() if text.is_valid else None
             words = raw.to_pybytes().split() if raw is not None else []
             n = len(words)
-            if places.is_valid and len(places.values):
+            if runs.is_valid and len(runs.values):
                 step = np.zeros(n + 1, np.int32)
-                at = places.values.to_numpy()
+                at, many = (runs.values.field(i).to_numpy() for i in (0, 1))
                 np.add.at(step, at, 1)
-                np.add.at(step, at + window, -1)
+                np.add.at(step, at + many - 1 + window, -1)
                 keep = np.flatnonzero(np.cumsum(step[:n]) == 0).tolist()
                 words = [words[i] for i in keep]
             kept = b" ".join(words)
@@ -118,3 +162,14 @@ def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     kind = dict(docs.dtypes)[id_col]
     marked = rows.join(repeated_windows(rows, window, **limits), ["k", "t"], "left")
     return marked.mapInArrow(lambda it: _removed(it, window), f"k long, t long, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").drop("k", "t")
+
+
+def clean(docs: DataFrame, window: int = 13, **limits: int) -> DataFrame:
+    """`docs` (columns of documents) with repeated windows taken out of the text; a text that loses nothing is left as it is."""
+    rows = keyed(docs)
+    held = docs.withColumn("k", id_key("doc_id")).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(repeated_windows(rows, window, **limits), ["k", "t"]).select("k", "t", "doc_id", "text", "runs")
+    kind = dict(docs.dtypes)["doc_id"]
+    cut = kept.mapInArrow(lambda it: _removed(it, window), f"k long, t long, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").select("k", "t", "kept_text").dropDuplicates(["k", "t"])
+    out = held.join(cut, ["k", "t"], "left").withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
