@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import exact_dedup, line_dedup, substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,39 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_windows(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup}
-
-ORACLE_SQL: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_docs(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM w WHERE len(words) >= 13)),
+        f AS (SELECT win, min(doc_id) AS low FROM s GROUP BY win HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT s.doc_id, s.i + j.j AS at FROM s JOIN f ON s.win = f.win AND s.doc_id > f.low, (SELECT unnest(generate_series(0, 12)) AS j) j),
+        p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM w),
+        kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.at) AS text, count(*) AS n FROM p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at WHERE g.at IS NULL GROUP BY p.doc_id)
+        SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op4_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, min(doc_id) AS low FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        m AS (SELECT k.*, f.low IS NOT NULL AND k.doc_id > f.low AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+}
