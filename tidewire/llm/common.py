@@ -16,7 +16,7 @@ from ..shipping import ship
 #: Null ids count as the smallest id.
 NULL_ID = -(2**63)
 #: Bytes of text that one vectorised step handles at once (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -46,13 +46,19 @@ def id_key(id_col: str) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns (doc_id, k, t, text): k orders rows, (k, t) tells apart repeated ids with different texts; null text is empty.
+    """Columns (doc_id, k, t, text): k orders rows, (k, t) tells apart repeated ids with different texts (t is a 32-bit hash of the text);
+    null text is empty.
 
     Only these columns are read, so further columns of any name do no harm.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("k"), F.hash(text).alias("t"), text.alias("text"))
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of `docs` and the keys of `keyed` as _k and _t."""
+    return docs.withColumn("_k", id_key(id_col)).withColumn("_t", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 # ---------------------------------------------------------------- arrays of text

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, keyed, steps, text_bytes
+from .common import _BYTE, U64, keyed, steps, text_bytes, with_keys
 
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 17
@@ -148,12 +148,10 @@ def identify(docs: DataFrame, rows_per_language: int = 400, id_col: str = "doc_i
     model = train(*training_rows(docs, rows_per_language, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = keyed(docs, id_col, text_col).withColumn("lettered", F.col("text").rlike(r"\p{L}")).withColumn("held_out", held_out("doc_id"))
-    return rows.mapInArrow(lambda it: _predict(it, shared), f"doc_id {dict(docs.dtypes)[id_col]}, k long, t long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lambda it: _predict(it, shared), f"doc_id {dict(docs.dtypes)[id_col]}, k long, t int, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, **options) -> DataFrame:
     """`docs` without the rows whose language is rejected."""
-    bad = identify(docs, **options).filter("rejected").select("k", "t").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.withColumn("_k", key).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(bad.withColumnsRenamed({"k": "_k", "t": "_t"}), ["_k", "_t"], "left_anti").select(*docs.columns)
+    bad = identify(docs, **options).filter("rejected").select(F.col("k").alias("_k"), F.col("t").alias("_t")).distinct()
+    return with_keys(docs).join(bad, ["_k", "_t"], "left_anti").select(*docs.columns)

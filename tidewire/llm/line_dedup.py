@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import U64, keyed, mix, span_hashes, steps, text_bytes
+from .common import U64, keyed, mix, span_hashes, steps, text_bytes, with_keys
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xCA5A826395121157))
@@ -85,11 +85,11 @@ def _suspects(batches: Iterator[pa.RecordBatch], min_chars: int, bits: int, twic
 
 def repeated_lines(rows: DataFrame, min_chars: int = 10, bits_per_line: int = 16, max_bits: int = 29) -> DataFrame:
     """(k, t, keys): digests of the line keys that each row of `rows` (see `keyed`) loses to a row of smaller k."""
-    n_lines = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    n_bytes, n_lines = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first())
     bits = sketch.width_for(n_lines, bits_per_line, 16, max_bits)
     partials = rows.select("text").mapInArrow(lambda it: _fill(it, min_chars, bits), sketch.SCHEMA)
-    twice = sketch.merged_bits(partials, bits)
-    found = rows.mapInArrow(lambda it: _suspects(it, min_chars, bits, twice), "key binary, k long, t long")
+    twice = sketch.merged_bits(partials, bits, sketch.tasks_for(n_bytes))
+    found = rows.mapInArrow(lambda it: _suspects(it, min_chars, bits, twice), "key binary, k long, t int")
     first = found.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
     return found.join(first, "key").filter("k > low").groupBy("k", "t").agg(F.collect_set("key").alias("keys"))
 
@@ -115,3 +115,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     kind = dict(docs.dtypes)[id_col]
     marked = rows.join(repeated_lines(rows, min_chars, **limits), ["k", "t"], "left").select("doc_id", "text", "keys")
     return marked.mapInArrow(lambda it: _dropped(it, min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+
+
+def clean(docs: DataFrame, min_chars: int = 10, **limits: int) -> DataFrame:
+    """`docs` (columns of documents) without the repeated lines; a text that loses none is left as it is."""
+    rows = keyed(docs)
+    hit = rows.join(repeated_lines(rows, min_chars, **limits), ["k", "t"]).select(F.struct("k", "t").alias("doc_id"), "text", "keys")
+    cut = hit.mapInArrow(lambda it: _dropped(it, min_chars), "doc_id struct<k: long, t: int>, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+    cut = cut.select(F.col("doc_id.k").alias("_k"), F.col("doc_id.t").alias("_t"), F.col("kept_text").alias("_kept")).dropDuplicates(["_k", "_t"])
+    out = with_keys(docs).join(cut, ["_k", "_t"], "left").withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -10,6 +10,7 @@ from . import exact_dedup, language_id, line_dedup, quality_rules, substring_ded
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # whole texts can be long: batches by bytes, not rows
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -98,11 +98,11 @@ def _fold(batches: Iterator[pa.RecordBatch], bits: bool) -> Iterator[pa.RecordBa
         yield from done()
 
 
-def merged_bits(partials: DataFrame, total_bits: int) -> Broadcast:
-    """Fold partial sketches (above FAN_IN tasks, in two levels) and broadcast "two or more" as a bit set of 2**total_bits cells."""
+def merged_bits(partials: DataFrame, total_bits: int, tasks: int) -> Broadcast:
+    """Fold the partial sketches of about `tasks` tasks (above FAN_IN of them, in two levels) and broadcast "two or more" as a bit set of 2**total_bits cells."""
     spark = partials.sparkSession
     n = max(1, min(1 << max(0, total_bits - CHUNK_BITS), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
-    if partials.rdd.getNumPartitions() > FAN_IN:
+    if tasks > FAN_IN:
         part = partials.withColumn("salt", F.col("salt") % FAN_IN).repartition(n * 4, "chunk", "salt").sortWithinPartitions("chunk", "salt")
         partials = part.mapInArrow(lambda it: _fold(it, False), SCHEMA)
     final = partials.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda it: _fold(it, True), SCHEMA)
@@ -114,5 +114,10 @@ def merged_bits(partials: DataFrame, total_bits: int) -> Broadcast:
     return spark.sparkContext.broadcast(bits)
 
 
+def tasks_for(n_bytes: int) -> int:
+    """How many tasks read so much text, at the usual 128 MB of file each."""
+    return n_bytes >> 27
+
+
 def test(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 != 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import GRAM_BASES, U64, gram_hashes, id_key, keyed, mix, powers, signed, span_hashes, steps, text_bytes, word_spans
+from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, with_keys, word_spans
 
 _ROWS = 2
 _SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
@@ -102,7 +102,7 @@ def _count_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
 
 
 def _suspects(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int, repeated, varied) -> Iterator[pa.RecordBatch]:
-    """A run whose anchor has one content in all documents goes as one row, other runs as a row for each window."""
+    """A run whose anchor has one content in all documents goes as one row, other runs as a row for each window. Keys have 96 bits."""
     for batch in batches:
         for b in steps(batch, "text"):
             got = _runs(b, window, gram, bits, repeated.value)
@@ -118,7 +118,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: i
             take = pa.array(np.concatenate([doc[whole], np.repeat(doc[apart], n[apart])]))
             places = np.concatenate([place[whole], np.repeat(place[apart], n[apart]) + step]).astype(np.int32)
             length = np.concatenate([n[whole], np.ones(len(wins), np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([signed(keys[0]), signed(keys[1]), b.column("k").take(take), b.column("t").take(take), pa.array(places), pa.array(length)], ["h1", "h2", "k", "t", "place", "n"])
+            yield pa.RecordBatch.from_arrays([signed(keys[0]), pa.array((keys[1] >> U64(32)).astype(np.uint32).view(np.int32)), b.column("k").take(take), b.column("t").take(take), pa.array(places), pa.array(length)], ["h1", "h2", "k", "t", "place", "n"])
 
 
 def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per_word: int = 4, max_cell_bits: int = 28) -> DataFrame:
@@ -127,10 +127,10 @@ def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per
     bits = sketch.width_for(n_bytes // 6, cells_per_word, 18, max_cell_bits)
     gram = min(gram, window)
     texts = rows.select("text")
-    repeated = sketch.merged_bits(texts.mapInArrow(lambda it: _count(it, window, gram, bits), sketch.SCHEMA), bits)
+    repeated = sketch.merged_bits(texts.mapInArrow(lambda it: _count(it, window, gram, bits), sketch.SCHEMA), bits, sketch.tasks_for(n_bytes))
     contents = texts.mapInArrow(lambda it: _contents(it, window, gram, bits, repeated), "anchor long, content long").distinct()
-    varied = sketch.merged_bits(contents.select("anchor").mapInArrow(lambda it: _count_anchors(it, bits), sketch.SCHEMA), bits)
-    found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated, varied), "h1 long, h2 long, k long, t long, place int, n int")
+    varied = sketch.merged_bits(contents.select("anchor").mapInArrow(lambda it: _count_anchors(it, bits), sketch.SCHEMA), bits, sketch.tasks_for(n_bytes))
+    found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated, varied), "h1 long, h2 int, k long, t int, place int, n int")
     first = found.groupBy("h1", "h2").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
     later = found.join(first, ["h1", "h2"]).filter("k > low")
     return later.groupBy("k", "t").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
@@ -161,15 +161,15 @@ def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     rows = keyed(docs, id_col, text_col)
     kind = dict(docs.dtypes)[id_col]
     marked = rows.join(repeated_windows(rows, window, **limits), ["k", "t"], "left")
-    return marked.mapInArrow(lambda it: _removed(it, window), f"k long, t long, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").drop("k", "t")
+    return marked.mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").drop("k", "t")
 
 
 def clean(docs: DataFrame, window: int = 13, **limits: int) -> DataFrame:
     """`docs` (columns of documents) with repeated windows taken out of the text; a text that loses nothing is left as it is."""
     rows = keyed(docs)
-    held = docs.withColumn("k", id_key("doc_id")).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = rows.join(repeated_windows(rows, window, **limits), ["k", "t"]).select("k", "t", "doc_id", "text", "runs")
     kind = dict(docs.dtypes)["doc_id"]
-    cut = kept.mapInArrow(lambda it: _removed(it, window), f"k long, t long, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").select("k", "t", "kept_text").dropDuplicates(["k", "t"])
-    out = held.join(cut, ["k", "t"], "left").withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = kept.mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    cut = cut.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("kept_text").alias("_kept")).dropDuplicates(["_k", "_t"])
+    out = with_keys(docs).join(cut, ["_k", "_t"], "left").withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
