@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, quality_rules, substring_dedup
+from . import exact_dedup, language_id, line_dedup, packing, quality_rules, substring_dedup, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_docs(spark, sf_dir))
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public vocabulary file; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenizers import Tokenizer
+
+    path = _tokenizer("word_bpe_49k.json")
+    return token_output.read_documents(spark, token_output.write_ids(_docs(spark, sf_dir), path, end_id=2), Tokenizer.from_file(path).get_vocab_size())
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), attached=True, end_id=1).drop("ids")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_docs(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
@@ -37,7 +55,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_output": op3_token_output,
     "op4_line_dedup": op4_line_dedup,
+    "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }

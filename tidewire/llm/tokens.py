@@ -1,17 +1,34 @@
 """Encoding with a public tokenizer, word by word with a bounded cache.
 
-The library's own normaliser, pre-tokenizer and model do the work; what is added is that text is cut where no pre-token can cross
-(see `WordEncoder`), so a repeated word costs a dictionary look-up. `tests/llm` holds the ids against the library's on whole texts.
-Strings of special tokens inside a text are ordinary text.
+The library's model makes the ids; what is added is that text is cut where no pre-token can cross (see `WordEncoder`), so a
+repeated word costs a dictionary look-up, and that words of Latin letters are pre-tokenized here by the tokenizer's published pattern,
+as the library's call for each word costs more than the merges. Other words go through the library's normaliser and pre-tokenizer.
+`tests/llm` holds the ids against the library's on whole texts. Strings of special tokens inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
+import regex
 
+#: The published pre-token patterns of the two kinds of vocabulary.
+PATTERN_ATTACHED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Below this character, lower case and composition are the same in every library.
+LATIN_END = "\u0130"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself where printable, else from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTERS = byte_letters()
 _TIGHT = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -22,7 +39,7 @@ class WordEncoder:
     A cut in front of a space that follows a character other than white space is safe: no pre-token pattern reads past it.
     """
 
-    def __init__(self, path: str, attached: bool, capacity: int = 300_000):
+    def __init__(self, path: str, attached: bool, capacity: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,16 +47,27 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids must fit 16 bits")
         self.attached, self.capacity = attached, capacity
+        self.pattern = regex.compile(PATTERN_ATTACHED if attached else PATTERN_WORD)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _parts(self, text: str) -> list[str]:
+        if text.isascii() and text.isprintable():
+            return [x.replace(" ", _LETTERS[32]) for x in self.pattern.findall(text)] if self.attached else self.pattern.findall(text.lower())
+        if max(text, default="") < LATIN_END:
+            found = self.pattern.findall(text if self.attached else text.lower())
+            return [x.encode().decode("latin-1").translate(_LETTERS) for x in found]
+        norm = self.tokenizer.normalizer
+        return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm.normalize_str(text) if norm else text)]
+
     def _encode(self, text: str) -> bytes:
-        norm, model, parts, out = self.tokenizer.normalizer, self.tokenizer.model, self.parts, []
-        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm.normalize_str(text) if norm else text):
+        parts, out = self.parts, []
+        for part in self._parts(text):
             ids = parts.get(part)
             if ids is None:
-                parts[part] = ids = np.array([t.id for t in model.tokenize(part)], np.uint16).tobytes()
+                parts[part] = ids = array("H", [t.id for t in self.model.tokenize(part)]).tobytes()
             out.append(ids)
         return b"".join(out)
 
@@ -52,7 +80,7 @@ class WordEncoder:
         return got
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian 16-bit integers."""
+        """The ids of a whole text as native 16-bit integers."""
         for cache in (self.words, self.whole, self.parts):
             if len(cache) > self.capacity:
                 cache.clear()
