@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, packing, quality_rules, substring_dedup, token_output
+from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +88,11 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT k.*, f.low IS NOT NULL AND k.doc_id > f.low AS gone FROM k LEFT JOIN f USING (key))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op10_jaccard_join": r"""
+        WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS class_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT class_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT class_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM c WHERE doc_id = class_id AND len(words) >= 5)),
+        n AS (SELECT class_id, count(*) AS n FROM s GROUP BY class_id),
+        b AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS n FROM s x JOIN s y ON x.shingle = y.shingle AND x.class_id <> y.class_id GROUP BY 1, 2),
+        l AS (SELECT a, count(*) AS n_links FROM b JOIN n p ON p.class_id = a JOIN n q ON q.class_id = b.b WHERE b.n >= 0.8 * (p.n + q.n - b.n) - 1e-9 GROUP BY a)
+        SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0)::BIGINT AS n_links FROM c LEFT JOIN l ON l.a = c.class_id""",
 }
