@@ -16,6 +16,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 CHUNK_BITS = 20
 FAN_IN = 256
 SCHEMA = "chunk int, salt int, once binary, twice binary"
@@ -121,3 +123,37 @@ def tasks_for(n_bytes: int) -> int:
 
 def test(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 != 0
+
+
+# ---------------------------------------------------------------- which rows need a join
+
+
+def _row_cells(b: pa.RecordBatch, bits: int) -> np.ndarray:
+    k, t = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("k", "t"))
+    return (mix(k + mix(t)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    part = Partial()
+    for b in batches:
+        cells = _row_cells(b, bits)
+        yield from part.add(np.concatenate([cells, cells]))
+    yield from part.flush()
+
+
+def _pick(batches: Iterator[pa.RecordBatch], bits: int, held: Broadcast, inside: bool) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = np.flatnonzero(test(held.value, _row_cells(b, bits)) == inside)
+        if len(rows):
+            yield b.take(pa.array(rows)) if len(rows) < b.num_rows else b
+
+
+def split(rows: DataFrame, marked: DataFrame, bits_per_row: int = 16, max_bits: int = 28) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have their (k, t) in `marked`, and rows that surely do not: only the former need to be shuffled to it.
+
+    A Bloom filter of bounded size decides; where it is too small, more rows go to the join and the result is the same.
+    """
+    n = marked.count()
+    bits = width_for(n, bits_per_row, 16, max_bits)
+    held = merged_bits(marked.select("k", "t").mapInArrow(lambda it: _mark(it, bits), SCHEMA), bits, n // 1_000_000)
+    return tuple(rows.mapInArrow(lambda it, inside=inside: _pick(it, bits, held, inside), rows.schema) for inside in (True, False))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, with_keys, word_spans
+from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, with_keys, word_spans, written
 
 _ROWS = 2
 _SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
@@ -156,20 +156,27 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())], ["k", "t", "doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
+def _judged(rows: DataFrame, marks: DataFrame, window: int, kind: str) -> DataFrame:
+    return rows.join(marks, ["k", "t"], "left").mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
 def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
     rows = keyed(docs, id_col, text_col)
     kind = dict(docs.dtypes)[id_col]
-    marked = rows.join(repeated_windows(rows, window, **limits), ["k", "t"], "left")
-    return marked.mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").drop("k", "t")
+    marks = written(repeated_windows(rows, window, **limits), "repeated-windows")
+    hit, clear = sketch.split(rows, marks)
+    none = clear.withColumn("runs", F.lit(None).cast(marks.schema["runs"].dataType))
+    whole = none.mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return _judged(hit, marks, window, kind).unionByName(whole).drop("k", "t")
 
 
 def clean(docs: DataFrame, window: int = 13, **limits: int) -> DataFrame:
     """`docs` (columns of documents) with repeated windows taken out of the text; a text that loses nothing is left as it is."""
     rows = keyed(docs)
-    kept = rows.join(repeated_windows(rows, window, **limits), ["k", "t"]).select("k", "t", "doc_id", "text", "runs")
-    kind = dict(docs.dtypes)["doc_id"]
-    cut = kept.mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    marks = written(repeated_windows(rows, window, **limits), "repeated-windows")
+    hit, _ = sketch.split(rows, marks)
+    cut = _judged(hit, marks, window, dict(docs.dtypes)["doc_id"]).filter("n_removed > 0")
     cut = cut.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("kept_text").alias("_kept")).dropDuplicates(["_k", "_t"])
     out = with_keys(docs).join(cut, ["_k", "_t"], "left").withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
