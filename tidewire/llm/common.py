@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +63,28 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.withColumn("_k", id_key(id_col)).withColumn("_t", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def tidy(fn):
+    """For functions over a task's batches: give freed memory back to the machine at the task's end, as Python workers live on."""
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        try:
+            yield from fn(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _libc is not None:
+                _libc.malloc_trim(0)
+
+    return run
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  absent from other C libraries
+except (OSError, AttributeError):
+    _libc = None
+
+
 # ---------------------------------------------------------------- arrays of text
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GRAM_BASES, NULL_ID, U64, gram_hashes, keyed, mix, signed, span_hashes, steps, text_bytes, with_keys, word_spans, written
+from .common import GRAM_BASES, NULL_ID, U64, gram_hashes, keyed, mix, signed, span_hashes, steps, text_bytes, tidy, with_keys, word_spans, written
 
 
 def runs_for(least: float, levels: int, recall: float) -> int:
@@ -38,6 +38,7 @@ def _shingles(b: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[ok], doc[: len(h)][ok]
 
 
+@tidy
 def _paths(batches: Iterator[pa.RecordBatch], words: int, runs: int, levels: int) -> Iterator[pa.RecordBatch]:
     """For each set its chosen path in each run (a hash a level), and a byte of each chosen token for a rough similarity."""
     for batch in batches:
@@ -127,6 +128,7 @@ def _sides(t: pa.Table) -> np.ndarray:
     return ~np.eye(g, dtype=bool) if side[0] < 0 else side[:, None] != side[None, :]
 
 
+@tidy
 def _wanted(batches: Iterator[pa.RecordBatch], runs: int, rough_least: float, width: int) -> Iterator[pa.RecordBatch]:
     for t in grouped(batches, _GROUP):
         run = t.column("run")[0].as_py()
@@ -143,6 +145,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], runs: int, rough_least: float, wi
             yield from t.select(["k", "t", "run", "bucket", "pair", "side"]).take(pa.array(rows)).to_batches()
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in steps(batch, "text"):
@@ -175,6 +178,7 @@ def overlaps(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@tidy
 def _links(batches: Iterator[pa.RecordBatch], runs: int, least: float) -> Iterator[pa.RecordBatch]:
     for t in grouped(batches, _GROUP):
         if t.num_rows < 2:

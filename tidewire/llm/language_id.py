@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, keyed, steps, text_bytes, with_keys
+from .common import _BYTE, U64, keyed, steps, text_bytes, tidy, with_keys
 
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 17
@@ -101,6 +101,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
     return model
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     names = pa.array([*model.languages, "und"], pa.string())

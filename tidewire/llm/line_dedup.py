@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import U64, keyed, mix, span_hashes, steps, text_bytes, with_keys
+from .common import U64, keyed, mix, span_hashes, steps, text_bytes, tidy, with_keys
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xCA5A826395121157))
@@ -55,6 +55,7 @@ def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(h ^ seed) >> U64(64 - bits)).astype(np.int64) for seed in _SEEDS]
 
 
+@tidy
 def _fill(batches: Iterator[pa.RecordBatch], min_chars: int, bits: int) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial()
     for batch in batches:
@@ -67,6 +68,7 @@ def _fill(batches: Iterator[pa.RecordBatch], min_chars: int, bits: int) -> Itera
     yield from part.flush()
 
 
+@tidy
 def _suspects(batches: Iterator[pa.RecordBatch], min_chars: int, bits: int, twice) -> Iterator[pa.RecordBatch]:
     held = twice.value
     for batch in batches:
@@ -94,6 +96,7 @@ def repeated_lines(rows: DataFrame, min_chars: int = 10, bits_per_line: int = 16
     return found.join(first, "key").filter("k > low").groupBy("k", "t").agg(F.collect_set("key").alias("keys"))
 
 
+@tidy
 def _dropped(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, mix, written
+from .common import U64, keyed, mix, tidy, written
 from .tokens import encoder
 
 HASHED = 256
@@ -58,6 +58,7 @@ def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, attached: bool, end_id: int, dims: int, bits: int) -> Iterator[pa.RecordBatch]:
     enc, end, table = encoder(tokenizer, attached), np.array([end_id], np.uint16).tobytes(), projection(dims)
     row = TaskContext.get().partitionId() << 40
@@ -71,6 +72,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, attached: bool, e
         yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), batch.column("k"), pa.array(keys), pa.array([len(x) // 2 for x in texts], pa.int64()), pa.array(texts, pa.binary())], ["row", "doc_id", "k", "place", "n", "ids"])
 
 
+@tidy
 def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for b in batches:
@@ -81,6 +83,7 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column("n")], ["row", "part", "at", "n"])
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], base: dict[int, int], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(7)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, keyed, mix, span_hashes, steps, text_bytes, word_spans, written
+from .common import _SPACE, U64, keyed, mix, span_hashes, steps, text_bytes, tidy, word_spans, written
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -61,6 +61,7 @@ def _repeated(h: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in steps(batch, "text"):

@@ -7,7 +7,7 @@ the input is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, tidy
 
 CHUNK_BITS = 20
 FAN_IN = 256
@@ -74,6 +74,7 @@ class Partial:
             yield from emit(x[first], again, self.salt)
 
 
+@tidy
 def _fold(batches: Iterator[pa.RecordBatch], bits: bool) -> Iterator[pa.RecordBatch]:
     size, now = 1 << CHUNK_BITS, None
     once = twice = None
@@ -133,6 +134,7 @@ def _row_cells(b: pa.RecordBatch, bits: int) -> np.ndarray:
     return (mix(k + mix(t)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+@tidy
 def _mark(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     part = Partial()
     for b in batches:
@@ -141,6 +143,7 @@ def _mark(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
     yield from part.flush()
 
 
+@tidy
 def _pick(batches: Iterator[pa.RecordBatch], bits: int, held: Broadcast, inside: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = np.flatnonzero(test(held.value, _row_cells(b, bits)) == inside)
@@ -148,12 +151,12 @@ def _pick(batches: Iterator[pa.RecordBatch], bits: int, held: Broadcast, inside:
             yield b.take(pa.array(rows)) if len(rows) < b.num_rows else b
 
 
-def split(rows: DataFrame, marked: DataFrame, bits_per_row: int = 16, max_bits: int = 28) -> tuple[DataFrame, DataFrame]:
-    """Rows that may have their (k, t) in `marked`, and rows that surely do not: only the former need to be shuffled to it.
+def split(rows: DataFrame, marked: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, bits_per_row: int = 16, max_bits: int = 28) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have their (k, t) in `marked`, and `then` of the rows that surely do not: only the former need to be shuffled to it.
 
     A Bloom filter of bounded size decides; where it is too small, more rows go to the join and the result is the same.
     """
     n = marked.count()
     bits = width_for(n, bits_per_row, 16, max_bits)
     held = merged_bits(marked.select("k", "t").mapInArrow(lambda it: _mark(it, bits), SCHEMA), bits, n // 1_000_000)
-    return tuple(rows.mapInArrow(lambda it, inside=inside: _pick(it, bits, held, inside), rows.schema) for inside in (True, False))
+    return rows.mapInArrow(lambda it: _pick(it, bits, held, True), rows.schema), rows.mapInArrow(lambda it: then(_pick(it, bits, held, False)), schema)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, with_keys, word_spans, written
+from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, tidy, with_keys, word_spans, written
 
 _ROWS = 2
 _SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
@@ -50,6 +51,7 @@ def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(anchor ^ seed) >> U64(64 - row)).astype(np.int64) + (i << row) for i, seed in enumerate(_SEEDS)]
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial()
     for batch in batches:
@@ -86,6 +88,7 @@ def _runs(batch: pa.RecordBatch, window: int, gram: int, bits: int, repeated: np
     return h, doc[at], place[at], first[at], n, anchor[at], content
 
 
+@tidy
 def _contents(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int, repeated) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in steps(batch, "text"):
@@ -93,6 +96,7 @@ def _contents(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: i
                 yield pa.RecordBatch.from_arrays([signed(got[5]), signed(got[6])], ["anchor", "content"])
 
 
+@tidy
 def _count_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial()
     for b in batches:
@@ -101,6 +105,7 @@ def _count_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
     yield from part.flush()
 
 
+@tidy
 def _suspects(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int, repeated, varied) -> Iterator[pa.RecordBatch]:
     """A run whose anchor has one content in all documents goes as one row, other runs as a row for each window. Keys have 96 bits."""
     for batch in batches:
@@ -136,14 +141,15 @@ def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per
     return later.groupBy("k", "t").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
 
 
+@tidy
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+        for text, runs in zip(batch.column("text"), batch.column("runs") if "runs" in batch.schema.names else repeat(None), strict=False):
             raw = text.as_buffer() if text.is_valid else None
             words = raw.to_pybytes().split() if raw is not None else []
             n = len(words)
-            if runs.is_valid and len(runs.values):
+            if runs is not None and runs.is_valid and len(runs.values):
                 step = np.zeros(n + 1, np.int32)
                 at, many = (runs.values.field(i).to_numpy() for i in (0, 1))
                 np.add.at(step, at, 1)
@@ -156,27 +162,27 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())], ["k", "t", "doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
-def _judged(rows: DataFrame, marks: DataFrame, window: int, kind: str) -> DataFrame:
-    return rows.join(marks, ["k", "t"], "left").mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+def _judged(rows: DataFrame, marks: DataFrame, window: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that may lose words, and the others."""
+    schema = f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    hit, clear = sketch.split(rows, marks, lambda it: _removed(it, window), schema)
+    return hit.join(marks, ["k", "t"], "left").mapInArrow(lambda it: _removed(it, window), schema), clear
 
 
 def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
     rows = keyed(docs, id_col, text_col)
-    kind = dict(docs.dtypes)[id_col]
     marks = written(repeated_windows(rows, window, **limits), "repeated-windows")
-    hit, clear = sketch.split(rows, marks)
-    none = clear.withColumn("runs", F.lit(None).cast(marks.schema["runs"].dataType))
-    whole = none.mapInArrow(lambda it: _removed(it, window), f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return _judged(hit, marks, window, kind).unionByName(whole).drop("k", "t")
+    hit, clear = _judged(rows, marks, window, dict(docs.dtypes)[id_col])
+    return hit.unionByName(clear).drop("k", "t")
 
 
 def clean(docs: DataFrame, window: int = 13, **limits: int) -> DataFrame:
     """`docs` (columns of documents) with repeated windows taken out of the text; a text that loses nothing is left as it is."""
     rows = keyed(docs)
     marks = written(repeated_windows(rows, window, **limits), "repeated-windows")
-    hit, _ = sketch.split(rows, marks)
-    cut = _judged(hit, marks, window, dict(docs.dtypes)["doc_id"]).filter("n_removed > 0")
+    hit, _ = _judged(rows, marks, window, dict(docs.dtypes)["doc_id"])
+    cut = hit.filter("n_removed > 0")
     cut = cut.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("kept_text").alias("_kept")).dropDuplicates(["_k", "_t"])
     out = with_keys(docs).join(cut, ["_k", "_t"], "left").withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

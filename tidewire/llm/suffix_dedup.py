@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import _BASE, _BASE_INV, _BYTE, U64, keyed, mix, powers, signed, steps, text_bytes, written
+from .common import _BASE, _BASE_INV, _BYTE, U64, keyed, mix, powers, signed, steps, text_bytes, tidy, written
 from .jaccard_join import grouped
 
 GRAM = 16
@@ -98,6 +99,7 @@ def _both(bits: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return sketch.test(bits, a) & sketch.test(bits, b)
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial()
     for batch in batches:
@@ -107,6 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int)
     yield from part.flush()
 
 
+@tidy
 def _count_keys(batches: Iterator[pa.RecordBatch], bits: int, times: int) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial()
     for b in batches:
@@ -123,6 +126,7 @@ def _suspects(b: pa.RecordBatch, length: int, span: int, bits: int, repeated) ->
     return found, g[rows]
 
 
+@tidy
 def _contents(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int, repeated) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in steps(batch, "text"):
@@ -131,6 +135,7 @@ def _contents(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: i
                 yield pa.RecordBatch.from_arrays([signed(g), signed(found.contents(length))], ["g", "c"])
 
 
+@tidy
 def _plain(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int, repeated, varied, crowded) -> Iterator[pa.RecordBatch]:
     """Rows to be counted by key: all windows of an anchor with one surrounding, or each window of a crowded one."""
     for batch in batches:
@@ -160,6 +165,7 @@ def _sorted_part(b: pa.RecordBatch, length: int, span: int, bits: int, repeated,
     return found, g[rows], found.contents(length)
 
 
+@tidy
 def _places(batches: Iterator[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in steps(batch, "text"):
@@ -169,6 +175,7 @@ def _places(batches: Iterator[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([signed(g), signed(c), b.column("k").take(take), b.column("t").take(take), pa.array(found.at - found.offs[found.doc])], ["g", "c", "k", "t", "at"])
 
 
+@tidy
 def _sample(batches: Iterator[pa.RecordBatch], prefix: int, *args) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in steps(batch, "text"):
@@ -198,6 +205,7 @@ def front_code(strings: list[bytes]) -> tuple[list[int], bytes, list[int]]:
     return shared[: len(strings)], b"".join(rest), [len(r) for r in rest]
 
 
+@tidy
 def _runs(batches: Iterator[pa.RecordBatch], length: int, span: int, splitters: list[bytes], limit: int, *args) -> Iterator[pa.RecordBatch]:
     """Sorted, front-coded runs of this task's different suffixes, cut by owner."""
     prefix = length - span + 1
@@ -299,6 +307,7 @@ def _decode(t: dict) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, n
     return strings, numbers[:, 0].tolist(), before, numbers[:, 3:], np.frombuffer(t["keys"], "<i8").reshape(-1, 2)
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch], length: int, span: int) -> Iterator[pa.RecordBatch]:
     """For each suffix of an owner's range the least and most distance at which its window is found twice or more."""
     for t in grouped(batches, ["owner"]):
@@ -370,13 +379,14 @@ def repeated_spans(rows: DataFrame, length: int = 400, span: int = 256, crowd: i
     return out.unionByName(spans).groupBy("k", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, spans in zip(b.column("text"), b.column("spans"), strict=True):
+        for text, spans in zip(b.column("text"), b.column("spans") if "spans" in b.schema.names else repeat(None), strict=False):
             raw = text.as_buffer().to_pybytes()
             n, gone, runs = len(raw), 0, 0
-            if spans.is_valid and len(spans.values):
+            if spans is not None and spans.is_valid and len(spans.values):
                 start, stop = (spans.values.field(i).to_numpy() for i in (0, 1))
                 order = np.argsort(start, kind="stable")
                 start, reach = start[order], np.maximum.accumulate(stop[order])
@@ -394,7 +404,6 @@ def dedup_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256."""
     rows = keyed(docs, id_col, text_col)
     marks = written(repeated_spans(rows, length, **limits), "repeated-spans")
-    hit, clear = sketch.split(rows, marks)
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    none = clear.withColumn("spans", F.lit(None).cast(marks.schema["spans"].dataType))
-    return hit.join(marks, ["k", "t"], "left").mapInArrow(_cut, schema).unionByName(none.mapInArrow(_cut, schema))
+    hit, clear = sketch.split(rows, marks, _cut, schema)
+    return hit.join(marks, ["k", "t"], "left").mapInArrow(_cut, schema).unionByName(clear)

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repair
-from .common import keyed, new_path
+from .common import keyed, new_path, tidy
 from .tokens import encoder
 
 
+@tidy
 def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, attached: bool, end_id: int, vocabulary: int, block_ids: int) -> Iterator[pa.RecordBatch]:
     enc, end = encoder(tokenizer, attached), np.array([end_id], np.uint16).tobytes()
     part, block, start = TaskContext.get().partitionId(), 0, 0
@@ -68,6 +69,7 @@ def write_ids(docs: DataFrame, tokenizer: str, attached: bool = False, end_id: i
     return path
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch], vocabulary: int, base: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
