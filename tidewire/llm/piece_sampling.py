@@ -2,7 +2,7 @@
 
 The vocabulary holds merge ranks, not probabilities, so a piece of rank r weighs (r + 1) ** -`sharpness`, a Zipf law; higher values
 favour frequent, long pieces less strongly varied. No piece of the vocabulary has a word start inside, so the lattice of a text
-is a chain of word lattices: forward filtering runs once a different word, and backward sampling runs for all occurrences at
+is a chain of word lattices: forward filtering runs once for each different word of a block of texts, and backward sampling runs for all occurrences at
 once, each step drawing the last piece before a place. A draw depends on the row's key, the word's place in the row and the step
 alone, so it is the same wherever and however often a row is processed.
 
@@ -25,127 +25,142 @@ from pyspark.sql import DataFrame
 from .common import U64, keyed, mix, steps, tidy
 
 MARK = "▁"
+#: Texts of about so many bytes share the lattices of their different words.
+SAMPLE_BYTES = 4 << 20
 
 
 class Lattice:
-    """The vocabulary, and for each different word its edges: for every place the pieces that end there, with cumulative shares."""
+    """The vocabulary as a trie of arrays, and the lattices of many words at once."""
 
-    def __init__(self, model: str, sharpness: float, capacity: int = 150_000):
+    def __init__(self, model: str, sharpness: float):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.vocab_size()
-        pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = [0] * 256
         self.text: list[bytes] = [b""] * n
-        self.weight: dict[str, tuple[int, float]] = {}
-        for i, p in enumerate(pieces):
+        weight: dict[str, tuple[int, float]] = {}
+        for i, p in enumerate(sp.id_to_piece(i) for i in range(n)):
             if sp.is_byte(i):
                 self.bytes[int(p[3:-1], 16)] = i
                 self.text[i] = bytes([int(p[3:-1], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in p[1:]:
-                rank = min(n, -sp.get_score(i))
-                # times a constant a character, which all segmentations share, so that long words stay in range
-                self.weight[p] = (i, (rank + 1.0) ** -sharpness * 64.0 ** len(p))
+                weight[p] = (i, -sharpness * float(np.log(min(n, -sp.get_score(i)) + 1.0)))
                 self.text[i] = p.replace(MARK, " ").encode()
-        self.starts = {p[:j] for p in self.weight for j in range(1, len(p) + 1)}
-        self.byte_weight = (n + 1.0) ** -sharpness * 64.0
-        self.capacity = capacity
-        self.words: dict[str, tuple] = {}
-
-    def word(self, w: str) -> tuple[list[int], list[float], list[int], list[int]]:
-        """For places 1..m after the word's start: edges a place, cumulative shares, and each edge's start and piece (-1: bytes)."""
-        chars = MARK + w.replace(MARK, "\0") if MARK in w else MARK + w
-        m = len(chars)
-        alpha = [0.0] * (m + 1)
-        alpha[0] = 1.0
-        ends: list[list[tuple[float, int, int]]] = [[] for _ in range(m + 1)]
-        weight, starts = self.weight, self.starts
-        for i in range(m):
-            a, known = alpha[i], False
-            if a > 1e250:  # what counts is shares, so all places may be scaled down together
-                for k in range(i, m + 1):
-                    alpha[k] *= 1e-250
-                    ends[k] = [(x * 1e-250, b, c) for x, b, c in ends[k]]
-                a = alpha[i]
-            for j in range(i + 1, m + 1):
-                p = chars[i:j]
-                if p not in starts:
-                    break
-                got = weight.get(p)
-                if got:
-                    known |= j == i + 1
-                    ends[j].append((a * got[1], i, got[0]))
-                    alpha[j] += a * got[1]
-            if not known:
-                ends[i + 1].append((a * self.byte_weight, i, -1))
-                alpha[i + 1] += a * self.byte_weight
-        counts, shares, begin, piece = [], [], [], []
-        for j in range(1, m + 1):
-            total, run = alpha[j], 0.0
-            counts.append(len(ends[j]))
-            for k, (x, i, p) in enumerate(ends[j]):
-                run = 1.0 if k == len(ends[j]) - 1 else min(1.0, run + x / total)
-                shares.append(run)
-                begin.append(i)
-                piece.append(p)
-        return counts, shares, begin, piece
+        self.weight = weight
+        self.byte_weight = -sharpness * float(np.log(n + 1.0))
+        states = {"": 0}
+        for p in sorted(weight):
+            for j in range(1, len(p) + 1):
+                states.setdefault(p[:j], len(states))
+        moves = sorted((states[p[:-1]] << 21 | ord(p[-1]), states[p]) for p in states if p)
+        self.moves, self.goal = (np.array(x, np.int64) for x in zip(*moves, strict=True))
+        self.piece = np.full(len(states), -1, np.int32)
+        self.value = np.full(len(states), -np.inf)
+        for p, (i, v) in weight.items():
+            self.piece[states[p]], self.value[states[p]] = i, v
+
+    def edges(self, code: np.ndarray, word: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For characters of words one after another: each edge's first and last character, piece (-1: bytes) and log weight."""
+        at = np.arange(len(code))
+        state = np.zeros(len(code), np.int64)
+        end = stop[word]
+        out: list[tuple[np.ndarray, ...]] = []
+        plain = np.ones(len(code), bool)
+        step = 0
+        while len(at):
+            key = state << 21 | code[at + step]
+            i = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+            ok = self.moves[i] == key
+            at, state = at[ok], self.goal[i[ok]]
+            got = self.piece[state] >= 0
+            out.append((at[got], at[got] + step, self.piece[state[got]], self.value[state[got]]))
+            if step == 0:
+                plain[at[got]] = False
+            step += 1
+            more = at + step < end[at]
+            at, state = at[more], state[more]
+        alone = np.flatnonzero(plain)  # no piece of this one character
+        out.append((alone, alone, np.full(len(alone), -1, np.int32), np.full(len(alone), self.byte_weight)))
+        return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+
+    def filtered(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Forward filtering of different words: each word's first character and end, and for edges in the order of their last
+        character: "drawn" (the last character's number plus the cumulative share among the edges that end there), first character, piece."""
+        marked = [MARK + (w.replace(MARK, "\0") if MARK in w else w) for w in words]
+        code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.array([len(w) for w in marked])
+        stop = np.cumsum(size)
+        start = stop - size
+        word = np.repeat(np.arange(len(words)), size)
+        first, last, piece, value = self.edges(code, word, start, stop)
+        # alpha is kept relative to the place before the edge's word character by character: log domain, one level of first characters at a time
+        alpha = np.full(len(code) + 1, -np.inf)
+        before = np.where(np.arange(len(code)) == start[word], -1, np.arange(len(code)) - 1)
+        depth = first - start[word[first]]
+        order = np.argsort(depth, kind="stable")
+        bounds = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+        weight = np.empty(len(first))
+        for d in range(len(bounds) - 1):
+            e = order[bounds[d] : bounds[d + 1]]
+            come = before[first[e]]
+            w = np.where(come < 0, 0.0, alpha[come]) + value[e]
+            weight[e] = w
+            alpha[last[e]] = np.logaddexp(alpha[last[e]], w)  # edges of one depth of one word end at different characters
+        order = np.lexsort((first, last))
+        first, last, piece = first[order], last[order], piece[order]
+        share = np.exp(weight[order] - alpha[last])
+        run = np.cumsum(share)
+        head = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        before_node = np.concatenate([[0.0], run])[head]
+        n_edges = np.diff(np.append(head, len(last)))
+        drawn = last + np.minimum(run - np.repeat(before_node, n_edges), 1.0)
+        drawn[np.append(head[1:], len(last)) - 1] = last[np.append(head[1:], len(last)) - 1] + 1.0
+        return start, stop, drawn, first, piece
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of one sampled segmentation of each text; `seeds` are the rows' keys."""
-        if len(self.words) > self.capacity:
-            self.words.clear()
+        if not texts:
+            return []
         split = [t.split(" ") for t in texts]
         sizes = np.array([len(s) for s in split])
         place: dict[str, int] = {}
         which = np.array([place.setdefault(w, len(place)) for s in split for w in s])
-        built = []
-        for w in place:
-            got = self.words.get(w)
-            if got is None:
-                c, s, b, p = self.word(w)
-                self.words[w] = got = (np.array(c, np.int32), np.array(s), np.array(b, np.int32), np.array(p, np.int32))
-            built.append(got)
-        # one node for each place of each different word; edges in the order of their end nodes
-        length = np.array([len(x[0]) for x in built])
-        base = np.cumsum(length) - length
-        counts, share, begin, piece = (np.concatenate([x[i] for x in built]) for i in range(4))
-        node = np.repeat(np.arange(len(counts)), counts)
-        drawn = node + np.minimum(share, 1.0 - 1e-9)  # ascending: node number and share within it
-        drawn[np.cumsum(counts) - 1] = np.arange(len(counts)) + 1.0 - 1e-12
-        occ = np.arange(len(which))
+        words = list(place)
+        start, stop, drawn, first, piece = self.filtered(words)
         row = np.repeat(np.arange(len(texts)), sizes)
-        key = mix(seeds[row] + mix((occ - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(U64)))
-        at = length[which].astype(np.int64)
-        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = mix(seeds[row] + mix(nth.astype(U64)))
+        occ = np.argsort(which, kind="stable")  # neighbours in memory are looked up together
+        at, head = stop[which[occ]], start[which[occ]]
+        n_taken = np.zeros(len(which), np.int64)
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
         step = 0
         while len(occ):
-            n = base[which[occ]] + at - 1
-            u = (mix(key[occ] + U64(0x9E3779B97F4A7C15) * U64(step + 1)) >> U64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(drawn, n + u * (1 - 1e-9), "left")
-            taken.append((occ, edge, at))
-            at = begin[edge].astype(np.int64)
-            left = at > 0
-            occ, at = occ[left], at[left]
+            u = (mix(key[occ] + U64(0x9E3779B97F4A7C15 * (step + 1) % 2**64)) >> U64(11)).astype(np.float64) * 2.0**-53
+            edge = np.searchsorted(drawn, at - 1 + u * (1 - 1e-9), "right")
+            taken.append((occ, edge))
+            n_taken[occ] += 1
+            left = first[edge] > head
+            occ, at, head = occ[left], first[edge[left]], head[left]
             step += 1
-        if not taken:
-            return [np.zeros(0, np.int32) for _ in texts]
-        o, e = (np.concatenate([t[i] for t in taken]) for i in (0, 1))
-        end = np.concatenate([t[2] for t in taken])
-        order = np.lexsort((end, o))
-        o, e, end = o[order], e[order], end[order]
+        stops = np.cumsum(n_taken)
+        e = np.empty(stops[-1], np.int64)
+        for s, (o, edge) in enumerate(taken):
+            e[stops[o] - 1 - s] = edge
         ids = piece[e]
+        ends = stops[np.cumsum(sizes) - 1]
         back = np.flatnonzero(ids < 0)
         if len(back):  # characters that go as bytes
-            words = list(place)
-            parts = [[self.bytes[x] for x in (MARK + words[which[o[i]]])[end[i] - 1].encode()] for i in back.tolist()]
+            code = [MARK + w for w in words]
+            owner = np.repeat(which, n_taken)
+            parts = [[self.bytes[x] for x in code[owner[i]][first[e[i]] - start[owner[i]]].encode()] for i in back.tolist()]
             n = np.ones(len(ids), np.int64)
             n[back] = [len(p) for p in parts]
-            out = np.repeat(ids, n)
-            out[out < 0] = [x for p in parts for x in p]
-            o = np.repeat(o, n)
-            ids = out
-        return np.split(ids, np.searchsorted(row[o], np.arange(1, len(texts))))
+            ids = np.repeat(ids, n)
+            ids[ids < 0] = [x for p in parts for x in p]
+            ends = np.cumsum(n)[ends - 1]
+        return np.split(ids, ends[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text: the word start that encoding put in front is taken away."""
@@ -165,7 +180,7 @@ def lattice(model: str, sharpness: float) -> Lattice:
 def _sampled(batches: Iterator[pa.RecordBatch], model: str, sharpness: float, seed: int) -> Iterator[pa.RecordBatch]:
     lat = lattice(model, sharpness)
     for batch in batches:
-        for b in steps(batch, "text"):
+        for b in steps(batch, "text", SAMPLE_BYTES):
             texts = b.column("text").to_pylist()
             seeds = mix(b.column("k").to_numpy(zero_copy_only=False).view(U64) + U64(seed))
             ids = lat.sample(texts, seeds)

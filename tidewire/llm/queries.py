@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_output
+from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model")).drop("ids")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_output": op3_token_output,
     "op4_line_dedup": op4_line_dedup,
+    "op5_piece_sampling": op5_piece_sampling,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
