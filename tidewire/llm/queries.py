@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output
 
 
+def use_small_batches(spark: SparkSession) -> None:
+    """Whole texts can be long: batches between the JVM and Python are bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # whole texts can be long: batches by bytes, not rows
+    use_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
