@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,13 +65,16 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def tidy(fn):
-    """For functions over a task's batches: give freed memory back to the machine at the task's end, as Python workers live on."""
+    """For functions over a task's batches: look for cyclic garbage only at the task's end (large caches make each search slow), and give
+    freed memory back to the machine then, as Python workers live on."""
 
     @functools.wraps(fn)
     def run(*args, **kwargs):
+        gc.disable()
         try:
             yield from fn(*args, **kwargs)
         finally:
+            gc.enable()
             pa.default_memory_pool().release_unused()
             if _libc is not None:
                 _libc.malloc_trim(0)
