@@ -44,7 +44,7 @@ def input_document(articles: DataFrame, discoveries: DataFrame) -> DataFrame:
     rows = articles.join(found, "article_id", "left")
     rest = F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.array("text")).otherwise(F.coalesce("descriptions", F.array().cast("array<string>")))
     parts = rows.withColumn("sections", F.concat(F.array("title"), rest))
-    ends = F.aggregate("sections", F.array().cast("array<int>"), lambda a, s: F.concat(a, F.array(F.coalesce(F.element_at(a, -1) + 2, F.lit(0)) + F.length(s))))
+    ends = F.aggregate("sections", F.array().cast("array<int>"), lambda a, s: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + 2, F.lit(0)) + F.length(s))))
     return parts.withColumn("text", F.array_join("sections", "\n\n")).withColumn("ends", ends).select("article_id", "text", "ends", F.sha2("text", 256).alias("fingerprint"))
 
 
