@@ -545,3 +545,5 @@ def _(spark, d):
     days = rows.withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("success")).groupBy(F.date_trunc("day", "ts").alias("day"), "status").agg(F.count("*").alias("n"))
     out = streams.run_to_table(days, "complete")
     return spark.read.parquet(out).drop("version")
+
+from . import annotation_queries  # noqa: E402, F401  adds its queries
