@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GRAM_BASES, NULL_ID, U64, gram_hashes, keyed, mix, signed, span_hashes, steps, text_bytes, tidy, with_keys, word_spans, written
+from . import sketch
+from .common import GRAM_BASES, NULL_ID, U64, gram_hashes, keyed, mix, signed, span_hashes, steps, text_bytes, tidy, word_spans, written
 
 
 def runs_for(least: float, levels: int, recall: float) -> int:
@@ -263,5 +264,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = links(reps.dropDuplicates(["k", "t"]), **options).select(F.struct("k", "t").alias("a"), F.struct(F.col("low_k").alias("k"), F.col("low_t").alias("t")).alias("b"))
     roots = components(found)
     later = roots.filter("node <> root").select(F.col("node.k").alias("class_k"), F.col("node.t").alias("class_t"))
-    kept = members.join(later, ["class_k", "class_t"], "left_anti").filter("k = class_k AND t = class_t").select(F.col("k").alias("_k"), F.col("t").alias("_t")).distinct()
-    return with_keys(docs).join(kept, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*docs.columns)
+    dropped = members.join(later.withColumn("late", F.lit(True)), ["class_k", "class_t"], "left").filter("late OR k <> class_k OR t <> class_t").select("k", "t")
+    twice = members.groupBy("k", "t").count().filter("count > 1").select("k", "t")
+    return sketch.without(docs, written(dropped, "join-dropped"), written(twice, "join-twice"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, keyed, steps, text_bytes, tidy, with_keys
+from .common import _BYTE, U64, keyed, steps, text_bytes, tidy
 
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 17
@@ -101,35 +101,45 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
     return model
 
 
+def scores(model: Model, texts: pa.Array, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the language (or past the last: und), calibrated score and rejection of each text (no nulls)."""
+    raw, offs = text_bytes(pc.utf8_lower(texts))
+    n, k = len(texts), len(model.languages)
+    z, size = np.zeros((n, k), np.float64), np.diff(offs)
+    total = np.zeros(n)
+    some = np.flatnonzero(size)
+    for order, bucket in _buckets(raw):
+        row = np.zeros((len(raw), k), np.float32)
+        row[: len(bucket)] = model.table[bucket]
+        for r in range(1, order):  # n-grams that would go past their document
+            last = offs[1:] - r
+            row[last[last >= offs[:-1]]] = 0
+        if len(some):
+            z[some] += np.add.reduceat(row, offs[some], axis=0)
+        total += np.maximum(size - order + 1, 0)
+    known = lettered & (k > 0)
+    if not k:
+        return np.zeros(n, int), np.zeros(n), ~known
+    p = _softmax((z / np.maximum(total, 1)[:, None] + model.bias) / model.temperature)
+    score = np.where(known, p.max(1), 0.0).astype(float)
+    return np.where(known, p.argmax(1), k), score, ~known | (score < model.reject_below)
+
+
 @tidy
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model: Model = shared.value
-    names = pa.array([*model.languages, "und"], pa.string())
-    k = len(model.languages)
+    names = pa.array([*shared.value.languages, "und"], pa.string())
     for batch in batches:
         for b in steps(batch, "text"):
-            raw, offs = text_bytes(pc.utf8_lower(b.column("text")))
-            n = b.num_rows
-            z, size = np.zeros((n, k), np.float64), np.diff(offs)
-            total = np.zeros(n)
-            some = np.flatnonzero(size)
-            for order, bucket in _buckets(raw):
-                row = np.zeros((len(raw), k), np.float32)
-                row[: len(bucket)] = model.table[bucket]
-                for r in range(1, order):  # n-grams that would go past their document
-                    last = offs[1:] - r
-                    row[last[last >= offs[:-1]]] = 0
-                if len(some):
-                    z[some] += np.add.reduceat(row, offs[some], axis=0)
-                total += np.maximum(size - order + 1, 0)
-            known = b.column("lettered").to_numpy(zero_copy_only=False) & (k > 0)
-            if k:
-                p = _softmax((z / np.maximum(total, 1)[:, None] + model.bias) / model.temperature)
-                best, score = p.argmax(1), np.where(known, p.max(1), 0.0)
-            else:
-                best, score = np.zeros(n, int), np.zeros(n)
-            lang = names.take(pa.array(np.where(known, best, k)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("t"), b.column("held_out"), lang, pa.array(score.astype(float)), pa.array(~known | (score < model.reject_below))], ["doc_id", "k", "t", "held_out", "lang_pred", "score", "rejected"])
+            lang, score, rejected = scores(shared.value, b.column("text"), b.column("lettered").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), names.take(pa.array(lang)), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+
+
+@tidy
+def _keep(batches: Iterator[pa.RecordBatch], shared, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in steps(batch, "_text"):
+            _, _, rejected = scores(shared.value, b.column("_text"), b.column("_lettered").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(~rejected)).select(columns)
 
 
 def training_rows(docs: DataFrame, rows_per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
@@ -144,15 +154,21 @@ def training_rows(docs: DataFrame, rows_per_language: int, id_col: str, text_col
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def identify(docs: DataFrame, rows_per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, k, t (see `keyed`), held_out, lang_pred, score, rejected."""
-    model = train(*training_rows(docs, rows_per_language, id_col, text_col, lang_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = keyed(docs, id_col, text_col).withColumn("lettered", F.col("text").rlike(r"\p{L}")).withColumn("held_out", held_out("doc_id"))
-    return rows.mapInArrow(lambda it: _predict(it, shared), f"doc_id {dict(docs.dtypes)[id_col]}, k long, t int, held_out boolean, lang_pred string, score double, rejected boolean")
+def _trained(docs: DataFrame, rows_per_language: int, id_col: str, text_col: str, lang_col: str):
+    return docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs, rows_per_language, id_col, text_col, lang_col)))
 
 
-def keep_known(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows whose language is rejected."""
-    bad = identify(docs, **options).filter("rejected").select(F.col("k").alias("_k"), F.col("t").alias("_t")).distinct()
-    return with_keys(docs).join(bad, ["_k", "_t"], "left_anti").select(*docs.columns)
+def identify(docs: DataFrame, rows_per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, rejected."""
+    shared = _trained(docs, rows_per_language, id_col, text_col, lang_col)
+    rows = keyed(docs, id_col, text_col).select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("lettered"), held_out("doc_id").alias("held_out"))
+    return rows.mapInArrow(lambda it: _predict(it, shared), f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, rows_per_language: int = 400) -> DataFrame:
+    """`docs` without the rows whose language is rejected; rows are judged where they are read, nothing is shuffled."""
+    keyed(docs)  # sends the package along
+    shared, columns = _trained(docs, rows_per_language, "doc_id", "text", "lang"), docs.columns
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"_text": text, "_lettered": text.rlike(r"\p{L}")})
+    return rows.mapInArrow(lambda it: _keep(it, shared, columns), docs.schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import U64, keyed, mix, span_hashes, steps, text_bytes, tidy, with_keys
+from .common import U64, keyed, mix, span_hashes, steps, text_bytes, tidy, written
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xCA5A826395121157))
@@ -96,16 +97,19 @@ def repeated_lines(rows: DataFrame, min_chars: int = 10, bits_per_line: int = 16
     return found.join(first, "key").filter("k > low").groupBy("k", "t").agg(F.collect_set("key").alias("keys"))
 
 
+def kept_lines(lines: list[bytes], gone: set[bytes], min_chars: int) -> list[bytes]:
+    return [x for x in lines if len(y := x.strip(_BLANK)) < min_chars or hashlib.blake2b(y.lower(), digest_size=16).digest() not in gone]
+
+
 @tidy
 def _dropped(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, keys in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys").to_pylist(), strict=True):
+        for text, keys in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys").to_pylist() if "keys" in batch.schema.names else repeat(None), strict=False):
             lines = text.split(b"\n")
             n = len(lines)
             if keys:
-                gone = set(keys)
-                lines = [x for x in lines if len(y := x.strip(_BLANK)) < min_chars or hashlib.blake2b(y.lower(), digest_size=16).digest() not in gone]
+                lines = kept_lines(lines, set(keys), min_chars)
                 text = b"\n".join(lines)
             out.append((n, n - len(lines), text.decode(), hashlib.sha256(text).hexdigest()))
         n, gone, kept, sha = zip(*out, strict=True) if out else ((), (), (), ())
@@ -115,16 +119,14 @@ def _dropped(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
 def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, n_dropped, kept_text, kept_sha256."""
     rows = keyed(docs, id_col, text_col)
-    kind = dict(docs.dtypes)[id_col]
-    marked = rows.join(repeated_lines(rows, min_chars, **limits), ["k", "t"], "left").select("doc_id", "text", "keys")
-    return marked.mapInArrow(lambda it: _dropped(it, min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
+    marks = written(repeated_lines(rows, min_chars, **limits), "repeated-lines")
+    hit, clear = sketch.split(rows, marks, lambda it: _dropped(it, min_chars), schema)
+    hit = hit.join(marks, ["k", "t"], "left").select("doc_id", "text", "keys")
+    return hit.mapInArrow(lambda it: _dropped(it, min_chars), schema).unionByName(clear)
 
 
 def clean(docs: DataFrame, min_chars: int = 10, **limits: int) -> DataFrame:
     """`docs` (columns of documents) without the repeated lines; a text that loses none is left as it is."""
-    rows = keyed(docs)
-    hit = rows.join(repeated_lines(rows, min_chars, **limits), ["k", "t"]).select(F.struct("k", "t").alias("doc_id"), "text", "keys")
-    cut = hit.mapInArrow(lambda it: _dropped(it, min_chars), "doc_id struct<k: long, t: int>, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
-    cut = cut.select(F.col("doc_id.k").alias("_k"), F.col("doc_id.t").alias("_t"), F.col("kept_text").alias("_kept")).dropDuplicates(["_k", "_t"])
-    out = with_keys(docs).join(cut, ["_k", "_t"], "left").withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    marks = written(repeated_lines(keyed(docs), min_chars, **limits), "repeated-lines")
+    return sketch.edited(docs, marks, "keys", lambda text, keys: b"\n".join(kept_lines(text.split(b"\n"), set(keys.as_py()), min_chars)))

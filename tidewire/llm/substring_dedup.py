@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, tidy, with_keys, word_spans, written
+from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, tidy, word_spans, written
 
 _ROWS = 2
 _SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
@@ -141,25 +141,29 @@ def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per
     return later.groupBy("k", "t").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
 
 
+def kept_words(text: bytes, runs: pa.Scalar | None, window: int) -> tuple[int, list[bytes]]:
+    """The number of words, and the words outside of the windows of `runs`."""
+    words = text.split()
+    n = len(words)
+    if runs is not None and runs.is_valid and len(runs.values):
+        step = np.zeros(n + 1, np.int32)
+        at, many = (runs.values.field(i).to_numpy() for i in (0, 1))
+        np.add.at(step, at, 1)
+        np.add.at(step, at + many - 1 + window, -1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(step[:n]) == 0).tolist()]
+    return n, words
+
+
 @tidy
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, runs in zip(batch.column("text"), batch.column("runs") if "runs" in batch.schema.names else repeat(None), strict=False):
-            raw = text.as_buffer() if text.is_valid else None
-            words = raw.to_pybytes().split() if raw is not None else []
-            n = len(words)
-            if runs is not None and runs.is_valid and len(runs.values):
-                step = np.zeros(n + 1, np.int32)
-                at, many = (runs.values.field(i).to_numpy() for i in (0, 1))
-                np.add.at(step, at, 1)
-                np.add.at(step, at + many - 1 + window, -1)
-                keep = np.flatnonzero(np.cumsum(step[:n]) == 0).tolist()
-                words = [words[i] for i in keep]
+            n, words = kept_words(text.as_buffer().to_pybytes(), runs, window)
             kept = b" ".join(words)
-            out.append((n, n - len(words), kept.decode()))
-        n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())], ["k", "t", "doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+            out.append((n, n - len(words), kept.decode(), hashlib.sha256(kept).hexdigest()))
+        n, gone, kept, sha = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["k", "t", "doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
 def _judged(rows: DataFrame, marks: DataFrame, window: int, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -179,10 +183,5 @@ def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, window: int = 13, **limits: int) -> DataFrame:
     """`docs` (columns of documents) with repeated windows taken out of the text; a text that loses nothing is left as it is."""
-    rows = keyed(docs)
-    marks = written(repeated_windows(rows, window, **limits), "repeated-windows")
-    hit, _ = _judged(rows, marks, window, dict(docs.dtypes)["doc_id"])
-    cut = hit.filter("n_removed > 0")
-    cut = cut.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("kept_text").alias("_kept")).dropDuplicates(["_k", "_t"])
-    out = with_keys(docs).join(cut, ["_k", "_t"], "left").withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    marks = written(repeated_windows(keyed(docs), window, **limits), "repeated-windows")
+    return sketch.edited(docs, marks, "runs", lambda text, runs: b" ".join(kept_words(text, runs, window)[1]))
