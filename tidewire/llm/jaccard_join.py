@@ -71,7 +71,8 @@ def buckets(paths: DataFrame, runs: int, levels: int, small: int) -> DataFrame:
     out, rest = None, each
     for d in range(1, levels + 1):
         at = rest.withColumn("bucket", F.element_at("path", d))
-        sizes = at.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        # written, so that both sides of the join are plain shuffles, whose hot buckets Spark splits
+        sizes = written(at.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
         at = at.join(sizes, "bucket")
         if d < levels:
             at = written(at.select("k", "t", "run", "path", "bucket", "size"), "join-level")

@@ -94,6 +94,7 @@ def repeated_lines(rows: DataFrame, min_chars: int = 10, bits_per_line: int = 16
     twice = sketch.merged_bits(partials, bits, sketch.tasks_for(n_bytes))
     found = rows.mapInArrow(lambda it: _suspects(it, min_chars, bits, twice), "key binary, k long, t int")
     first = found.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
+    first = written(first, "repeated-line-keys")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
     return found.join(first, "key").filter("k > low").groupBy("k", "t").agg(F.collect_set("key").alias("keys"))
 
 

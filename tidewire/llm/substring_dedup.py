@@ -137,6 +137,7 @@ def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per
     varied = sketch.merged_bits(contents.select("anchor").mapInArrow(lambda it: _count_anchors(it, bits), sketch.SCHEMA), bits, sketch.tasks_for(n_bytes))
     found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated, varied), "h1 long, h2 int, k long, t int, place int, n int")
     first = found.groupBy("h1", "h2").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
+    first = written(first, "repeated-keys")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
     later = found.join(first, ["h1", "h2"]).filter("k > low")
     return later.groupBy("k", "t").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
 

@@ -364,7 +364,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, span: int = 256, crowd: i
     located = rows.select("k", "t", "text")
 
     plain = located.mapInArrow(lambda it: _plain(it, *args), "g long, c long, k long, t int, start long, stop long")
-    again = plain.groupBy("g", "c").count().filter("count > 1").drop("count")
+    again = written(plain.groupBy("g", "c").count().filter("count > 1").drop("count"), "suffix-keys")  # as a plain side of the join, hot keys can be split
     out = plain.join(again, ["g", "c"], "left_semi").select("k", "t", "start", "stop")
 
     # Key ranges: splitters from a bounded sample of the suffixes' first bytes, which one anchor's suffixes share.
