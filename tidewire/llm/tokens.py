@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import regex
 
@@ -33,6 +34,17 @@ _TIGHT = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+class Cache(dict):
+    """Ids by word; a word that is not there yet is encoded with its prefix."""
+
+    def __init__(self, encode: Callable[[str], bytes], prefix: str):
+        self.encode, self.prefix = encode, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(self.prefix + word)
+        return ids
+
+
 class WordEncoder:
     """Encodes texts to 16-bit ids. `attached`: a word keeps the one space before it, as in byte-level BPE; else white space is dropped.
 
@@ -49,8 +61,8 @@ class WordEncoder:
         self.attached, self.capacity = attached, capacity
         self.pattern = regex.compile(PATTERN_ATTACHED if attached else PATTERN_WORD)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
+        self.words = Cache(self._encode, " " if attached else "")
+        self.whole = Cache(self._encode, "")
         self.parts: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
@@ -71,25 +83,17 @@ class WordEncoder:
             out.append(ids)
         return b"".join(out)
 
-    def _fill(self, cache: dict[str, bytes], wanted: list[str], prefix: str) -> list[bytes]:
-        got = list(map(cache.get, wanted))
-        if None in got:
-            for w in {w for w, g in zip(wanted, got, strict=True) if g is None}:
-                cache[w] = self._encode(prefix + w)
-            got = list(map(cache.__getitem__, wanted))
-        return got
-
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as native 16-bit integers."""
         for cache in (self.words, self.whole, self.parts):
             if len(cache) > self.capacity:
                 cache.clear()
         if not self.attached:
-            return b"".join(self._fill(self.words, text.replace("\n", " ").split(" "), ""))
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         if _TIGHT.search(text) or text.startswith(" "):
-            return b"".join(self._fill(self.whole, _CUT.split(text), ""))
+            return b"".join(map(self.whole.__getitem__, _CUT.split(text)))
         first, *rest = text.split(" ")
-        return b"".join([*self._fill(self.whole, [first], ""), *self._fill(self.words, rest, " ")])
+        return self.whole[first] + b"".join(map(self.words.__getitem__, rest))
 
 
 _held: dict[tuple, WordEncoder] = {}
