@@ -546,4 +546,4 @@ def _(spark, d):
     out = streams.run_to_table(days, "complete")
     return spark.read.parquet(out).drop("version")
 
-from . import annotation_queries, catalogue_queries  # noqa: E402, F401  add their queries
+from . import annotation_queries, catalogue_queries, upkeep_queries  # noqa: E402, F401  add their queries
