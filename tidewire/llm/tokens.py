@@ -51,7 +51,7 @@ class WordEncoder:
     A cut in front of a space that follows a character other than white space is safe: no pre-token pattern reads past it.
     """
 
-    def __init__(self, path: str, attached: bool, capacity: int = 600_000):
+    def __init__(self, path: str, attached: bool, capacity: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
