@@ -64,12 +64,22 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.withColumn("_k", id_key(id_col)).withColumn("_t", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+#: What tasks of one function keep between them (encoders with their words, lattices). A task of another function drops it, as Python
+#: workers are used again for later stages, which need the memory.
+task_caches: dict = {}
+_owner: list[str] = [""]
+
+
 def tidy(fn):
-    """For functions over a task's batches: look for cyclic garbage only at the task's end (large caches make each search slow), and give
+    """For functions over a task's batches: drop what other functions' tasks have kept, look for cyclic garbage only at the task's end (large caches make each search slow), and give
     freed memory back to the machine then, as Python workers live on."""
 
     @functools.wraps(fn)
     def run(*args, **kwargs):
+        if _owner[0] != fn.__qualname__:
+            task_caches.clear()
+            _owner[0] = fn.__qualname__
+            gc.collect()
         gc.disable()
         try:
             yield from fn(*args, **kwargs)

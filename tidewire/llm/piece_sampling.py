@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, keyed, mix, steps, tidy
+from .common import U64, keyed, mix, steps, task_caches, tidy
 
 MARK = "▁"
 #: Texts of about so many bytes share the lattices of their different words.
@@ -167,13 +167,11 @@ class Lattice:
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]
 
 
-_held: dict[tuple, Lattice] = {}
-
-
 def lattice(model: str, sharpness: float) -> Lattice:
-    if (model, sharpness) not in _held:
-        _held[model, sharpness] = Lattice(model, sharpness)
-    return _held[model, sharpness]
+    """One lattice a Python worker, kept from task to task."""
+    if (model, sharpness) not in task_caches:
+        task_caches[model, sharpness] = Lattice(model, sharpness)
+    return task_caches[model, sharpness]
 
 
 @tidy

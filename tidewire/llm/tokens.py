@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 import regex
 
+from .common import task_caches
+
 #: The published pre-token patterns of the two kinds of vocabulary.
 PATTERN_ATTACHED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,7 +53,7 @@ class WordEncoder:
     A cut in front of a space that follows a character other than white space is safe: no pre-token pattern reads past it.
     """
 
-    def __init__(self, path: str, attached: bool, capacity: int = 1_200_000):
+    def __init__(self, path: str, attached: bool, capacity: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -96,11 +98,8 @@ class WordEncoder:
         return self.whole[first] + b"".join(map(self.words.__getitem__, rest))
 
 
-_held: dict[tuple, WordEncoder] = {}
-
-
 def encoder(path: str, attached: bool) -> WordEncoder:
-    """One encoder a Python worker."""
-    if (path, attached) not in _held:
-        _held[path, attached] = WordEncoder(path, attached)
-    return _held[path, attached]
+    """One encoder a Python worker, kept from task to task."""
+    if (path, attached) not in task_caches:
+        task_caches[path, attached] = WordEncoder(path, attached)
+    return task_caches[path, attached]
