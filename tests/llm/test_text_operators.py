@@ -317,6 +317,19 @@ def test_jaccard_join(request, table, options):
     assert {r["doc_id"] for r in jaccard_join.keep_one(df, **options).collect()} == kept
 
 
+@pytest.mark.parametrize("options", [{}, {"small": 1, "block": 2}])
+def test_keep_one_of_stars_whose_centre_has_the_largest_id(spark, options):
+    rows = []
+    for s in range(30):
+        words = [f"s{s}w{i}" for i in range(100)]
+        edited = [[f"e{c}" if i in (10 + 20 * c, 20 + 20 * c) else w for i, w in enumerate(words)] for c in range(4)]
+        rows += [(10 * s + c, " ".join(w)) for c, w in enumerate([*edited, words])]
+    first, linked = brute_links([(i, x.encode()) for i, x in rows])
+    assert sorted(len(linked[x]) for x in first) == [1] * 120 + [4] * 30  # satellites are linked to the centre alone
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(df, **options).collect()) == [10 * s for s in range(30)]
+
+
 def test_empty_tables(spark, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     results = [

@@ -180,6 +180,17 @@ def overlaps(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def smallest_connected(linked: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each row the row of its component under `linked` that comes first in `order`."""
+    label = np.argsort(order)
+    while True:
+        near = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        near = near[order[near]]
+        if (near == label).all():
+            return order[label]
+        label = near
+
+
 @tidy
 def _links(batches: Iterator[pa.RecordBatch], runs: int, least: float) -> Iterator[pa.RecordBatch]:
     for t in grouped(batches, _GROUP):
@@ -193,15 +204,13 @@ def _links(batches: Iterator[pa.RecordBatch], runs: int, least: float) -> Iterat
         rows = np.flatnonzero(count)
         if len(rows):
             k, h = t.column("k").to_numpy(), t.column("t").to_numpy()
-            order = np.lexsort((h, k))
-            rank = np.argsort(order)
-            low = order[np.where(linked[rows], rank[None, :], len(rank)).min(1)]
-            low = np.where(rank[low] < rank[rows], low, rows)
+            low = smallest_connected(linked, np.lexsort((h, k)))[rows]
             yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(h[rows]), pa.array(count[rows]), pa.array(k[low]), pa.array(h[low])], ["k", "t", "n", "low_k", "low_t"])
 
 
 def links(reps: DataFrame, words: int = 5, least: float = 0.8, recall: float = 0.999, levels: int = 3, small: int = 64, block: int = 256) -> DataFrame:
-    """(k, t, n, low_k, low_t), several rows a set: links found in one bucket, and the smallest linked row. `reps`: k, t, text of different texts."""
+    """(k, t, n, low_k, low_t), several rows a set: links found in one bucket, and the smallest row that links of
+    the bucket connect it to, directly or by way of others. `reps`: k, t, text of different texts."""
     runs = runs_for(least, levels, recall)
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paths = written(reps.mapInArrow(lambda it: _paths(it, words, runs, levels), "k long, t int, rough binary, paths array<long>"), "join-paths")
