@@ -241,6 +241,42 @@ def test_piece_sampling_draws_the_lattice_distribution():
     assert set(drawn) <= set(found) and max(abs(drawn[s] / n - p / total) for s, p in found.items()) < 0.02
 
 
+@pytest.mark.parametrize("text", ["  the", "   on", "a  in ", "\t    x"])
+def test_piece_sampling_draws_the_lattice_distribution_of_runs_of_spaces(text):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, lat = sentencepiece.SentencePieceProcessor(model_file=path), piece_sampling.Lattice(path, 1.0)
+    n = sp.vocab_size()
+    pieces = {sp.id_to_piece(i): (i, 1 / (min(n, -sp.get_score(i)) + 1)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    chars, found = (" " + text).replace(" ", piece_sampling.MARK), {}
+
+    def walk(i, path, p):
+        if i == len(chars):
+            found[tuple(path)] = p
+            return
+        for j in range(i + 1, len(chars) + 1):
+            if chars[i:j] in pieces:
+                walk(j, [*path, pieces[chars[i:j]][0]], p * pieces[chars[i:j]][1])
+            elif j == i + 1:
+                walk(j, [*path, *(lat.bytes[x] for x in chars[i].encode())], p / (n + 1))
+
+    walk(0, [], 1.0)
+    n_drawn, total = 20_000, sum(found.values())
+    drawn = Counter(tuple(x.tolist()) for x in lat.sample([text] * n_drawn, np.arange(n_drawn, dtype=np.uint64)))
+    assert set(drawn) <= set(found) and max(abs(drawn[s] / n_drawn - p / total) for s, p in found.items()) < 0.02
+    assert all(lat.decode(np.array(s)) == text.encode() for s in drawn)
+
+
+def test_piece_sampling_gives_indents_their_pieces():
+    lat = piece_sampling.Lattice(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    texts = ["def f():\n" + " " * n + "return  1" + " " * n for n in range(40)] + [" " * n for n in range(40)]
+    ids = lat.sample(texts, np.arange(len(texts), dtype=np.uint64))
+    assert [lat.decode(x).decode() for x in ids] == texts
+    runs = [i for p, (i, _) in lat.weight.items() if len(p) > 1 and not p.strip(piece_sampling.MARK)]
+    assert len(runs) == 14 and set(runs) <= {i for x in ids for i in x.tolist()}
+
+
 def test_language_id_on_held_out_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in df.select("doc_id", "lang").collect()}

@@ -1,8 +1,9 @@
 """SentencePiece segmentations sampled by forward filtering and backward sampling over the piece lattice; decoding is lossless.
 
 The vocabulary holds merge ranks, not probabilities, so a piece of rank r weighs (r + 1) ** -`sharpness`, a Zipf law; higher values
-favour frequent, long pieces less strongly varied. No piece of the vocabulary has a word start inside, so the lattice of a text
-is a chain of word lattices: forward filtering runs once for each different word of a block of texts, and backward sampling runs for all occurrences at
+favour frequent, long pieces less strongly varied; the runs of word starts, whose scores are no ranks, weigh as the last rank. No piece
+of the vocabulary has a word start after another character, so the lattice of a text is a chain of word lattices, a word having all spaces
+before it: forward filtering runs once for each different word of a block of texts, and backward sampling runs for all occurrences at
 once, each step drawing the last piece before a place. A draw depends on the row's key, the word's place in the row and the step
 alone, so it is the same wherever and however often a row is processed.
 
@@ -15,6 +16,7 @@ alike; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from .common import U64, keyed, mix, steps, task_caches, tidy
 MARK = "▁"
 #: Texts of about so many bytes share the lattices of their different words.
 SAMPLE_BYTES = 4 << 20
+#: A word with the spaces before it, but for the first, which every word has.
+WORDS = re.compile(" ( *[^ ]*)")
 
 
 class Lattice:
@@ -44,7 +48,9 @@ class Lattice:
             if sp.is_byte(i):
                 self.bytes[int(p[3:-1], 16)] = i
                 self.text[i] = bytes([int(p[3:-1], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in p[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                if MARK in p.lstrip(MARK):
+                    raise ValueError(f"piece {p!r} has a word start after another character")
                 weight[p] = (i, -sharpness * float(np.log(min(n, -sp.get_score(i)) + 1.0)))
                 self.text[i] = p.replace(MARK, " ").encode()
         self.weight = weight
@@ -87,7 +93,7 @@ class Lattice:
     def filtered(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of different words: each word's first character and end, and for edges in the order of their last
         character: "drawn" (the last character's number plus the cumulative share among the edges that end there), first character, piece."""
-        marked = [MARK + (w.replace(MARK, "\0") if MARK in w else w) for w in words]
+        marked = [MARK + (w.replace(MARK, "\0") if MARK in w else w).replace(" ", MARK) for w in words]
         code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64)
         size = np.array([len(w) for w in marked])
         stop = np.cumsum(size)
@@ -122,7 +128,7 @@ class Lattice:
         """Ids of one sampled segmentation of each text; `seeds` are the rows' keys."""
         if not texts:
             return []
-        split = [t.split(" ") for t in texts]
+        split = [WORDS.findall(" " + t) for t in texts]
         sizes = np.array([len(s) for s in split])
         place: dict[str, int] = {}
         which = np.array([place.setdefault(w, len(place)) for s in split for w in s])
