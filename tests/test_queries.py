@@ -52,3 +52,13 @@ def test_entry_points_without_the_text_subpackage(spark):
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_queries_read_all_rows(spark):
+    from tidewire.sources import archive as A
+
+    run = lambda name: registry.QUERIES[name](spark, SF)
+    assert run("ingestion_timeline_whole").selectExpr("sum(n)").first()[0] == A.fetches(spark, SF).count()
+    assert run("relation_problems_whole").count() == A.table(spark, SF, "orders").count()
+    gone = A.articles(spark, SF).filter("article_id % 9 = 0").count()
+    assert run("changed_members_whole").filter("new IS NULL AND old IS NOT NULL").count() == gone > 0

@@ -81,6 +81,12 @@ def _(spark, d):
     return catalogue.changed_members(a, a.withColumn("cluster_id", F.when(F.col("article_id") % 4 == 0, F.col("cluster_id") + 1).otherwise(F.col("cluster_id"))))
 
 
+@query("changed_members_whole", "SELECT article_id, cluster_id AS old, CAST(CASE WHEN article_id % 9 <> 0 THEN cluster_id + 1 END AS VARCHAR) AS new FROM articles WHERE article_id % 9 = 0 OR article_id % 4 = 0")
+def _(spark, d):
+    a = A.articles(spark, d)
+    return catalogue.changed_members(a, a.filter("article_id % 9 <> 0").withColumn("cluster_id", F.when(F.col("article_id") % 4 == 0, F.col("cluster_id") + 1).otherwise(F.col("cluster_id")))).withColumn("new", F.col("new").cast("string"))
+
+
 @query("story_sources", """, own AS (SELECT cluster_id, feed_id, min(effective_at) AS seen FROM members GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY seen, feed_id) AS rank, min(seen) OVER (PARTITION BY cluster_id) AS start FROM own)
     SELECT cluster_id, feed_id, rank, (epoch(seen) - epoch(start)) / 60.0 AS minutes_behind FROM r WHERE rank <= 100""")
 def _(spark, d):
@@ -110,6 +116,17 @@ def _(spark, d):
     return catalogue.relation_problems(r, spark.range(1000).select(F.col("id").alias("entity_id")))
 
 
+@query("relation_problems_whole", """, r AS (SELECT o_orderkey AS relation_id, o_custkey AS a, (o_custkey * 3) % 200 AS b, CASE o_orderkey % 3 WHEN 0 THEN 'related_to' WHEN 1 THEN 'other' ELSE 'part_of' END AS label, CASE WHEN o_orderkey % 2 = 0 THEN 'n' END AS note,
+        CASE WHEN o_orderkey % 5 = 0 THEN '2010-13' ELSE '2010' END AS start, CASE WHEN o_orderkey % 7 = 0 THEN '2009-05' ELSE '2011' END AS stop FROM orders),
+    f AS (SELECT *, CASE WHEN label = 'related_to' THEN least(a, b) ELSE a END AS x, CASE WHEN label = 'related_to' THEN greatest(a, b) ELSE b END AS y FROM r)
+    SELECT relation_id, CASE WHEN a = b THEN 'self' WHEN a >= 1000 OR b >= 1000 THEN 'unknown' WHEN label = 'other' AND note IS NULL THEN 'missing_note' WHEN start = '2010-13' THEN 'bad_date' WHEN left(stop, 4) < left(start, 4) THEN 'out_of_order' WHEN relation_id <> min(relation_id) OVER (PARTITION BY x, y, label) THEN 'duplicate' END AS problem FROM f""")
+def _(spark, d):
+    o = A.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    r = o.select(key.alias("relation_id"), F.col("o_custkey").alias("a"), (F.col("o_custkey") * 3 % 200).alias("b"), F.when(key % 3 == 0, "related_to").when(key % 3 == 1, "other").otherwise("part_of").alias("label"), F.when(key % 2 == 0, "n").alias("note"), F.when(key % 5 == 0, "2010-13").otherwise("2010").alias("start"), F.when(key % 7 == 0, "2009-05").otherwise("2011").alias("end"))
+    return catalogue.relation_problems(r, spark.range(1000).select(F.col("id").alias("entity_id")))
+
+
 @query("split_mentions", """, r AS (SELECT l_orderkey AS article_id, l_partkey - l_partkey % 5 AS root_id, l_linenumber AS place, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS tagged FROM lineitem)
     SELECT article_id, coalesce(tagged, root_id) AS entity_id, count(*) AS occurrence_count, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM r GROUP BY 1, 2""")
 def _(spark, d):

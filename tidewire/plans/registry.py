@@ -109,6 +109,15 @@ def _(spark, d):
     return timelines.with_spikes(timelines.histogram(rows, "started_at", "day"))
 
 
+@query("ingestion_timeline_whole", """, n AS (SELECT date_trunc('day', started_at)::TIMESTAMP AS bucket, count(*) AS n FROM fetches GROUP BY 1),
+    s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM n), (SELECT max(bucket) FROM n), INTERVAL 1 DAY)) AS bucket),
+    z AS (SELECT bucket, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (bucket)),
+    m AS (SELECT *, avg(n) OVER w AS mean_before, count(*) OVER w = 7 AS whole FROM z WINDOW w AS (ORDER BY bucket ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+    SELECT bucket, n, mean_before, whole AND n > 0 AND n >= 2 * mean_before AS spike FROM m""")
+def _(spark, d):
+    return timelines.with_spikes(timelines.histogram(A.fetches(spark, d), "started_at", "day"))
+
+
 @query("story_timeline", """, n AS (SELECT cluster_id, date_trunc('month', effective_at)::TIMESTAMP AS bucket, count(*) AS n FROM articles GROUP BY 1, 2),
     s AS (SELECT cluster_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 MONTH)) AS bucket FROM n GROUP BY 1)
     SELECT cluster_id, bucket, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (cluster_id, bucket)""")
