@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..session import shared_dir
 from ..shipping import ship
 
 #: Null ids count as the smallest id.
@@ -23,15 +24,6 @@ STEP_BYTES = 1 << 20
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,25 +35,63 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_key(id_col: str) -> Column:
-    """Order and join key of a row: its id, null as the smallest."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """`names`, each with as many underscores as make it none of the columns of `docs`."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def id_key(docs: DataFrame, id_col: str = "doc_id") -> Column:
+    """Order and join key of a row, null as the smallest: an integral id is a long; any other orders by its text."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return F.coalesce(column(id_col).cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.concat(F.lit("1"), column(id_col).cast("string")), F.lit("0"))
+
+
+def id_of(k: Column, docs: DataFrame, id_col: str = "doc_id") -> Column:
+    """The id that `id_key` made `k` of."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, IntegralType):
+        return F.when(k != NULL_ID, k).cast(kind)
+    return F.when(k != "0", F.substring(k, 2, 2**31 - 1)).cast(kind)
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256, as 16 bytes."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns (doc_id, k, t, text): k orders rows, (k, t) tells apart repeated ids with different texts (t is a 32-bit hash of the text);
-    null text is empty.
+    """Columns (doc_id, k, t, text): k orders rows, (k, t) tells apart repeated ids with different texts (t is a 128-bit digest of the
+    text), so only rows of one id and one text share a key, which is harmless as they are treated alike; null text is empty.
 
     Only these columns are read, so further columns of any name do no harm.
     """
     ship(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("k"), F.hash(text).alias("t"), text.alias("text"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    return docs.select(column(id_col).alias("doc_id"), id_key(docs, id_col).alias("k"), text_key(text).alias("t"), text.alias("text"))
+
+
+def kind_of(rows: DataFrame, name: str = "k") -> str:
+    """A column's type as text, for the schemas of functions over batches."""
+    return rows.schema[name].dataType.simpleString()
 
 
-def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and the keys of `keyed` as _k and _t."""
-    return docs.withColumn("_k", id_key(id_col)).withColumn("_t", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """All columns of `docs` and the keys of `keyed` under names that are free, and these names."""
+    ship(docs.sparkSession)
+    k, t = spare(docs, "_k", "_t")
+    return docs.withColumns({k: id_key(docs, id_col), t: text_key(F.coalesce(column(text_col), F.lit("")))}), [k, t]
 
 
 #: What tasks of one function keep between them (encoders with their words, lattices). A task of another function drops it, as Python
@@ -126,6 +156,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def digest_words(col: pa.Array) -> np.ndarray:
+    """The first 8 bytes of each 16-byte digest of a binary column without nulls."""
+    offs = _offsets(col)
+    raw = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(col) else np.zeros(0, np.uint8)
+    return raw.view(U64)[::2]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U64(30))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import U64, keyed, mix, span_hashes, steps, text_bytes, tidy, written
+from .common import U64, keyed, kind_of, mix, span_hashes, steps, text_bytes, tidy, written
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xCA5A826395121157))
@@ -92,7 +92,7 @@ def repeated_lines(rows: DataFrame, min_chars: int = 10, bits_per_line: int = 16
     bits = sketch.width_for(n_lines, bits_per_line, 16, max_bits)
     partials = rows.select("text").mapInArrow(lambda it: _fill(it, min_chars, bits), sketch.SCHEMA)
     twice = sketch.merged_bits(partials, bits, sketch.tasks_for(n_bytes))
-    found = rows.mapInArrow(lambda it: _suspects(it, min_chars, bits, twice), "key binary, k long, t int")
+    found = rows.mapInArrow(lambda it: _suspects(it, min_chars, bits, twice), f"key binary, k {kind_of(rows)}, t binary")
     first = found.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
     first = written(first, "repeated-line-keys")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
     return found.join(first, "key").filter("k > low").groupBy("k", "t").agg(F.collect_set("key").alias("keys"))

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import U64, keyed, mix, steps, task_caches, tidy
+from .common import U64, keyed, kind_of, mix, steps, task_caches, tidy
 
 MARK = "▁"
 #: Texts of about so many bytes share the lattices of their different words.
@@ -186,7 +187,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], model: str, sharpness: float, se
     for batch in batches:
         for b in steps(batch, "text", SAMPLE_BYTES):
             texts = b.column("text").to_pylist()
-            seeds = mix(b.column("k").to_numpy(zero_copy_only=False).view(U64) + U64(seed))
+            seeds = mix(b.column("row_key").to_numpy(zero_copy_only=False).view(U64) + U64(seed))
             ids = lat.sample(texts, seeds)
             back = [lat.decode(x) for x in ids]
             wide = [x.astype("<u4").tobytes() for x in ids]
@@ -198,7 +199,8 @@ def _sampled(batches: Iterator[pa.RecordBatch], model: str, sharpness: float, se
 
 def encode(docs: DataFrame, model: str, sharpness: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_pieces, ids_crc32, decoded_sha256 (of the text decoded again), lossless, ids (32-bit little-endian)."""
-    rows = keyed(docs, id_col, text_col).select("doc_id", "k", "text")
+    rows = keyed(docs, id_col, text_col)
+    rows = rows.select("doc_id", (F.col("k") if kind_of(rows) == "bigint" else F.xxhash64("k")).alias("row_key"), "text")
     return rows.mapInArrow(lambda it: _sampled(it, model, sharpness, seed), f"doc_id {dict(docs.dtypes)[id_col]}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids binary")
 
 

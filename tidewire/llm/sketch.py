@@ -16,7 +16,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, tidy, with_keys
+from .common import column, digest_words, mix, spare, tidy, with_keys
 
 CHUNK_BITS = 20
 FAN_IN = 256
@@ -129,9 +129,8 @@ def test(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- which rows need a join
 
 
-def _row_cells(b: pa.RecordBatch, bits: int, keys: tuple[str, str] = ("k", "t")) -> np.ndarray:
-    k, t = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in keys)
-    return (mix(k + mix(t)) >> np.uint64(64 - bits)).astype(np.int64)
+def _row_cells(b: pa.RecordBatch, bits: int, key: str = "t") -> np.ndarray:
+    return (mix(digest_words(b.column(key))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @tidy
@@ -144,18 +143,18 @@ def _mark(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 
 @tidy
-def _pick(batches: Iterator[pa.RecordBatch], bits: int, held: Broadcast, inside: bool, keys: tuple[str, str] = ("k", "t")) -> Iterator[pa.RecordBatch]:
+def _pick(batches: Iterator[pa.RecordBatch], bits: int, held: Broadcast, inside: bool, key: str = "t") -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = np.flatnonzero(test(held.value, _row_cells(b, bits, keys)) == inside)
+        rows = np.flatnonzero(test(held.value, _row_cells(b, bits, key)) == inside)
         if len(rows):
             yield b.take(pa.array(rows)) if len(rows) < b.num_rows else b
 
 
 def filter_of(marked: DataFrame, bits_per_row: int = 16, max_bits: int = 28) -> tuple[int, Broadcast]:
-    """A Bloom filter of the (k, t) in `marked`, of bounded size; where that is too small it lets more rows pass."""
+    """A Bloom filter of the digests t in `marked`, of bounded size; where that is too small it lets more rows pass."""
     n = marked.count()
     bits = width_for(n, bits_per_row, 16, max_bits)
-    return bits, merged_bits(marked.select("k", "t").mapInArrow(lambda it: _mark(it, bits), SCHEMA), bits, n // 1_000_000)
+    return bits, merged_bits(marked.select("t").mapInArrow(lambda it: _mark(it, bits), SCHEMA), bits, n // 1_000_000)
 
 
 def split(rows: DataFrame, marked: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, **limits: int) -> tuple[DataFrame, DataFrame]:
@@ -165,36 +164,38 @@ def split(rows: DataFrame, marked: DataFrame, then: Callable[[Iterator[pa.Record
 
 
 @tidy
-def _edit(batches: Iterator[pa.RecordBatch], columns: list[str], edit: Callable[[bytes, pa.Scalar], bytes]) -> Iterator[pa.RecordBatch]:
+def _edit(batches: Iterator[pa.RecordBatch], columns: list[str], marks: str, edit: Callable[[bytes, pa.Scalar], bytes]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = columns.index("text")
-        text = [edit(t.as_buffer().to_pybytes(), m).decode() if t.is_valid and m.is_valid else t.as_py() for t, m in zip(b.column("text"), b.column("_marks"), strict=True)]
+        text = [edit(t.as_buffer().to_pybytes(), m).decode() if t.is_valid and m.is_valid else t.as_py() for t, m in zip(b.column("text"), b.column(marks), strict=True)]
         cols = [b.column(c) for c in columns]
         cols[at] = pa.array(text, pa.string())
         yield pa.RecordBatch.from_arrays(cols, columns)
 
 
-def edited(docs: DataFrame, marks: DataFrame, column: str, edit: Callable[[bytes, pa.Scalar], bytes]) -> DataFrame:
-    """`docs` (columns of documents) with `edit(text, mark)` for the rows that `marks` (k, t, `column`) names; n_chars follows the text.
+def edited(docs: DataFrame, marks: DataFrame, mark: str, edit: Callable[[bytes, pa.Scalar], bytes]) -> DataFrame:
+    """`docs` (columns of documents) with `edit(text, mark)` for the rows that `marks` (k, t, `mark`) names; n_chars, where there is one, follows the text.
 
     Rows that surely have no mark are passed on as they are; the others alone are shuffled.
     """
     bits, held = filter_of(marks)
-    keyed_docs, keys = with_keys(docs), ("_k", "_t")
-    hit = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, True, keys), keyed_docs.schema)
-    clear = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, False, keys), keyed_docs.schema)
-    named = marks.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col(column).alias("_marks"))
+    keyed_docs, (k, t) = with_keys(docs)
+    hit = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, True, t), keyed_docs.schema)
+    clear = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, False, t), keyed_docs.schema)
+    (m,) = spare(docs, "_marks")
+    named = marks.select(F.col("k").alias(k), F.col("t").alias(t), F.col(mark).alias(m))
     columns = docs.columns
-    changed = hit.join(named, list(keys), "left").mapInArrow(lambda it: _edit(it, columns, edit), docs.schema)
-    changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.unionByName(clear.select(*columns))
+    changed = hit.join(named, [k, t], "left").mapInArrow(lambda it: _edit(it, columns, m, edit), docs.schema)
+    if "n_chars" in columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.unionByName(clear.select(*map(column, columns)))
 
 
 def without(docs: DataFrame, gone: DataFrame, unsure: DataFrame) -> DataFrame:
     """`docs` without the rows whose (k, t) are in `gone`; of rows whose (k, t) are in `unsure` (repeated rows) one is kept."""
     bits, held = filter_of(gone.select("k", "t").unionByName(unsure.select("k", "t")))
-    keyed_docs, keys = with_keys(docs), ("_k", "_t")
-    hit = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, True, keys), keyed_docs.schema)
-    clear = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, False, keys), keyed_docs.schema)
-    named = gone.select(F.col("k").alias("_k"), F.col("t").alias("_t")).distinct()
-    return hit.join(named, list(keys), "left_anti").dropDuplicates(list(keys)).unionByName(clear).select(*docs.columns)
+    keyed_docs, (k, t) = with_keys(docs)
+    hit = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, True, t), keyed_docs.schema)
+    clear = keyed_docs.mapInArrow(lambda it: _pick(it, bits, held, False, t), keyed_docs.schema)
+    named = gone.select(F.col("k").alias(k), F.col("t").alias(t)).distinct()
+    return hit.join(named, [k, t], "left_anti").dropDuplicates([k, t]).unionByName(clear).select(*map(column, docs.columns))

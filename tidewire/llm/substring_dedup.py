@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import GRAM_BASES, U64, gram_hashes, keyed, mix, powers, signed, span_hashes, steps, text_bytes, tidy, word_spans, written
+from .common import GRAM_BASES, U64, gram_hashes, keyed, kind_of, mix, powers, signed, span_hashes, steps, text_bytes, tidy, word_spans, written
 
 _ROWS = 2
 _SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
@@ -135,7 +135,7 @@ def repeated_windows(rows: DataFrame, window: int = 13, gram: int = 5, cells_per
     repeated = sketch.merged_bits(texts.mapInArrow(lambda it: _count(it, window, gram, bits), sketch.SCHEMA), bits, sketch.tasks_for(n_bytes))
     contents = texts.mapInArrow(lambda it: _contents(it, window, gram, bits, repeated), "anchor long, content long").distinct()
     varied = sketch.merged_bits(contents.select("anchor").mapInArrow(lambda it: _count_anchors(it, bits), sketch.SCHEMA), bits, sketch.tasks_for(n_bytes))
-    found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated, varied), "h1 long, h2 int, k long, t int, place int, n int")
+    found = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, window, gram, bits, repeated, varied), f"h1 long, h2 int, k {kind_of(rows)}, t binary, place int, n int")
     first = found.groupBy("h1", "h2").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").drop("high")
     first = written(first, "repeated-keys")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
     later = found.join(first, ["h1", "h2"]).filter("k > low")
@@ -169,7 +169,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _judged(rows: DataFrame, marks: DataFrame, window: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """The rows that may lose words, and the others."""
-    schema = f"k long, t int, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    schema = f"k {kind_of(rows)}, t binary, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
     hit, clear = sketch.split(rows, marks, lambda it: _removed(it, window), schema)
     return hit.join(marks, ["k", "t"], "left").mapInArrow(lambda it: _removed(it, window), schema), clear
 
