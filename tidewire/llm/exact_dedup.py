@@ -1,75 +1,93 @@
 """Exact dedup by an extendible-hash index on shared files; DataFrame functions only.
 
-The key of a text is its 64-bit hash. A directory is doubled until no bucket holds more than `capacity` distinct keys: of the
-2**depth slots (low bits of the hash) those share a bucket whose common bits already bound it. Rows are aggregated before they
-are shuffled, by bucket, hash and the text itself, so that texts are told apart byte by byte and a text that makes up a third
-of the rows reaches its owner once a task. Owner tasks each take a range of buckets and chain the texts of one hash; the index is
-written to the shared folder, and every row then looks up its entry.
+The key of a text is its 64-bit hash. A directory of 2**depth slots (low bits of the hash) points to buckets. It starts with one
+bucket; while a bucket holds more than `capacity` distinct keys, the directory doubles and the overfull buckets are split by one
+more bit, so that slots which need no split go on sharing a bucket. Owner tasks each take a range of buckets, in the order of
+the slots' reversed bits, and within a range texts are compared byte by byte and those of one hash are chained. The rows of a hash
+that very many rows have are aggregated before they are sent, so that a text which makes up a third of the rows reaches its owner once a
+task. Index and directory are written to the shared folder; every row then finds its entry by slot, bucket and chain.
+
+A bucket may hold more than `capacity` keys where the directory would else have more than about 2**`max_buckets` buckets, as it is
+sent to all tasks.
 
 Cases: null text counts as empty; a null id is the smallest; of rows with the same id and text one is kept and the others are
-dropped; empty tables give empty tables; other columns are not read.
+dropped; ids that are not integral compare by their text; empty tables give empty tables; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, written
+from .common import column, id_key, id_of, spare, written
 
-MAX_DEPTH = 20
+#: A hash found in more rows than this, and in more than a ten-thousandth of them (so of 10,000 hashes at most), is aggregated before it is sent.
+HOT_ROWS = 1000
 
 
 def _slot(depth: int) -> Column:
     return F.col("h").bitwiseAND(F.lit((1 << depth) - 1))
 
 
-def directory(keys: DataFrame, depth: int, capacity: int) -> DataFrame:
-    """(slot, bucket, owner) for all 2**depth slots. A bucket's local depth is the least at which its keys fit `capacity`."""
-    counts = keys.select("h").distinct().groupBy(_slot(depth).alias("slot")).agg(F.count("*").alias("n"))
-    slots = keys.sparkSession.range(1 << depth).withColumnRenamed("id", "slot").join(counts, "slot", "left").fillna(0, ["n"])
-    levels = slots.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    prefix = F.expr("slot & (shiftleft(1L, d) - 1L)")
-    sized = levels.withColumn("prefix", prefix).withColumn("size", F.sum("n").over(Window.partitionBy("d", "prefix")))
-    fits = F.when((F.col("size") <= capacity) | (F.col("d") == depth), F.struct("d", "prefix", "size"))
-    chosen = sized.groupBy("slot").agg(F.min(fits).alias("leaf"))
-    # Reversed bits put the buckets of one parent side by side, so that an owner's range is a range of the tree.
-    return chosen.select("slot", F.expr(f"leaf.prefix * {MAX_DEPTH + 1}L + leaf.d").alias("bucket"), F.expr("leaf.size").alias("bucket_size"), F.expr(f"conv(reverse(lpad(bin(leaf.prefix), {depth}, '0')), 2, 10)").cast("long").alias("place"))
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
-    """The index as written: bucket, owner, h, chain (place among the texts of one hash), text_sha256, n_bytes, keep_k, group_size."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(id_key(id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
-    n = docs.count()
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(1, n) / capacity + 1)) + 3))
-    owners = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = F.broadcast(directory(rows, depth, capacity))  # 2**MAX_DEPTH rows of four numbers at most
-    owner = F.floor(F.col("place") * F.lit(owners) / F.lit(1 << depth))
-    placed = rows.withColumn("slot", _slot(depth)).join(found, "slot")
-    texts = placed.groupBy("bucket", "place", "h", "text").agg(F.max("k").alias("keep_k"), F.count("*").alias("group_size"))
-    entries = texts.select("bucket", owner.alias("owner"), "h", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"), "keep_k", "group_size")
-    chain = F.row_number().over(Window.partitionBy("owner", "bucket", "h").orderBy("text_sha256")) - 1
-    return written(entries.repartition(owners, "owner", "bucket").withColumn("chain", chain), "exact-index")
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(slot, bucket, bucket_size, place) for all 2**depth slots, and the depth. `keys`: the distinct h."""
+    spark = keys.sparkSession
+    depth, leaves, full = 0, [], {0: keys.count()}
+    while full := {p: n for p, n in full.items() if n > capacity or leaves.append((p, depth, n))}:
+        parents = F.broadcast(spark.createDataFrame([(p,) for p in full], "slot long"))
+        depth += 1
+        sizes = keys.join(parents, _slot(depth - 1) == F.col("slot"), "left_semi").groupBy(_slot(depth).alias("slot")).count()
+        found = {r["slot"]: r["count"] for r in sizes.collect()}  # two a split bucket
+        full = {child: found.get(child, 0) for p in full for child in (p, p | 1 << (depth - 1))}
+    buckets = spark.createDataFrame(leaves, "prefix long, d int, bucket_size long").withColumn("bucket", F.monotonically_increasing_id())
+    slots = buckets.withColumn("high", F.explode(F.expr(f"sequence(0L, shiftleft(1L, {depth} - d) - 1L)"))).withColumn("slot", F.expr("prefix + shiftleft(high, d)"))
+    # Reversed bits put the slots of one bucket, and the buckets of one parent, side by side.
+    place = F.expr(f"conv(reverse(lpad(bin(slot), {max(1, depth)}, '0')), 2, 10)").cast("long")
+    return written(slots.select("slot", "bucket", "bucket_size", place.alias("place")), "exact-directory"), depth
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000, max_buckets: int = 18) -> tuple[DataFrame, DataFrame, int]:
+    """The index as written (bucket, place, h, chain, text_sha256, n_bytes, keep_k, group_size), its directory and the directory's depth."""
+    spark = docs.sparkSession
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(id_key(docs, id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = written(rows.groupBy("h").agg(F.count("*").alias("rows")), "exact-keys")
+    n, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    found, depth = directory(keys.select("h"), max(capacity, n >> max_buckets))
+    hot = keys.filter(F.col("rows") > max(HOT_ROWS, n_rows // 10_000)).select("h", F.lit(True).alias("hot"))
+    placed = rows.withColumn("slot", _slot(depth)).join(F.broadcast(found.drop("bucket_size")), "slot").join(F.broadcast(hot), "h", "left")
+    names = ["place", "bucket", "h", "text"]
+    warm = placed.filter("hot").groupBy(*names).agg(F.max("k").alias("k"), F.count("*").alias("n"))
+    cold = placed.filter("hot IS NULL").select(*names, "k", F.lit(1).cast("long").alias("n"))
+    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owned = cold.unionByName(warm).repartitionByRange(owners, "place", "h")
+    texts = owned.groupBy(*names).agg(F.max("k").alias("keep_k"), F.sum("n").alias("group_size"))
+    chain = F.row_number().over(Window.partitionBy("place", "h").orderBy("text")) - 1
+    entries = texts.withColumn("chain", chain).select("bucket", "place", "h", "chain", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"), "keep_k", "group_size")
+    return written(entries, "exact-index"), found, depth
+
+
+def _found(rows: DataFrame, index: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """`rows` (h, text_sha256, …) with the entries of the index: from slot to bucket, and along the chain of its hash to the text."""
+    placed = rows.withColumn("slot", _slot(depth)).join(F.broadcast(found.select("slot", "bucket")), "slot")
+    return placed.join(index.select("bucket", "h", "text_sha256", "keep_k", "group_size"), ["bucket", "h", "text_sha256"])
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
     """One row per row of `docs`: the id, keep_id (largest id of the equal texts), group_size, kept, text_sha256."""
-    index = build_index(docs, id_col, text_col, capacity).select("h", "text_sha256", "keep_k", "group_size")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("k"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
+    index = build_index(docs, id_col, text_col, capacity)
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(column(id_col).alias("doc_id"), id_key(docs, id_col).alias("k"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
     same = rows.groupBy("doc_id", "k", "h", "text_sha256").agg(F.count("*").cast("int").alias("copies"))
-    kind = docs.schema[id_col].dataType
-    out = same.join(index, ["h", "text_sha256"]).select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return out.select(F.col("doc_id").alias(id_col), F.when(F.col("keep_k") != NULL_ID, F.col("keep_k")).cast(kind).alias("keep_id"), "group_size", ((F.col("k") == F.col("keep_k")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    out = _found(same, *index).select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return out.select(F.col("doc_id").alias(id_col), id_of(F.col("keep_k"), docs, id_col).alias("keep_id"), "group_size", ((F.col("k") == F.col("keep_k")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
     """The rows of `docs`, all columns, that stay: of equal texts the one with the largest id."""
-    index = build_index(docs, id_col, text_col, capacity).select(F.col("h").alias("_h"), F.col("text_sha256").alias("_sha"), F.col("keep_k").alias("_keep"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_h", F.xxhash64(text)).withColumn("_sha", F.sha2(text, 256)).withColumn("_k", id_key(id_col))
-    kept = rows.join(index, ["_h", "_sha"]).filter("_k = _keep")
-    return kept.dropDuplicates(["_h", "_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    index, _, _ = build_index(docs, id_col, text_col, capacity)
+    h, sha, k, keep = spare(docs, "_h", "_sha", "_k", "_keep")
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.withColumns({h: F.xxhash64(text), sha: F.sha2(text, 256), k: id_key(docs, id_col)})
+    entries = index.select(F.col("h").alias(h), F.col("text_sha256").alias(sha), F.col("keep_k").alias(keep))
+    return rows.join(entries, [h, sha]).filter(F.col(k) == F.col(keep)).dropDuplicates([h, sha]).select(*map(column, docs.columns))
