@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, mix, tidy, written
-from .tokens import encoder
+from .common import U64, keyed, kind_of, mix, steps, tidy, written
+from .tokens import ENCODE_BYTES, binary_pieces, encoder, with_end
 
 HASHED = 256
 
@@ -58,18 +58,23 @@ def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def _mean(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The mean row of `table` over `ids`, of a very long text by way of its counts."""
+    return table[ids].mean(0) if len(ids) < 1 << 18 else np.bincount(ids, minlength=len(table)) @ table / len(ids)
+
+
 @tidy
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, attached: bool, end_id: int, dims: int, bits: int) -> Iterator[pa.RecordBatch]:
-    enc, end, table = encoder(tokenizer, attached), np.array([end_id], np.uint16).tobytes(), projection(dims)
+    enc, table = encoder(tokenizer, attached), projection(dims)
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        texts = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
-        mean = np.array([table[np.frombuffer(x, np.uint16)].mean(0) for x in texts]).reshape(len(texts), dims)
-        place = np.minimum((1 << bits) - 1, ((1 << bits) / (1 + np.exp(-8 * mean))).astype(np.int64))
-        keys = hilbert_key(place, bits)
-        rows = np.arange(row, row + len(texts))
-        row += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), batch.column("k"), pa.array(keys), pa.array([len(x) // 2 for x in texts], pa.int64()), pa.array(texts, pa.binary())], ["row", "doc_id", "k", "place", "n", "ids"])
+        for b in steps(batch, "text", ENCODE_BYTES):
+            ids, ends = with_end(*enc.encode_column(b.column("text")), end_id)
+            mean = np.array([_mean(table, ids[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]).reshape(b.num_rows, dims)
+            place = np.minimum((1 << bits) - 1, ((1 << bits) / (1 + np.exp(-8 * mean))).astype(np.int64))
+            rows = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows), b.column("doc_id"), b.column("k"), pa.array(hilbert_key(place, bits)), pa.array(np.diff(ends)), binary_pieces(ids, ends)], ["row", "doc_id", "k", "place", "n", "ids"])
 
 
 @tidy
@@ -105,8 +110,9 @@ def _cut(batches: Iterator[pa.RecordBatch], base: dict[int, int], length: int) -
 def pack(docs: DataFrame, tokenizer: str, attached: bool = True, end_id: int = 1, length: int = 2048, dims: int = 4, bits: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit little-endian)."""
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    encoded = keyed(docs, id_col, text_col).select("doc_id", "k", "text").mapInArrow(lambda it: _encode(it, tokenizer, attached, end_id, dims, bits), f"row long, doc_id {kind}, k long, place long, n long, ids binary")
+    kind = kind_of(docs, id_col)
+    rows = keyed(docs, id_col, text_col).select("doc_id", "k", "text")
+    encoded = rows.mapInArrow(lambda it: _encode(it, tokenizer, attached, end_id, dims, bits), f"row long, doc_id {kind}, k {kind_of(rows)}, place long, n long, ids binary")
     encoded = written(encoded, "packing-ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     curve = encoded.select("place", "k", "row", "n").repartitionByRange(n, "place", "k", "row").sortWithinPartitions("place", "k", "row").select("row", "n")

@@ -20,36 +20,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repair
-from .common import keyed, new_path, tidy
-from .tokens import encoder
+from .common import keyed, kind_of, new_path, steps, tidy
+from .tokens import ENCODE_BYTES, encoder, with_end
 
 
 @tidy
 def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, attached: bool, end_id: int, vocabulary: int, block_ids: int) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(tokenizer, attached), np.array([end_id], np.uint16).tobytes()
+    enc = encoder(tokenizer, attached)
     part, block, start = TaskContext.get().partitionId(), 0, 0
-    held: list[bytes] = []
+    held: list[np.ndarray] = []
     docs: list = []
     size = 0
 
     def done():
-        ids = np.frombuffer(b"".join(held), np.uint16)
+        ids = np.concatenate(held)
         body, rules = repair.compress(ids, vocabulary)
         row = {
-            "part": [part], "block": [block], "start": [start], "n_ids": [len(ids)], "doc_ids": [docs], "doc_sizes": [np.array([len(x) // 2 for x in held], "<u4").tobytes()],
+            "part": [part], "block": [block], "start": [start], "n_ids": [len(ids)], "doc_ids": [docs], "doc_sizes": [np.array([len(x) for x in held], "<u4").tobytes()],
             "body": [body.astype("<u2").tobytes()], "rules": [rules.astype("<u2").tobytes()], "sizes": [repair.lengths(rules, vocabulary).astype("<u4").tobytes()],
         }
         return pa.RecordBatch.from_arrays([pa.array(row["part"], pa.int32()), pa.array(row["block"], pa.int32()), pa.array(row["start"], pa.int64()), pa.array(row["n_ids"], pa.int64()), pa.array(row["doc_ids"], pa.list_(kind)), *(pa.array(row[c], pa.binary()) for c in ("doc_sizes", "body", "rules", "sizes"))], names=list(row))
 
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held.append(enc.encode(text) + end)
-            docs.append(doc)
-            size += len(held[-1]) // 2
-            if size >= block_ids:
-                yield done()
-                block, start, held, docs, size = block + 1, start + size, [], [], 0
+        for b in steps(batch, "text", ENCODE_BYTES):
+            ids, ends = with_end(*enc.encode_column(b.column("text")), end_id)
+            for doc, i, j in zip(b.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                held.append(ids[i:j])
+                docs.append(doc)
+                size += j - i
+                if size >= block_ids:
+                    yield done()
+                    block, start, held, docs, size = block + 1, start + size, [], [], 0
     if held:
         yield done()
 
@@ -60,7 +62,7 @@ def write_ids(docs: DataFrame, tokenizer: str, attached: bool = False, end_id: i
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
+    kind = kind_of(docs, id_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, id_col, text_col).repartitionByRange(n, "k", "t").sortWithinPartitions("k", "t").select("doc_id", "text")
     blocks = rows.mapInArrow(lambda it: _blocks(it, tokenizer, attached, end_id, vocabulary, block_ids), f"part int, block int, start long, n_ids long, doc_ids array<{kind}>, doc_sizes binary, body binary, rules binary, sizes binary")
