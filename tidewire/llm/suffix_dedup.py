@@ -3,21 +3,25 @@
 Method: a sparse suffix array, sorted by a common-prefix-aware distributed merge sort. Suffixes are taken at anchors: the anchor of a
 window of `length` bytes is the place of the smallest hash among the grams that start in its first `span` bytes, so equal windows
 have their anchors at the same distance, and there are about `span` / 2 bytes between anchors. All windows of one anchor hold the
-`length - span + 1` bytes from it on; only anchors for which these repeat go on (a sketch estimates, never too low).
-Where an anchor's windows have the same surroundings in all places, they are grouped as one row. Where surroundings differ, every task
-sorts its different suffixes into a run, sends it front-coded to the owners of key ranges, and an owner merges its runs by a
-loser tree that compares two heads only past the prefix they are known to share. The merged order and its common prefixes, with
-the same for what stands before the anchors, tell for each distance which windows are equal.
-An anchor with more than `crowd` different surroundings is not given to one owner: its windows are counted by hash, one by one.
+`length - span + 1` bytes from it on; only anchors for which these repeat go on (a sketch estimates, never too low), and are
+written once. Occurrences with the same surroundings are folded into one suffix with a count. Every task sorts suffixes into a run and
+sends it front-coded to the owners of key ranges; an owner merges its runs by a loser tree that compares two heads only past the
+prefix they are known to share, as a stream. The merged order and its common prefixes, with the same for what stands before the
+anchors, tell for each distance which windows are equal.
+
+An anchor with more than `crowd` different surroundings would meet in one owner. It is split by longer prefixes: half of its windows,
+those at small distances, share more bytes after the anchor, and the other half share bytes before it; each half is a suffix of its
+own with that longer key, halved again while it is crowded. Down at one window a half, all surroundings of a key are equal.
 
 Cases: null text is empty; texts shorter than `length` bytes lose nothing; repeated rows repeat each other's bytes (rows with the same
 id and text are one row in the result for each, both judged as repeated); empty tables give empty tables; a null id is kept; other
-columns are not read.
+columns are not read; a very long text is read in slices.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,21 +33,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import _BASE, _BASE_INV, _BYTE, U64, keyed, mix, powers, signed, steps, text_bytes, tidy, written
+from .common import _BASE, _BASE_INV, _BYTE, U64, keyed, kind_of, mix, powers, signed, steps, text_bytes, tidy, written
 from .jaccard_join import grouped
 
 GRAM = 16
+#: Bytes of a very long text that are looked at in one slice.
+SLICE = 8 << 20
+#: About what a suffix takes: itself, what stands before it, numbers and keys.
+SUFFIX_BYTES = 700
 _SEEDS = (U64(0x3C79AC492BA7B653), U64(0x1C69B3F74AC4AE35))
+_ITEM = "g long, c long, n long, k {kind}, t binary, at int, low int, high int, w int"
+
+
+def slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Bytes, offsets, rows and the first byte's place in its text: of many short texts, or of a slice of a long one. Slices overlap so
+    that each window of `length` bytes lies in one, in which it starts."""
+    done = 0
+    for b in steps(batch, "text"):
+        raw, offs = text_bytes(b.column("text"))
+        rows = done + np.arange(b.num_rows)
+        done += b.num_rows
+        if len(rows) > 1 or len(raw) <= 2 * SLICE:
+            yield raw, offs, rows, 0
+            continue
+        for at in range(0, max(1, len(raw) - length + 1), SLICE):
+            part = raw[at : at + SLICE + length - 1]
+            yield part, np.array([0, len(part)]), rows, at
 
 
 class Anchors:
-    """The anchors of a batch: document, place in the batch's bytes, and the least and most distance of their windows' starts."""
+    """The anchors of some texts: document, place in the bytes, and the least and most distance of their windows' starts."""
 
-    def __init__(self, b: pa.RecordBatch, length: int, span: int):
-        self.raw, self.offs = text_bytes(b.column("text"))
-        n = len(self.raw)
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, length: int, span: int):
+        self.raw, self.offs = raw, offs
+        n = len(raw)
         self.total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[self.raw] * powers(_BASE, n), out=self.total[1:])
+        np.cumsum(_BYTE[raw] * powers(_BASE, n), out=self.total[1:])
         self.inverse = powers(_BASE_INV, n + 1)
         self.doc = self.at = self.low = self.high = np.zeros(0, np.int64)
         if n < length:
@@ -52,13 +77,13 @@ class Anchors:
         m = n - GRAM + 1
         g = (self.hash(np.arange(m), GRAM) >> U64(bits) << U64(bits)) | np.arange(m, dtype=U64)
         least = self._sliding(g, span)
-        size = np.diff(self.offs)
+        size = np.diff(offs)
         long = np.flatnonzero(size >= length)
         if not len(long):
             return
         n_win = size[long] - length + 1
         doc = np.repeat(long, n_win)
-        start = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win) + self.offs[doc]
+        start = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win) + offs[doc]
         at = (least[start] & U64((1 << bits) - 1)).astype(np.int64)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
@@ -94,94 +119,69 @@ def _cells(key: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(key ^ seed) >> U64(64 - row)).astype(np.int64) + (i << row) for i, seed in enumerate(_SEEDS)]
 
 
-def _both(bits: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    a, b = _cells(key, n)
-    return sketch.test(bits, a) & sketch.test(bits, b)
-
-
 @tidy
 def _count(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial()
     for batch in batches:
-        for b in steps(batch, "text"):
-            for cells in _cells(Anchors(b, length, span).keys(length, span), bits):
+        for raw, offs, _, _ in slices(batch, length):
+            for cells in _cells(Anchors(raw, offs, length, span).keys(length, span), bits):
                 yield from part.add(cells)
     yield from part.flush()
 
 
 @tidy
-def _count_keys(batches: Iterator[pa.RecordBatch], bits: int, times: int) -> Iterator[pa.RecordBatch]:
-    part = sketch.Partial()
-    for b in batches:
-        for cells in _cells(b.column("g").to_numpy(zero_copy_only=False).view(U64), bits) * times:
-            yield from part.add(cells)
-    yield from part.flush()
+def _suspects(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int, repeated) -> Iterator[pa.RecordBatch]:
+    """The anchors whose key is estimated to repeat: key, content of the surroundings, row, place and distances."""
+    for batch in batches:
+        for raw, offs, row, base in slices(batch, length):
+            found = Anchors(raw, offs, length, span)
+            g = found.keys(length, span)
+            one, two = _cells(g, bits)
+            rows = np.flatnonzero(sketch.test(repeated.value, one))
+            rows = rows[sketch.test(repeated.value, two[rows])]
+            if len(rows):
+                found.take(rows)
+                take = pa.array(row[found.doc])
+                place = found.at - offs[found.doc] + base
+                yield pa.RecordBatch.from_arrays([signed(g[rows]), signed(found.contents(length)), batch.column("k").take(take), batch.column("t").take(take), *(pa.array(x.astype(np.int32)) for x in (place, found.low, found.high))], ["g", "c", "k", "t", "at", "low", "high"])
 
 
-def _suspects(b: pa.RecordBatch, length: int, span: int, bits: int, repeated) -> tuple[Anchors, np.ndarray]:
-    found = Anchors(b, length, span)
-    g = found.keys(length, span)
-    rows = np.flatnonzero(_both(repeated.value, g, bits))
-    found.take(rows)
-    return found, g[rows]
+def _digest(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-@tidy
-def _contents(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int, repeated) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in steps(batch, "text"):
-            found, g = _suspects(b, length, span, bits, repeated)
-            if len(g):
-                yield pa.RecordBatch.from_arrays([signed(g), signed(found.contents(length))], ["g", "c"])
+def _items(b: pa.RecordBatch) -> Iterator[tuple[bytes, list[dict]]]:
+    for text, items in zip(b.column("text"), b.column("items").to_pylist(), strict=True):
+        yield text.as_buffer().to_pybytes(), items
 
 
 @tidy
-def _plain(batches: Iterator[pa.RecordBatch], length: int, span: int, bits: int, repeated, varied, crowded) -> Iterator[pa.RecordBatch]:
-    """Rows to be counted by key: all windows of an anchor with one surrounding, or each window of a crowded one."""
+def _halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Crowded suffixes split in two by distance: the halves' longer keys and contents, and how far the anchor moved."""
+    names = ["g", "c", "g2", "c2", "n", "at", "low", "high", "w", "shift"]
     for batch in batches:
-        for b in steps(batch, "text"):
-            found, g = _suspects(b, length, span, bits, repeated)
-            many = _both(crowded.value, g, bits)
-            whole = np.flatnonzero(~_both(varied.value, g, bits) & ~many)
-            apart = np.flatnonzero(many)
-            n = found.high[apart] - found.low[apart] + 1
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(found.at[apart] - found.high[apart], n) + step
-            one = found.hash(start, length)
-            c = found.contents(length)
-            doc = np.concatenate([found.doc[whole], np.repeat(found.doc[apart], n)])
-            if not len(doc):
-                continue
-            begin = np.concatenate([found.at[whole] - found.high[whole], start]) - found.offs[doc]
-            size = np.concatenate([found.high[whole] - found.low[whole], np.zeros(len(start), np.int64)]) + length
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate([g[whole], one])), signed(np.concatenate([c[whole], mix(one ^ _SEEDS[0])])), b.column("k").take(take), b.column("t").take(take), pa.array(begin), pa.array(begin + size)], ["g", "c", "k", "t", "start", "stop"])
-
-
-def _sorted_part(b: pa.RecordBatch, length: int, span: int, bits: int, repeated, varied, crowded) -> tuple[Anchors, np.ndarray, np.ndarray]:
-    found, g = _suspects(b, length, span, bits, repeated)
-    rows = np.flatnonzero(_both(varied.value, g, bits) & ~_both(crowded.value, g, bits))
-    found.take(rows)
-    return found, g[rows], found.contents(length)
+        out: list[tuple] = []
+        owner: list[int] = []
+        for row, (raw, items) in enumerate(_items(batch)):
+            for x in items:
+                half = x["w"] // 2
+                for shift, w in ((0, half), (half, x["w"] - half)):
+                    low, high, at = max(x["low"] - shift, 0), min(x["high"] - shift, w - 1), x["at"] - shift
+                    if low <= high:
+                        content = raw[at - high : at - low + length] + struct.pack("<iii", low, high, w)
+                        out.append((x["g"], x["c"], _digest(raw[at : at + length - w + 1]), _digest(content), x["n"], at, low, high, w, shift))
+                        owner.append(row)
+        if out:
+            take = pa.array(owner)
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("t").take(take), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], ["k", "t", *names])
 
 
 @tidy
-def _places(batches: Iterator[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in steps(batch, "text"):
-            found, g, c = _sorted_part(b, *args)
-            if len(g):
-                take = pa.array(found.doc)
-                yield pa.RecordBatch.from_arrays([signed(g), signed(c), b.column("k").take(take), b.column("t").take(take), pa.array(found.at - found.offs[found.doc])], ["g", "c", "k", "t", "at"])
-
-
-@tidy
-def _sample(batches: Iterator[pa.RecordBatch], prefix: int, *args) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in steps(batch, "text"):
-            found, g, _ = _sorted_part(b, *args)
-            if len(g):
-                yield pa.RecordBatch.from_arrays([signed(mix(g)), pa.array([found.raw[i : i + prefix].tobytes() for i in found.at.tolist()], pa.binary())], ["place", "head"])
+        heads = [raw[x["at"] : x["at"] + length - x["w"] + 1] for raw, items in _items(batch) for x in items]
+        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary())], ["head"])
 
 
 # ---------------------------------------------------------------- sorted runs
@@ -206,61 +206,48 @@ def front_code(strings: list[bytes]) -> tuple[list[int], bytes, list[int]]:
 
 
 @tidy
-def _runs(batches: Iterator[pa.RecordBatch], length: int, span: int, splitters: list[bytes], limit: int, *args) -> Iterator[pa.RecordBatch]:
-    """Sorted, front-coded runs of this task's different suffixes, cut by owner."""
-    prefix = length - span + 1
+def _runs(batches: Iterator[pa.RecordBatch], length: int, splitters: list[bytes], limit: int) -> Iterator[pa.RecordBatch]:
+    """Sorted, front-coded runs of this task's suffixes, by owner."""
     part, made, size = TaskContext.get().partitionId(), 0, 0
-    held: dict[tuple[int, int], list] = {}
+    held: list[tuple] = []
 
     def done():
-        nonlocal made
-        items = sorted(((v[1], v[2], g, c, v[0], v[3], v[4]) for (g, c), v in held.items()), key=lambda x: (x[0], x[2], x[3]))
-        at = 0
-        for owner in range(len(splitters) + 1):
-            stop = at
-            while stop < len(items) and (owner == len(splitters) or bisect_right(splitters, items[stop][0][:prefix]) == owner):
-                stop += 1
-            if stop > at:
-                own = items[at:stop]
-                shared, rest, sizes = front_code([x[0] for x in own])
-                left = b"".join(x[1] for x in own)
-                numbers = np.array([(s, n, len(x[1]), x[4], x[5], x[6]) for s, n, x in zip(shared, sizes, own, strict=True)], "<i4")
-                keys = np.array([(x[2], x[3]) for x in own], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([part * 4096 + made], pa.int64()), *(pa.array([x], pa.binary()) for x in (rest, left, numbers.tobytes(), keys.tobytes()))], ["owner", "run", "rest", "before", "numbers", "keys"])
-            at = stop
-        made += 1
+        by_owner: dict[int, list[tuple]] = {}
+        for x in sorted(held, key=lambda x: x[0]):
+            by_owner.setdefault(bisect_right(splitters, x[0][: length - x[3] + 1]), []).append(x)
+        for owner, own in by_owner.items():
+            shared, rest, sizes = front_code([x[0] for x in own])
+            numbers = np.array([(s, n, len(x[1]), *x[4:6], x[3]) for s, n, x in zip(shared, sizes, own, strict=True)], "<i4")
+            keys = np.array([(*x[2], x[6]) for x in own], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([part << 24 | made], pa.int64()), *(pa.array([x], pa.binary()) for x in (rest, b"".join(x[1] for x in own), numbers.tobytes(), keys.tobytes()))], ["owner", "run", "rest", "before", "numbers", "keys"])
 
     for batch in batches:
-        for b in steps(batch, "text"):
-            found, g, c = _sorted_part(b, length, span, *args)
-            raw = found.raw
-            for gi, ci, at, low, high in zip(signed(g).to_pylist(), signed(c).to_pylist(), found.at.tolist(), found.low.tolist(), found.high.tolist(), strict=True):
-                have = held.get((gi, ci))
-                if have:
-                    have[0] = 2
-                else:
-                    held[gi, ci] = [1, raw[at : at - low + length].tobytes(), raw[at - high : at][::-1].tobytes(), low, high]
-                    size += length + span
+        for raw, items in _items(batch):
+            for x in items:
+                at, low, high = x["at"], x["low"], x["high"]
+                held.append((raw[at : at - low + length], raw[at - high : at][::-1], (x["g"], x["c"]), x["w"], low, high, x["n"]))
+                size += SUFFIX_BYTES
             if size > limit:
                 yield from done()
-                held, size = {}, 0
+                held, size, made = [], 0, made + 1
     if held:
         yield from done()
 
 
 class LoserTree:
-    """Merges sorted runs of (strings, prefixes shared with the string before). A node keeps the loser and the prefix that it shares
-    with the winner; of two heads that share different lengths with the last output, the longer is the smaller without looking at a byte."""
+    """Merges sorted runs: streams of (string, prefix shared with the string before in the run, item). A node keeps the loser and the prefix
+    that it shares with the winner; of two heads that share different lengths with the last output, the longer is the smaller without
+    looking at a byte."""
 
-    def __init__(self, runs: list[tuple[list[bytes], list[int]]]):
+    def __init__(self, runs: list[Iterator[tuple[bytes, int, object]]]):
         self.runs = runs
-        self.next = [0] * len(runs)
+        self.heads = [next(r, None) for r in runs]
         self.leaves = 1 << max(0, (len(runs) - 1).bit_length())
         self.losers: list[tuple[int, int]] = [(-1, 0)] * self.leaves
         self.top = self._build(1)
 
-    def _head(self, run: int) -> bytes | None:
-        return self.runs[run][0][self.next[run]] if 0 <= run < len(self.runs) and self.next[run] < len(self.runs[run][0]) else None
+    def _head(self, run: int) -> tuple[bytes, int, object] | None:
+        return self.heads[run] if 0 <= run < len(self.heads) else None
 
     def _play(self, a: tuple[int, int], b: tuple[int, int]) -> tuple[tuple[int, int], tuple[int, int]]:
         x, y = self._head(a[0]), self._head(b[0])
@@ -270,8 +257,8 @@ class LoserTree:
             return b, a
         if a[1] != b[1]:
             return (a, b) if a[1] > b[1] else (b, a)
-        n = common_prefix(x, y, a[1])
-        if n == len(x) or (n < len(y) and x[n] < y[n]):
+        n = common_prefix(x[0], y[0], a[1])
+        if n == len(x[0]) or (n < len(y[0]) and x[0][n] < y[0][n]):
             return a, (b[0], n)
         return b, (a[0], n)
 
@@ -281,14 +268,13 @@ class LoserTree:
         winner, self.losers[node] = self._play(self._build(2 * node), self._build(2 * node + 1))
         return winner
 
-    def __iter__(self) -> Iterator[tuple[int, int, int]]:
-        """(run, place in it, prefix shared with the last output) in sorted order."""
-        while self._head(self.top[0]) is not None:
+    def __iter__(self) -> Iterator[tuple[bytes, int, object]]:
+        """(string, prefix shared with the last output, item) in sorted order."""
+        while (head := self._head(self.top[0])) is not None:
             run, shared = self.top
-            yield run, self.next[run], shared
-            self.next[run] += 1
-            strings, known = self.runs[run]
-            now = (run, known[self.next[run]] if self.next[run] < len(strings) else 0)
+            yield head[0], shared, head[2]
+            self.heads[run] = after = next(self.runs[run], None)
+            now = (run, after[1] if after else 0)
             node = (run + self.leaves) >> 1
             while node:
                 now, self.losers[node] = self._play(now, self.losers[node])
@@ -296,87 +282,120 @@ class LoserTree:
             self.top = now
 
 
-def _decode(t: dict) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray]:
-    numbers = np.frombuffer(t["numbers"], "<i4").reshape(-1, 6)
-    strings, before, prev, i, j = [], [], b"", 0, 0
-    for shared, rest, left in numbers[:, :3].tolist():
+def _decoded(t: dict) -> Iterator[tuple[bytes, int, tuple]]:
+    """A run, string by string: (suffix, shared prefix, (g, c, n, what stands before, low, high))."""
+    prev, i, j = b"", 0, 0
+    for (shared, rest, left, low, high, _), key in zip(np.frombuffer(t["numbers"], "<i4").reshape(-1, 6).tolist(), np.frombuffer(t["keys"], "<i8").reshape(-1, 3).tolist(), strict=True):
         prev = prev[:shared] + t["rest"][i : i + rest]
-        strings.append(prev)
-        before.append(t["before"][j : j + left])
+        yield prev, shared, (*key, t["before"][j : j + left], low, high)
         i, j = i + rest, j + left
-    return strings, numbers[:, 0].tolist(), before, numbers[:, 3:], np.frombuffer(t["keys"], "<i8").reshape(-1, 2)
+
+
+def _equal_windows(items: list[tuple], shared: list[int], length: int, span: int) -> Iterator[pa.RecordBatch]:
+    """For sorted suffixes, with all of each key: the least and most distance at which a window is found twice or more."""
+    n = len(items)
+    keys = np.array([x[:2] for x in items])
+    count, low, high = (np.array([x[i] for x in items]) for i in (2, 4, 5))
+    known = np.array(shared)
+    _, group = np.unique(keys[:, 0], return_inverse=True)
+    before = [x[3] for x in items]
+    names = group.tolist()
+    by_left = sorted(range(n), key=lambda i: (names[i], before[i]))
+    left = np.zeros(n, np.int64)
+    for p in range(1, n):
+        a, b = by_left[p - 1], by_left[p]
+        left[p] = common_prefix(before[a], before[b]) if names[a] == names[b] else -1
+    back = np.empty(n, np.int64)
+    back[by_left] = np.arange(n)
+    first, last = np.full(n, 1 << 30), np.full(n, -1)
+    for a in range(span):
+        rows = np.flatnonzero((low <= a) & (a <= high))
+        if not len(rows):
+            continue
+        right_class = np.cumsum(known < length - a)
+        left_class = np.cumsum(left < a)[back]
+        _, which = np.unique(right_class[rows] * (n + 1) + left_class[rows], return_inverse=True)
+        hit = rows[np.bincount(which, weights=count[rows])[which] > 1]
+        first[hit] = np.minimum(first[hit], a)
+        last[hit] = a
+    hit = np.flatnonzero(last >= 0)
+    if len(hit):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[hit, 0]), pa.array(keys[hit, 1]), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["g", "c", "least", "most"])
 
 
 @tidy
-def _merge(batches: Iterator[pa.RecordBatch], length: int, span: int) -> Iterator[pa.RecordBatch]:
-    """For each suffix of an owner's range the least and most distance at which its window is found twice or more."""
+def _merge(batches: Iterator[pa.RecordBatch], length: int, span: int, together: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """The runs of an owner merged; about `together` suffixes, with all that share a prefix of the shortest key, are judged at once."""
     for t in grouped(batches, ["owner"]):
-        runs = [_decode(r) for r in t.to_pylist()]
-        order, shared = [], []
-        for run, i, n in LoserTree([(r[0], r[1]) for r in runs]):
-            order.append((run, i))
+        items: list[tuple] = []
+        shared: list[int] = []
+        for _, n, item in LoserTree([_decoded(r) for r in t.to_pylist()]):
+            if len(items) >= together and n < length - span + 1:
+                yield from _equal_windows(items, shared, length, span)
+                items, shared = [], []
+            items.append(item)
             shared.append(n)
-        before = [runs[r][2][i] for r, i in order]
-        count, low, high = np.array([runs[r][3][i] for r, i in order]).T
-        keys = np.array([runs[r][4][i] for r, i in order])
-        shared = np.array(shared)
-        n = len(order)
-        group = np.cumsum(np.concatenate([[True], keys[1:, 0] != keys[:-1, 0]]))
-        by_left = sorted(range(n), key=lambda i: (group[i], before[i]))
-        left = np.zeros(n, np.int64)
-        for p in range(1, n):
-            a, b = by_left[p - 1], by_left[p]
-            left[p] = common_prefix(before[a], before[b]) if group[a] == group[b] else -1
-        back = np.empty(n, np.int64)
-        back[by_left] = np.arange(n)
-        first, last = np.full(n, 1 << 30), np.full(n, -1)
-        for a in range(span):
-            rows = np.flatnonzero((low <= a) & (a <= high))
-            if not len(rows):
-                continue
-            right_class = np.cumsum(shared < length - a)
-            left_class = np.cumsum(left < a)[back]
-            _, which = np.unique(right_class[rows] * (n + 1) + left_class[rows], return_inverse=True)
-            hit = rows[np.bincount(which, weights=count[rows])[which] > 1]
-            first[hit] = np.minimum(first[hit], a)
-            last[hit] = a
-        # the same surroundings come once from each task that has them
-        hit = np.flatnonzero((last >= 0) & np.isin(np.arange(n), np.unique(keys, axis=0, return_index=True)[1]))
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit, 0]), pa.array(keys[hit, 1]), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["g", "c", "least", "most"])
-
-
-def repeated_spans(rows: DataFrame, length: int = 400, span: int = 256, crowd: int = 20_000, run_bytes: int = 32 << 20, max_cell_bits: int = 28, sampled: int = 20_000) -> DataFrame:
+        if items:
+            yield from _equal_windows(items, shared, length, span)
+
+
+def _with_texts(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The texts that hold some of `items`, each with a list of them."""
+    listed = items.groupBy("k", "t").agg(F.collect_list(F.struct("g", "c", "n", "at", "low", "high", "w")).alias("items"))
+    listed = written(listed, "suffix-lists")
+    bits, held = sketch.filter_of(listed)
+    texts = rows.select("k", "t", "text")
+    found = texts.mapInArrow(lambda it: sketch._pick(it, bits, held, True), texts.schema).join(listed, ["k", "t"])
+    return found.dropDuplicates(["k", "t"])  # of repeated rows one
+
+
+def repeated_spans(rows: DataFrame, length: int = 400, span: int = 256, crowd: int = 20_000, run_bytes: int = 32 << 20, max_cell_bits: int = 28, sampled: int = 4_000) -> DataFrame:
     """(k, t, spans): byte spans (start, stop) of each row of `rows` (see `keyed`) covered by strings that start elsewhere too; spans may overlap."""
     if span + GRAM > length:
         span = max(1, length - GRAM)
+    kind = kind_of(rows)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.width_for(n_bytes * 2 // span, 16, 18, max_cell_bits)
-    tasks = sketch.tasks_for(n_bytes)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.select("text")
-    repeated = sketch.merged_bits(texts.mapInArrow(lambda it: _count(it, length, span, bits), sketch.SCHEMA), bits, tasks)
-    pairs = written(texts.mapInArrow(lambda it: _contents(it, length, span, bits, repeated), "g long, c long").distinct(), "suffix-contents")
-    varied = sketch.merged_bits(pairs.select("g").mapInArrow(lambda it: _count_keys(it, bits, 1), sketch.SCHEMA), bits, tasks)
-    crowds = pairs.groupBy("g").count().filter(F.col("count") > crowd).select("g")
-    crowded = sketch.merged_bits(crowds.mapInArrow(lambda it: _count_keys(it, bits, 2), sketch.SCHEMA), bits, tasks)
-    args = (length, span, bits, repeated, varied, crowded)
-    located = rows.select("k", "t", "text")
-
-    plain = located.mapInArrow(lambda it: _plain(it, *args), "g long, c long, k long, t int, start long, stop long")
-    again = written(plain.groupBy("g", "c").count().filter("count > 1").drop("count"), "suffix-keys")  # as a plain side of the join, hot keys can be split
-    out = plain.join(again, ["g", "c"], "left_semi").select("k", "t", "start", "stop")
-
-    # Key ranges: splitters from a bounded sample of the suffixes' first bytes, which one anchor's suffixes share.
-    prefix = length - span + 1
-    heads = texts.mapInArrow(lambda it: _sample(it, prefix, *args), "place long, head binary").distinct().orderBy("place").limit(sampled)
-    heads = sorted(bytes(r["head"]) for r in heads.collect())
-    splitters = sorted({heads[len(heads) * i // parts] for i in range(1, parts)}) if heads else []
-    runs = texts.mapInArrow(lambda it: _runs(it, length, span, splitters, run_bytes, bits, repeated, varied, crowded), "owner int, run long, rest binary, before binary, numbers binary, keys binary")
-    merged = runs.repartition(parts, "owner").sortWithinPartitions("owner", "run").mapInArrow(lambda it: _merge(it, length, span), "g long, c long, least int, most int")
-    places = located.mapInArrow(lambda it: _places(it, *args), "g long, c long, k long, t int, at long")
-    spans = places.join(merged, ["g", "c"]).select("k", "t", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + length).alias("stop"))
-    return out.unionByName(spans).groupBy("k", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    repeated = sketch.merged_bits(texts.mapInArrow(lambda it: _count(it, length, span, bits), sketch.SCHEMA), bits, sketch.tasks_for(n_bytes))
+    suspects = rows.select("k", "t", "text").mapInArrow(lambda it: _suspects(it, length, span, bits, repeated), f"g long, c long, k {kind}, t binary, at int, low int, high int")
+    suspects = written(suspects, "suffix-suspects")
+
+    folded = F.min(F.struct("k", "t", "at")).alias("one"), F.min("low").alias("low"), F.min("high").alias("high")
+    shape = ["g", "c", "n", "one.k", "one.t", "one.at", "low", "high", "w"]
+    items = suspects.groupBy("g", "c").agg(F.count("*").alias("n"), *folded).withColumn("w", F.lit(span)).select(*shape)
+    leaves, halves = None, []
+    while True:
+        items = written(items, "suffix-items")
+        sizes = written(items.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("total > 1"), "suffix-sizes")
+        few = items.join(sizes.filter(F.col("m") <= crowd).select("g"), "g").select(*items.columns)
+        leaves = few if leaves is None else leaves.unionByName(few)
+        crowds = sizes.filter(F.col("m") > crowd)
+        if crowds.isEmpty():
+            break
+        many = items.join(crowds.select("g"), "g").select(*items.columns)
+        split = written(_with_texts(rows, many).mapInArrow(lambda it: _halved(it, length), f"k {kind}, t binary, g long, c long, g2 long, c2 long, n long, at int, low int, high int, w int, shift int"), "suffix-halves")
+        halves.append(split.select("g", "c", "g2", "c2", "shift"))
+        again = split.groupBy(F.col("g2").alias("g"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), *folded, F.min("w").alias("w"))
+        items = again.select(*shape)
+    leaves = written(leaves, "suffix-leaves")
+
+    # Key ranges: splitters from a bounded sample of the suffixes' first bytes, which those of one key share.
+    n_items = leaves.count()
+    owners = max(parts, n_items * SUFFIX_BYTES >> 25)
+    some = leaves.orderBy(F.xxhash64("g", "c")).limit(sampled)
+    heads = _with_texts(rows, some).mapInArrow(lambda it: _heads(it, length), "head binary").collect()
+    heads = sorted(bytes(r["head"]) for r in heads)
+    splitters = sorted({heads[len(heads) * i // owners] for i in range(1, owners)}) if heads else []
+    runs = _with_texts(rows, leaves).mapInArrow(lambda it: _runs(it, length, splitters, run_bytes), "owner int, run long, rest binary, before binary, numbers binary, keys binary")
+    merged = runs.repartition(owners, "owner").sortWithinPartitions("owner", "run").mapInArrow(lambda it: _merge(it, length, span), "g long, c long, least int, most int")
+    found = merged = written(merged, "suffix-found")
+    for half in reversed(halves):  # from the halves back to whole suffixes
+        at = half.join(found.withColumnsRenamed({"g": "g2", "c": "c2"}), ["g2", "c2"])
+        found = found.unionByName(at.select("g", "c", (F.col("least") + F.col("shift")).alias("least"), (F.col("most") + F.col("shift")).alias("most")))
+    spans = suspects.join(found, ["g", "c"]).select("k", "t", (F.col("at") - F.col("most")).cast("long").alias("start"), (F.col("at") - F.col("least") + length).cast("long").alias("stop"))
+    return spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 @tidy
@@ -404,6 +423,6 @@ def dedup_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256."""
     rows = keyed(docs, id_col, text_col)
     marks = written(repeated_spans(rows, length, **limits), "repeated-spans")
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = f"doc_id {kind_of(docs, id_col)}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     hit, clear = sketch.split(rows, marks, _cut, schema)
     return hit.join(marks, ["k", "t"], "left").mapInArrow(_cut, schema).unionByName(clear)
