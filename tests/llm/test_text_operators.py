@@ -7,11 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidewire.llm.common import text_key
 from tidewire.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, piece_sampling, quality_rules, queries, repair, sketch, substring_dedup, suffix_dedup, token_output, tokens
 
 SF = "/root/testdata/sf0.001"
@@ -82,11 +84,33 @@ def test_exact_dedup(request, table):
     assert exact_dedup.keep_one(df).count() == len(by)
 
 
-def test_extendible_directory_bounds_buckets(spark):
+def test_overfull_buckets_double_the_directory(spark):
     keys = spark.range(2000).select(F.xxhash64("id").alias("h"))
-    d = exact_dedup.directory(keys, 10, 40).collect()
-    assert len(d) == 1024 and max(r["bucket_size"] for r in d) <= 40
-    assert sum({r["bucket"]: r["bucket_size"] for r in d}.values()) == 2000
+    _, before = exact_dedup.directory(keys, 2000)
+    found, depth = exact_dedup.directory(keys, 40)
+    rows = found.collect()
+    assert before == 0 and depth >= 6 and sorted(r["slot"] for r in rows) == list(range(1 << depth))
+    assert max(r["bucket_size"] for r in rows) <= 40
+    assert sum({r["bucket"]: r["bucket_size"] for r in rows}.values()) == 2000
+    of = {r["slot"]: r["bucket"] for r in rows}
+    assert Counter(of[r["h"] & ((1 << depth) - 1)] for r in keys.collect()) == {r["bucket"]: r["bucket_size"] for r in rows if r["bucket_size"]}
+    assert len(set(of.values())) < len(of)  # slots that need no split share a bucket
+    places = [r["bucket"] for r in sorted(rows, key=lambda r: r["place"])]
+    assert sum(a != b for a, b in zip(places, places[1:], strict=False)) == len(set(places)) - 1  # a bucket's slots are side by side
+
+
+def test_texts_of_one_hash_are_chained(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.length(c).cast("long") % 3)
+    df = spark.createDataFrame([(i, f"text {i % 7}" * (i % 4)) for i in range(60)], "doc_id long, text string")
+    by = defaultdict(list)
+    for i, x in held(df):
+        by[x].append(i)
+    same([tuple(r)[:3] for r in exact_dedup.groups(df, capacity=1).collect()], [(i, max(v), len(v)) for v in by.values() for i in v])
+    index, _, _ = exact_dedup.build_index(df, capacity=1)
+    chains = defaultdict(list)
+    for r in index.collect():
+        chains[r["h"]].append(r["chain"])
+    assert len(chains) <= 3 and all(sorted(c) == list(range(len(c))) for c in chains.values()) and sum(map(len, chains.values())) == len(by)
 
 
 @pytest.mark.parametrize("table", ["docs", "odd"])
@@ -108,7 +132,7 @@ def test_line_dedup(request, table):
         same([tuple(r) for r in got], want)
 
 
-@pytest.mark.parametrize("table,length,options", [("odd", 400, {}), ("odd", 40, {"span": 16}), ("odd", 40, {"span": 16, "crowd": 0}), ("docs", 60, {"span": 30, "run_bytes": 1 << 16})])
+@pytest.mark.parametrize("table,length,options", [("odd", 400, {}), ("odd", 40, {"span": 16}), ("odd", 40, {"span": 16, "crowd": 1}), ("docs", 60, {"span": 30, "run_bytes": 1 << 16}), ("docs", 60, {"span": 30, "crowd": 2})])
 def test_suffix_dedup(request, table, length, options):
     df = request.getfixturevalue(table)
     rows, n = held(df), Counter()
@@ -132,13 +156,26 @@ def test_suffix_dedup(request, table, length, options):
     same([tuple(r) for r in got], want)
 
 
+def test_long_texts_are_cut_into_slices_that_lose_no_window(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 500)
+    rng = np.random.default_rng(1)
+    passage = bytes(rng.integers(97, 123, 700).astype(np.uint8))
+    raw = np.frombuffer(bytes(rng.integers(97, 123, 2000).astype(np.uint8)) + passage, np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([raw.tobytes().decode()])], ["text"])
+    starts = []
+    for part, offs, rows, base in suffix_dedup.slices(batch, 60):
+        a = suffix_dedup.Anchors(part, offs, 60, 30)
+        starts += [base + at - d for at, low, high in zip(a.at.tolist(), a.low.tolist(), a.high.tolist(), strict=True) for d in range(low, high + 1)]
+    assert sorted(starts) == list(range(len(raw) - 59))
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = np.random.default_rng(3)
     runs = [sorted(bytes(rng.integers(97, 99, rng.integers(0, 12)).astype(np.uint8)) for _ in range(rng.integers(0, 40))) for _ in range(7)]
-    coded = [(r, suffix_dedup.front_code(r)[0]) for r in runs]
+    coded = [zip(r, suffix_dedup.front_code(r)[0], range(len(r)), strict=True) for r in runs]
     out, known = [], []
-    for run, i, n in suffix_dedup.LoserTree(coded):
-        out.append(runs[run][i])
+    for x, n, _ in suffix_dedup.LoserTree(coded):
+        out.append(x)
         known.append(n)
     assert out == sorted(x for r in runs for x in r)
     assert all(n == suffix_dedup.common_prefix(a, b) for a, b, n in zip(out, out[1:], known[1:], strict=False))
@@ -149,10 +186,10 @@ def test_word_encoder_is_the_library(docs, name, attached):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
-    mine = tokens.WordEncoder(path, attached, capacity=500)
+    mine = tokens.WordEncoder(path, attached, cache_bytes=40_000)
     more = ["  a  b ", "a \n b\t c  \n\nd e'll  ", "ÀÉ straße İI ΣΑΣ x y  z ́a", "<|endoftext|> hi<|startoftext|>", "\x1c a\x1d b\x85c", " lead", "a\r\nb \r\n c", "ﬁ don't 'S it's", "\n", " "]
     for x in [t or "" for t in TEXTS] + more + [r["text"] for r in docs.limit(60).collect()]:
-        assert np.frombuffer(mine.encode(x), np.uint16).tolist() == whole.encode(x, add_special_tokens=False).ids
+        assert mine.encode(x).tolist() == whole.encode(x, add_special_tokens=False).ids
 
 
 def library(df, name, end):
@@ -288,6 +325,29 @@ def test_language_id_on_held_out_rows(spark):
     assert sum(r["rejected"] for r in got) <= 0.02 * len(got)
 
 
+def test_language_id_rejects_other_scripts_and_noise(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [t for t, in df.filter("text IS NOT NULL AND length(text) > 200").select("text").limit(30).collect()]
+    foreign = ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 4, "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 6, "كان يا ما كان في قديم الزمان ملك عظيم يحكم بلادا واسعة " * 4, "qzx wvkj pqzz xkcd jjqw zxqv wkkq qqxz vvjk zzqp kxwj " * 6]
+    strange = foreign + language_id.noise(texts, 9)
+    more = spark.createDataFrame([(10**9 + i, x) for i, x in enumerate(strange)], "doc_id long, text string")
+    got = language_id.identify(df.select("doc_id", "text", "lang").unionByName(more, allowMissingColumns=True)).collect()
+    new = [r for r in got if r["doc_id"] >= 10**9]
+    assert all(r["rejected"] for r in new if r["doc_id"] < 10**9 + len(foreign))
+    assert sum(r["rejected"] for r in new) >= 0.9 * len(new)
+    assert sum(r["rejected"] for r in got if r["doc_id"] < 10**9) <= 0.005 * len(got)
+
+
+def test_language_scores_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(97, 110, n))) for n in (0, 1, 2, 5, 300, 4, 900, 3)]
+    model = language_id.train(texts, ["a", "b"] * 4)
+    want = language_id.scores(model, pa.array(texts), np.ones(8, bool))
+    monkeypatch.setattr(language_id, "_AT_ONCE", 64)
+    for a, b in zip(want, language_id.scores(model, pa.array(texts), np.ones(8, bool)), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_language_id_of_odd_rows(odd):
     for r in language_id.identify(odd).collect():
         text = next(x for i, x in [*enumerate(TEXTS)] if i == r["doc_id"])
@@ -315,6 +375,60 @@ def test_quality_features(request, table):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_fit_is_expectation_maximisation_over_documents():
+    """The fit over counted patterns against the same steps document by document, in plain Python."""
+    rng = np.random.default_rng(4)
+    docs = [tuple(int(x) for x in rng.choice([-1, 0, 1], 4, p=(0.1, 0.2, 0.7) if rng.random() < 0.8 else (0.5, 0.2, 0.3))) for _ in range(400)]
+    patterns = Counter(docs)
+    votes = np.array(list(patterns))
+    good, shares, prior = quality_rules.fit(votes, np.array(list(patterns.values())), rounds=25)
+    p_good, table = 0.9, {(y, r, v): x for y, row in ((0, (0.40, 0.20, 0.40)), (1, (0.02, 0.18, 0.80))) for r in range(4) for v, x in zip((-1, 0, 1), row, strict=True)}
+    for _ in range(25):
+        post = []
+        for d in docs:
+            odds = math.log(p_good / (1 - p_good)) + sum(math.log(table[1, r, v] / table[0, r, v]) for r, v in enumerate(d))
+            post.append(1 / (1 + math.exp(-odds)))
+        for y in (0, 1):
+            w = [p if y else 1 - p for p in post]
+            for r in range(4):
+                for v in (-1, 0, 1):
+                    table[y, r, v] = (sum(a for a, d in zip(w, docs, strict=True) if d[r] == v) + 1) / (sum(w) + 3)
+        for r in range(4):
+            table[1, r, -1] = min(table[1, r, -1], 0.03)
+            table[0, r, -1] = max(table[0, r, -1], 0.05, 2 * table[1, r, -1])
+            table[0, r, 1] = max(table[0, r, 1], 0.3 * table[1, r, 1])
+            for y in (0, 1):
+                total = sum(table[y, r, v] for v in (-1, 0, 1))
+                for v in (-1, 0, 1):
+                    table[y, r, v] /= total
+        p_good = min(max(sum(post) / len(docs), 0.5), 0.98)
+    by = dict(zip(map(tuple, votes.tolist()), good, strict=True))
+    assert max(abs(by[d] - p) for d, p in zip(docs, post, strict=True)) < 1e-6 and abs(prior - p_good) < 1e-6
+
+
+def test_rows_of_one_id_and_of_text_ids_are_told_apart(spark):
+    """Many null ids, text ids, and columns named like the helpers' own."""
+    long = "the first of many words that stand in this text so that windows of thirteen words can be found in it and repeated"
+    other = "a wholly different text with enough words of its own to hold a window of thirteen words that is not found elsewhere at all"
+    names = "_k, _t, _h, _sha, _text, _lettered, _marks, _keep".split(", ")
+    for ids, kind in (([7, 7, 1, None, None, None], "long"), (["b", "b", "a", None, None, None], "string")):
+        rows = [(i, x, "en", *["clash"] * 8) for i, x in zip(ids, [long, other, long, other + " x", long + " y", ""], strict=True)]
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+        got = [(r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_windows(df).collect()]
+        n = len(long.split())
+        same(got, [(ids[0], n), (ids[1], len(other.split())), (ids[2], n), (None, 0), (None, 0), (None, 0)])
+        same([tuple(r)[:4] for r in exact_dedup.groups(df).collect()], [(i, max(ids[0], ids[2]) if x == long else i, 2 if x == long else 1, x != long or i == max(ids[0], ids[2])) for i, x, *_ in rows])
+        for clean in (substring_dedup.clean, line_dedup.clean, jaccard_join.keep_one, exact_dedup.keep_one, language_id.keep_known):
+            assert clean(df).columns == df.columns and clean(df).count() <= 6
+        assert {r["group_id"] for r in jaccard_join.join(df).collect() if r["doc_id"] is not None} == {None}
+        for done in (line_dedup.dedup_lines(df), suffix_dedup.dedup_bytes(df), quality_rules.judge(df), language_id.identify(df)):
+            assert sorted(str(r["doc_id"]) for r in done.collect()) == sorted(map(str, ids))
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        assert packing.pack(df, path).count() == 6 and piece_sampling.encode(df, public_tokenizers.path("piece_bpe_32k.model")).count() == 6
+        starts = [r["start"] for r in token_output.read_documents(spark, token_output.write_ids(df, path), 50257).collect()]
+        assert len(set(starts)) == 6
+
+
 def test_quality_votes_find_bad_rows_and_keep_good_ones(spark):
     root = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{root}/labels.parquet").collect()}
@@ -343,12 +457,12 @@ def test_jaccard_join(request, table, options):
     rows = held(df)
     first, linked = brute_links(rows)
     got = jaccard_join.join(df, **options).collect()
-    same([tuple(r) for r in got], [(i, first[x], len(linked[x])) for i, x in rows])
     root = {x: x for x in first}
     for _ in first:
         for x in linked:
             for y in linked[x]:
                 root[x] = root[y] = min(root[x], root[y], key=first.get)
+    same([tuple(r) for r in got], [(i, first[x], len(linked[x]), first[root[x]]) for i, x in rows])
     kept = {first[root[x]] for x in first}
     assert {r["doc_id"] for r in jaccard_join.keep_one(df, **options).collect()} == kept
 
@@ -377,9 +491,9 @@ def test_empty_tables(spark, empty):
 
 
 def test_sketch_split_loses_none(spark):
-    rows = spark.range(5000).select(F.col("id").alias("k"), F.hash("id").alias("t"))
+    rows = spark.range(5000).select(F.col("id").alias("k"), text_key(F.col("id").cast("string")).alias("t"))
     marked = rows.filter("k % 7 = 0")
-    hit, clear = sketch.split(rows, marked, lambda it: it, "k long, t int")
+    hit, clear = sketch.split(rows, marked, lambda it: it, "k long, t binary")
     assert marked.join(hit, ["k", "t"], "left_anti").count() == 0
     assert hit.count() + clear.count() == 5000 and hit.count() < 1500
 

@@ -20,7 +20,7 @@ from ..shipping import ship
 #: Null ids count as the smallest id.
 NULL_ID = -(2**63)
 #: Bytes of text that one vectorised step handles at once (a longer text is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -111,6 +111,9 @@ def tidy(fn):
             _owner[0] = fn.__qualname__
             gc.collect()
         gc.disable()
+        if _libc is not None:  # arrays from 4 MB on go back to the machine as soon as they are freed
+            _libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from fn(*args, **kwargs)
         finally:
@@ -122,9 +125,10 @@ def tidy(fn):
     return run
 
 
+_MMAP_THRESHOLD = -3  # fixed value: the C library's name of the setting
 try:
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.malloc_trim  # noqa: B018  absent from other C libraries
+    _libc.malloc_trim, _libc.mallopt  # noqa: B018  absent from other C libraries
 except (OSError, AttributeError):
     _libc = None
 

@@ -120,7 +120,7 @@ def _dropped(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
 def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, n_dropped, kept_text, kept_sha256."""
     rows = keyed(docs, id_col, text_col)
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
+    schema = f"doc_id {kind_of(docs, id_col)}, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
     marks = written(repeated_lines(rows, min_chars, **limits), "repeated-lines")
     hit, clear = sketch.split(rows, marks, lambda it: _dropped(it, min_chars), schema)
     hit = hit.join(marks, ["k", "t"], "left").select("doc_id", "text", "keys")

@@ -201,7 +201,7 @@ def encode(docs: DataFrame, model: str, sharpness: float = 1.0, seed: int = 1, i
     """One row per document: doc_id, n_pieces, ids_crc32, decoded_sha256 (of the text decoded again), lossless, ids (32-bit little-endian)."""
     rows = keyed(docs, id_col, text_col)
     rows = rows.select("doc_id", (F.col("k") if kind_of(rows) == "bigint" else F.xxhash64("k")).alias("row_key"), "text")
-    return rows.mapInArrow(lambda it: _sampled(it, model, sharpness, seed), f"doc_id {dict(docs.dtypes)[id_col]}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids binary")
+    return rows.mapInArrow(lambda it: _sampled(it, model, sharpness, seed), f"doc_id {kind_of(docs, id_col)}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids binary")
 
 
 @tidy

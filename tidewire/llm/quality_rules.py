@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, keyed, mix, span_hashes, steps, text_bytes, tidy, word_spans, written
+from .common import _SPACE, U64, keyed, kind_of, mix, span_hashes, steps, text_bytes, tidy, word_spans, written
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -99,7 +99,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and COUNTS."""
     rows = keyed(docs, id_col, text_col).select("doc_id", "text")
-    return rows.mapInArrow(_measure, f"doc_id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(_measure, f"doc_id {kind_of(docs, id_col)}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.9) -> tuple[np.ndarray, np.ndarray, float]:

@@ -11,7 +11,7 @@ from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, piece
 
 def use_small_batches(spark: SparkSession) -> None:
     """Whole texts can be long: batches between the JVM and Python are bounded by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +104,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
     "op10_jaccard_join": r"""
-        WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS class_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        WITH RECURSIVE c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS class_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS (SELECT DISTINCT class_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT class_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM c WHERE doc_id = class_id AND len(words) >= 5)),
         n AS (SELECT class_id, count(*) AS n FROM s GROUP BY class_id),
         b AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS n FROM s x JOIN s y ON x.shingle = y.shingle AND x.class_id <> y.class_id GROUP BY 1, 2),
-        l AS (SELECT a, count(*) AS n_links FROM b JOIN n p ON p.class_id = a JOIN n q ON q.class_id = b.b WHERE b.n >= 0.8 * (p.n + q.n - b.n) - 1e-9 GROUP BY a)
-        SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0)::BIGINT AS n_links FROM c LEFT JOIN l ON l.a = c.class_id""",
+        e AS (SELECT a, b FROM b JOIN n p ON p.class_id = a JOIN n q ON q.class_id = b.b WHERE b.n >= 0.8 * (p.n + q.n - b.n) - 1e-9),
+        l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a),
+        r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+        g AS (SELECT node, min(root) AS group_id FROM r GROUP BY node)
+        SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(g.group_id, c.class_id) AS group_id FROM c LEFT JOIN l ON l.a = c.class_id LEFT JOIN g ON g.node = c.class_id""",
 }

@@ -54,7 +54,7 @@ def emit(once: np.ndarray, twice: np.ndarray, salt: int) -> Iterator[pa.RecordBa
 class Partial:
     """The cells of one task. Counts above one saturate at two: that is all the estimate is asked for."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit, self.held, self.n = limit, [], 0
         self.salt = TaskContext.get().partitionId() if TaskContext.get() else 0
 

@@ -178,7 +178,7 @@ def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
     rows = keyed(docs, id_col, text_col)
     marks = written(repeated_windows(rows, window, **limits), "repeated-windows")
-    hit, clear = _judged(rows, marks, window, dict(docs.dtypes)[id_col])
+    hit, clear = _judged(rows, marks, window, kind_of(docs, id_col))
     return hit.unionByName(clear).drop("k", "t")
 
 
