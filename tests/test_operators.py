@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
-from tidewire.operators import authority, clustering, graph, ingest, monitors, ranking, timelines
+from tidewire.operators import annotate, authority, catalogue, clustering, graph, ingest, monitors, ranking, timelines
 from tidewire.sources import feeds
 from tidewire.streaming import streams
 
@@ -179,3 +179,31 @@ def test_streams(spark, tmp_path):
     assert once.count() == 3
     newest = streams.upsert(src(), lambda old, new: ingest.newest_revision(new if old is None else old.unionByName(new), ["event_id"], F.col("ts")), str(tmp_path / "table"))
     assert {(r["event_id"], r["ts"]) for r in spark.read.parquet(newest).collect()} == {(1, t(100)), (2, t(3)), (9, t(401))}
+
+
+def test_mentions_take_the_longest_first_and_names_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x one two three four five six y"), (3, "a b a b c d")], "article_id long, text string")
+    names = spark.createDataFrame([(1, "a b"), (2, "b c d"), (3, "d e"), (4, "one two three four five six"), (5, "one two")], "entity_id long, folded string")
+    got = sorted((r["article_id"], r["entity_id"], r["place"]) for r in annotate.mentions(docs, names).collect())
+    assert got == [(1, 2, 1), (2, 4, 1), (3, 1, 0), (3, 2, 3)]
+
+
+def test_highlights_keep_a_span_that_only_a_dropped_one_overlaps(spark):
+    rows = [(1, 0, 10, "entity"), (1, 8, 17, "keyword"), (1, 15, 20, "keyword")]
+    got = sorted((r["start"], r["stop"]) for r in catalogue.highlight_ranges(spark.createDataFrame(rows, "article_id long, start int, stop int, kind string")).collect())
+    assert got == [(0, 10), (15, 20)]
+
+
+def test_complete_counts_of_several_files_are_those_of_the_last_batch(spark, tmp_path):
+    rows = spark.range(1000).select((F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(F.col("id") % 50).cast("int"))).alias("at"), (F.col("id") % 2).alias("side"))
+    for i in range(3):
+        rows.filter(F.pmod(F.hash("at", "side"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    days = streams.daily_counts(streams.read(spark, str(tmp_path / "in"), rows.schema), "at", ["side"])
+    got = streams.newest_version(spark, streams.run_to_table(days, "complete"))
+    assert got.selectExpr("sum(n)").first()[0] == 1000 and got.count() == 6
+
+
+def test_rising_counts_follow_the_hours(spark):
+    hours = spark.createDataFrame([(f"2024-01-{d:02d} 05:00:00", 1, 10 if d == 9 else 1) for d in range(1, 10)], "hour string, feed long, n long").withColumn("hour", F.col("hour").cast("timestamp"))
+    last = streams.rising(hours, ["feed"]).orderBy(F.desc("hour")).first()
+    assert (last["today"], last["before"]) == (10, 7)

@@ -151,3 +151,11 @@ def highlight(text: Column, words: list[str], mark: str = "**") -> Column:
 
     pattern = r"(?iU)\b(" + "|".join(re.escape(w) for w in words) + r")\b"
     return F.regexp_replace(text, pattern, f"{mark}$1{mark}") if words else text
+
+
+def term_overlap(a: Column, b: Column, weight: Column) -> Column:
+    """Sum of the shared terms' weights over the smaller set's size held between 12 and 25, at most 1; 0 with fewer than four shared. `weight`: a map of term weights."""
+    shared = F.array_intersect(a, b)
+    total = F.aggregate(shared, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(weight, t), F.lit(0.0)))
+    size = F.greatest(F.lit(12), F.least(F.lit(25), F.size(a), F.size(b)))
+    return F.when(F.size(shared) < 4, 0.0).otherwise(F.least(F.lit(1.0), total / size))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalogue import without_overlaps
+
 #: Commonest function words, a profile a language.
 PROFILES = {
     "en": "the of and to in is that for it with was on are as be this have from",
@@ -96,18 +98,20 @@ def greek_fold(text: Column) -> Column:
     return F.translate(F.lower(text), "άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ")
 
 
-def mentions(docs: DataFrame, names: DataFrame, key: str = "article_id", most: int = 3) -> DataFrame:
-    """(key, name id, place, n_words): whole-word runs of up to `most` words that are a known name; overlapping ones go to the longest, then first.
+def mentions(docs: DataFrame, names: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key, name id, place, n_words): whole-word runs that are a known name, of names of any length; of overlapping ones the longest stays, then the first, then the smaller id.
 
     `names`: entity_id, folded (lower-case words joined by a space). The join is on the words; Spark broadcasts `names` where it is small.
     """
+    sizes = [r[0] for r in names.select(F.size(F.split("folded", " "))).distinct().collect()]  # the different lengths of names, in words
     bag = F.transform(words(F.col("text")), lambda w: F.lower(w))
     rows = docs.select(key, bag.alias("bag")).select(key, "bag", F.posexplode("bag").alias("place", "_w")).drop("_w")
-    each = rows.select(key, "place", F.explode(F.array(*[F.struct(F.lit(n).alias("n_words"), F.when(F.col("place") + n <= F.size("bag"), F.array_join(F.slice("bag", F.col("place") + 1, n), " ")).alias("folded")) for n in range(1, most + 1)])).alias("g"))
+    runs = [F.struct(F.lit(n).alias("n_words"), F.when(F.col("place") + n <= F.size("bag"), F.array_join(F.slice("bag", F.col("place") + 1, n), " ")).alias("folded")) for n in sorted(sizes) or [1]]
+    each = rows.select(key, "place", F.explode(F.array(*runs)).alias("g"))
     hit = each.select(key, "place", "g.*").filter(F.col("folded").isNotNull()).join(names.select("entity_id", "folded"), "folded")
-    w = Window.partitionBy(key).orderBy("place", F.desc("n_words"), "entity_id").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.col("place") + F.col("n_words")).over(w)
-    return hit.withColumn("reach", F.coalesce(reach, F.lit(0))).filter(F.col("place") >= F.col("reach")).select(key, "entity_id", "place", "n_words")
+    spans = hit.select(key, F.col("place").alias("start"), (F.col("place") + F.col("n_words")).alias("stop"), "entity_id")
+    kept = without_overlaps(spans, [key], lambda s: F.struct((s["start"] - s["stop"]).alias("a"), s["start"].alias("b"), s["entity_id"].alias("c")))
+    return kept.select(key, "entity_id", F.col("start").alias("place"), (F.col("stop") - F.col("start")).alias("n_words"))
 
 
 def entity_rows(found: DataFrame, key: str = "article_id") -> DataFrame:
@@ -122,14 +126,14 @@ def primary_country(rows: DataFrame, key: str = "article_id") -> DataFrame:
     return one.filter((F.col("n") == 1) & F.col("country").isNotNull()).select(key, "country")
 
 
-def merge_short_names(people: DataFrame, longest: int = 5, key: str = "article_id") -> DataFrame:
+def merge_short_names(people: DataFrame, key: str = "article_id") -> DataFrame:
     """(key, name, target): names that are the end of one longer name's words in the same article, where all longer ones share a first word.
 
     `people`: key, name (folded), n. A name is matched by its suffixes, so names of different articles never meet; the target is the
     most mentioned longer name, the later in the alphabet on ties.
     """
-    split = people.withColumn("words", F.split("name", " ")).filter(F.size("words") <= longest)
-    ends = split.filter(F.size("words") > 1).select(key, F.col("name").alias("long"), F.col("n").alias("long_n"), F.element_at("words", 1).alias("first"), F.explode(F.transform(F.sequence(F.lit(2), F.size("words")), lambda i: F.array_join(F.slice("words", i, F.lit(longest)), " "))).alias("name"))
+    split = people.withColumn("words", F.split("name", " "))
+    ends = split.filter(F.size("words") > 1).select(key, F.col("name").alias("long"), F.col("n").alias("long_n"), F.element_at("words", 1).alias("first"), F.explode(F.transform(F.sequence(F.lit(2), F.size("words")), lambda i: F.array_join(F.slice("words", i, F.size("words")), " "))).alias("name"))
     met = people.select(key, "name").join(ends, [key, "name"])
     best = met.groupBy(key, "name").agg(F.count_distinct("first").alias("firsts"), F.max_by("long", F.struct("long_n", "long")).alias("target"))
     return best.filter("firsts = 1").select(key, "name", "target")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import first_per_group
@@ -136,13 +138,22 @@ def history(changes: DataFrame, entities: DataFrame, root) -> DataFrame:
     return changes.join(ids, "entity_id", "left_semi").orderBy("at", "change_id")
 
 
+def without_overlaps(spans: DataFrame, key: list[str], order: Callable[[Column], Column]) -> DataFrame:
+    """Per key the spans (start, stop, …) that overlap none taken before them, taken in `order` (least first).
+
+    A key's spans are bounded by its text; they are folded over in one array, as each choice depends on those before.
+    """
+    rest = [c for c in spans.columns if c not in key]
+    one = F.struct(*rest)
+    listed = spans.select(*key, one.alias("s")).select(*key, F.struct(order(F.col("s")).alias("o"), "s").alias("s")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["s"]).alias("all"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"]))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return listed.select(*key, F.explode(kept).alias("s")).select(*key, "s.*")
+
+
 def highlight_ranges(spans: DataFrame) -> DataFrame:
-    """Spans to mark: where two overlap an entity wins over a keyword, then the longer, then the first. `spans`: article_id, start, stop, kind.
+    """Spans to mark: entities before keywords, then the longer, then the first; a span stays when it overlaps none that stays before it.
 
-    Ranks go within an article, whose spans are bounded by its length; a span stays when no better one overlaps it.
+    `spans`: article_id, start, stop, kind.
     """
-    w = Window.partitionBy("article_id").orderBy((F.col("kind") != "entity").cast("int"), F.col("start") - F.col("stop"), "start")
-    ranked = spans.withColumn("rank", F.row_number().over(w))
-    better = ranked.select("article_id", F.col("rank").alias("r"), F.col("start").alias("s"), F.col("stop").alias("e"))
-    beaten = ranked.alias("x").join(better, "article_id").filter((F.col("r") < F.col("rank")) & (F.col("s") < F.col("stop")) & (F.col("start") < F.col("e"))).select("article_id", "rank").distinct()
-    return ranked.join(beaten, ["article_id", "rank"], "left_anti").select("article_id", "start", "stop", "kind")
+    return without_overlaps(spans.select("article_id", "start", "stop", "kind"), ["article_id"], lambda s: F.struct((s["kind"] != "entity").cast("int").alias("a"), (s["start"] - s["stop"]).alias("b"), s["start"].alias("c")))

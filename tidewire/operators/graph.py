@@ -58,21 +58,28 @@ def evidence(links: DataFrame, key: str, a, b, at: str, story: str, subject: str
     return both.agg(F.count("*").alias("total"), F.min(at).alias("first"), F.max(at).alias("last"), F.count_distinct(story).alias("stories"))
 
 
-def communities(edge_rows: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, label): weighted label propagation in rounds; a node takes the heaviest label around it, the smaller on ties, its own counting as a tie.
+def communities(edge_rows: DataFrame, rounds: int = 20, vote: str = "weight") -> DataFrame:
+    """(node, label): weighted label propagation. A node takes the label with most votes around it, the busier node's on ties; a label is the node it began with.
 
-    All nodes of a round move together, where one-at-a-time order would need one machine. Every round is written to spark.checkpoint.dir.
+    One node after another, the busiest first, would need one machine. Here nodes are numbered by how busy they are, and those of even and
+    of odd numbers move in turns, so that two neighbours seldom swap labels for ever. Every round is written to spark.checkpoint.dir.
+    The nodes are those of a drawn graph, a bounded number, so numbering them in one task is cheap.
     """
-    both = _kept(edge_rows.select("a", "b", "weight").unionByName(edge_rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    label = _kept(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("a").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("next"))
-        after = _kept(label.join(best.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("label")).alias("moved")))
-        label = after.select("node", "label")
-        if after.filter("moved").isEmpty():
+    both = _kept(edge_rows.select("a", "b", F.col(vote).alias("vote")).unionByName(edge_rows.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col(vote).alias("vote"))))
+    busy = both.groupBy(F.col("a").alias("node")).agg(F.sum("vote").alias("busy"))
+    start = _kept(busy.select("node", F.row_number().over(Window.orderBy(F.desc("busy"), "node")).alias("number")))
+    label = start.withColumn("label", F.col("number"))
+    still = 0
+    for i in range(rounds):
+        votes = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("vote").alias("w"))
+        best = votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("next"))
+        turn = F.col("number") % 2 == i % 2
+        after = _kept(label.join(best, "node").select("node", "number", F.when(turn, F.col("next")).otherwise(F.col("label")).alias("label"), (turn & (F.col("next") != F.col("label"))).alias("moved")))
+        label = after.drop("moved")
+        still = still + 1 if after.filter("moved").isEmpty() else 0
+        if still == 2:
             break
-    return label
+    return label.select("node", "label").join(start.select(F.col("number").alias("label"), F.col("node").alias("named")), "label").select("node", F.col("named").alias("label"))
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ def input_document(articles: DataFrame, discoveries: DataFrame) -> DataFrame:
 
 
 def stale(documents: DataFrame, states: DataFrame, processors: DataFrame, force: bool = False) -> DataFrame:
-    """(article, processor) that never ran or ran on another input, version or configuration. `processors` is a handful of rows."""
-    wanted = documents.select("article_id", "fingerprint").join(F.broadcast(processors.limit(1000)))
+    """(article, processor) that never ran or ran on another input, version or configuration. All processors come as one row, so each document is widened where it is read."""
+    all_of_them = processors.agg(F.collect_list(F.struct("processor", "version")).alias("p"))
+    wanted = documents.select("article_id", "fingerprint").join(F.broadcast(all_of_them)).select("article_id", "fingerprint", F.inline("p"))
     held = states.select("article_id", "processor", F.col("fingerprint").alias("old_fingerprint"), F.col("version").alias("old_version"))
     rows = wanted.join(held, ["article_id", "processor"], "left")
     if not force:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,24 @@ def postings(docs: DataFrame, fields: dict[str, float], key: str = "article_id")
 
 def bm25(docs: DataFrame, words: list[str], fields: dict[str, float], key: str = "article_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents that hold every word. Only the query's terms leave the scan: lengths are counted beside them in the row."""
+    from ..session import shared_dir
+
     words = sorted({w.lower() for w in words})
-    bags = [tokens(F.col(n)) for n in fields]
-    size = sum((F.size(t) for t in bags[1:]), F.size(bags[0]))
-    tf = [sum((F.lit(float(boost)) * occurrences(bag, w) for bag, boost in zip(bags, fields.values(), strict=True)), F.lit(0.0)) for w in words]
-    rows = docs.select(key, size.alias("len"), *[x.alias(f"tf{i}") for i, x in enumerate(tf)])
+    boosts = list(fields.values())
+    bags = docs.select(key, F.array(*[tokens(F.col(n)) for n in fields]).alias("bags"))
+    zero = F.struct(F.lit(0).alias("len"), F.array(*[F.lit(0.0)] * len(words)).alias("tf"))
+
+    def counted(bag: Column, boost: float) -> Column:  # one walk over a field's words for its length and all words' counts
+        step = lambda s, t: F.struct((s["len"] + 1).alias("len"), F.transform(s["tf"], lambda x, i: x + F.when(t == F.element_at(F.array(*map(F.lit, words)), i + 1), float(boost)).otherwise(0.0)).alias("tf"))
+        return F.aggregate(bag, zero, step)
+
+    each = bags.select(key, F.array(*[counted(F.col("bags")[i], boost) for i, boost in enumerate(boosts)]).alias("c"))
+    size = F.aggregate("c", F.lit(0), lambda s, x: s + x["len"])
+    one = lambda i: F.aggregate("c", F.lit(0.0), lambda s, x: s + x["tf"][i])
+    sums = [one(i) for i in range(len(words))]
+    path = f"{shared_dir(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    each.select(key, size.alias("len"), *[x.alias(f"tf{i}") for i, x in enumerate(sums)]).write.parquet(path)  # narrow; read twice
+    rows = docs.sparkSession.read.parquet(path)
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     total = F.lit(0.0)
     for i in range(len(words)):
@@ -78,9 +93,26 @@ def distinctive(posting: DataFrame, n_docs: int, k: int = 25, least_df: int = 2,
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "term", "weight")
 
 
-def related(posting: DataFrame, n_docs: int, articles: DataFrame, least: int = 5, k: int = 25, key: str = "article_id") -> DataFrame:
-    """For the given articles, others that share `least` of their most distinctive terms; score is the sum of the terms' weights."""
+def related(posting: DataFrame, n_docs: int, articles: DataFrame, least: int = 5, k: int = 25, key: str = "article_id", stop_words: list[str] | None = None, stories: DataFrame | None = None, shown: int | None = None) -> DataFrame:
+    """For the given articles, others that share `least` of their most distinctive terms; score is the sum of the terms' weights.
+
+    Stop words never relate; with `stories` (key, cluster_id) an article's own story is left out; `shown` is how many are listed, best first, then by id.
+    """
+    if stop_words:
+        posting = posting.filter(~F.col("term").isin(*stop_words))
     terms = distinctive(posting, n_docs, k, key=key)
     own = terms.join(articles.select(key), key, "left_semi").withColumnRenamed(key, "target")
     met = own.join(posting.select(F.col(key).alias("other"), "term"), "term").filter(F.col("target") != F.col("other"))
-    return met.groupBy("target", "other").agg(F.count("*").alias("shared"), F.round(F.sum("weight"), 6).alias("score")).filter(F.col("shared") >= least)
+    found = met.groupBy("target", "other").agg(F.count("*").alias("shared"), F.round(F.sum("weight"), 6).alias("score")).filter(F.col("shared") >= least)
+    if stories is not None:
+        found = _other_stories(found, stories, key)
+    if shown is None:
+        return found
+    w = Window.partitionBy("target").orderBy(F.desc("score"), "other")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= shown).drop("rank")
+
+
+def _other_stories(found: DataFrame, stories: DataFrame, key: str) -> DataFrame:
+    of = lambda name: stories.select(F.col(key).alias(name), F.col("cluster_id").alias(f"{name}_story"))
+    apart = found.join(of("target"), "target", "left").join(of("other"), "other", "left")
+    return apart.filter(~F.coalesce(F.col("target_story") == F.col("other_story"), F.lit(False))).select("target", "other", "shared", "score")

@@ -99,14 +99,13 @@ def _(spark, d):
 # ---------------------------------------------------------------- timelines
 
 
-@query("ingestion_timeline", """, n AS (SELECT date_trunc('day', started_at)::TIMESTAMP AS bucket, count(*) AS n FROM fetches WHERE feed_id % 10 = 0 GROUP BY 1),
+@query("ingestion_timeline", """, n AS (SELECT date_trunc('day', started_at)::TIMESTAMP AS bucket, count(*) AS n FROM fetches GROUP BY 1),
     s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM n), (SELECT max(bucket) FROM n), INTERVAL 1 DAY)) AS bucket),
     z AS (SELECT bucket, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (bucket)),
     m AS (SELECT *, avg(n) OVER w AS mean_before, count(*) OVER w = 7 AS whole FROM z WINDOW w AS (ORDER BY bucket ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
     SELECT bucket, n, mean_before, whole AND n > 0 AND n >= 2 * mean_before AS spike FROM m""")
 def _(spark, d):
-    rows = A.fetches(spark, d).filter(F.col("feed_id") % 10 == 0)
-    return timelines.with_spikes(timelines.histogram(rows, "started_at", "day"))
+    return timelines.with_spikes(timelines.histogram(A.fetches(spark, d), "started_at", "day"))
 
 
 @query("ingestion_timeline_whole", """, n AS (SELECT date_trunc('day', started_at)::TIMESTAMP AS bucket, count(*) AS n FROM fetches GROUP BY 1),
@@ -206,7 +205,22 @@ def _(spark, d):
     return graph.evidence(A.members(spark, d), "feed_id", 1, 2, "effective_at", "cluster_id")
 
 
-@query("graph_communities")
+def _rounds(n: int) -> str:
+    """The SQL of `n` rounds of label propagation, one table a round."""
+    out = """, e AS (SELECT a, b, weight AS vote FROM edges UNION ALL SELECT b, a, weight FROM edges),
+        l0 AS MATERIALIZED (SELECT node, number, number AS label FROM (SELECT a AS node, row_number() OVER (ORDER BY sum(vote) DESC, a) AS number FROM e GROUP BY a))"""
+    for i in range(n):
+        out += f""", v{i} AS (SELECT e.a, l.label, sum(vote) AS w FROM e JOIN l{i} l ON l.node = e.b GROUP BY 1, 2), b{i} AS (SELECT a, arg_min(label, (-w, label)) AS next FROM v{i} GROUP BY 1),
+        l{i + 1} AS MATERIALIZED (SELECT node, number, CASE WHEN number % 2 = {i % 2} THEN next ELSE label END AS label FROM l{i} JOIN b{i} ON a = node)"""
+    return out + f" SELECT x.node, y.node AS label FROM l{n} x JOIN l0 y ON y.number = x.label"
+
+
+_DRAWN = """, nodes AS (SELECT feed_id, count(DISTINCT article_id) AS articles FROM members GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50), r AS (SELECT DISTINCT article_id, feed_id FROM members JOIN nodes USING (feed_id)),
+    p AS (SELECT x.feed_id AS a, y.feed_id AS b, count(*) AS weight FROM r x JOIN r y ON x.article_id = y.article_id AND x.feed_id < y.feed_id GROUP BY 1, 2 HAVING count(*) >= 2),
+    edges AS (SELECT a, b, weight, round(weight / (m.articles + n.articles - weight), 4) AS score FROM p JOIN nodes m ON m.feed_id = a JOIN nodes n ON n.feed_id = b ORDER BY score DESC, weight DESC, a, b LIMIT 150)"""
+
+
+@query("graph_communities", _DRAWN + _rounds(20))
 def _(spark, d):
     rows = A.members(spark, d)
     return graph.communities(graph.edges(rows, graph.nodes(rows, "feed_id", 50), "feed_id"))
@@ -268,8 +282,8 @@ def _(spark, d):
     return clustering.document_frequency(rows, rows)
 
 
-_FACTS = """, span AS (SELECT cluster_id, min(effective_at) AS first, max(effective_at) AS last, count(DISTINCT article_id) AS articles FROM members WHERE effective_at >= TIMESTAMP '2001-06-01' GROUP BY 1),
-    own AS (SELECT DISTINCT cluster_id, article_id FROM members WHERE effective_at >= TIMESTAMP '2001-06-01'),
+_FACTS = """, span AS (SELECT cluster_id, min(effective_at) AS first, max(effective_at) AS last, count(DISTINCT article_id) AS articles FROM members GROUP BY 1),
+    own AS (SELECT DISTINCT cluster_id, article_id FROM members),
     sets AS (SELECT o.cluster_id, list_sort(list(DISTINCT feed_id)) AS entities FROM own o JOIN (SELECT article_id, feed_id FROM members) USING (article_id) GROUP BY 1),
     home AS (SELECT cluster_id, country FROM (SELECT o.cluster_id, country, count(DISTINCT article_id) AS n FROM own o JOIN countries USING (article_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, country) = 1),
     facts AS (SELECT span.*, entities, country FROM span LEFT JOIN sets USING (cluster_id) LEFT JOIN home USING (cluster_id)),
@@ -284,8 +298,7 @@ def _carriers(spark, d):
 
 
 def _facts(spark, d):
-    rows = A.members(spark, d).filter(F.col("effective_at") >= "2001-06-01")
-    return events.cluster_facts(rows, _carriers(spark, d), A.countries(spark, d))
+    return events.cluster_facts(A.members(spark, d), _carriers(spark, d), A.countries(spark, d))
 
 
 @query("event_story_facts", _FACTS + " SELECT cluster_id, first, last, articles, array_to_string(entities, ',') AS entities, country FROM facts")
@@ -377,15 +390,18 @@ def _(spark, d):
     return search.facets(A.texts(spark, d), {"language": F.array("language"), "source": F.array("source"), "word": search.tokens(F.col("title"))})
 
 
-_RELATED = f""", p AS (SELECT article_id, term, count(*)::DOUBLE AS tf FROM (SELECT article_id, unnest({_TOK.format('text')}) AS term FROM texts) GROUP BY 1, 2),
+_STOP_SQL = "('" + "', '".join(STOP_WORDS) + "')"
+_RELATED = f""", p AS (SELECT article_id, term, count(*)::DOUBLE AS tf FROM (SELECT article_id, unnest({_TOK.format('text')}) AS term FROM texts) WHERE term NOT IN {_STOP_SQL} GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= 2), w AS (SELECT article_id, term, tf * ln((SELECT count(*) FROM texts) / df) AS weight FROM p JOIN df USING (term) WHERE length(term) >= 3),
-    top AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY weight DESC, term) <= 25)"""
+    top AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY weight DESC, term) <= 25),
+    met AS (SELECT t.article_id AS target, p.article_id AS other, count(*) AS shared, round(sum(t.weight), 6) AS score FROM top t JOIN p ON p.term = t.term AND p.article_id <> t.article_id WHERE t.article_id % 100 = 0 AND t.article_id // 10 <> p.article_id // 10 GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
 
-@query("related_articles", _RELATED + " SELECT t.article_id AS target, p.article_id AS other, count(*) AS shared, round(sum(t.weight), 6) AS score FROM top t JOIN p ON p.term = t.term AND p.article_id <> t.article_id WHERE t.article_id % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 5")
+@query("related_articles", _RELATED + " SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, other) <= 10")
 def _(spark, d):
     docs = A.texts(spark, d)
-    return search.related(search.postings(docs, {"text": 1.0}), docs.count(), docs.filter(F.col("article_id") % 100 == 0))
+    stories = docs.select("article_id", F.floor(F.col("article_id") / 10).alias("cluster_id"))
+    return search.related(search.postings(docs, {"text": 1.0}), docs.count(), docs.filter(F.col("article_id") % 100 == 0), stop_words=STOP_WORDS, stories=stories, shown=10)
 
 
 @query("same_element_filter", "SELECT DISTINCT article_id FROM members JOIN supplier ON feed_id = s_suppkey WHERE s_nationkey IN (3, 4) AND feed_id % 2 = 0")
@@ -550,9 +566,8 @@ def _(spark, d):
 
 @query("stream_daily_counts", "SELECT date_trunc('day', started_at)::TIMESTAMP AS day, status, count(*) AS n FROM fetches GROUP BY 1, 2")
 def _(spark, d):
-    rows = streams.read(spark, d, A.table(spark, d, "events").schema, "events.parquet")
-    days = rows.withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("success")).groupBy(F.date_trunc("day", "ts").alias("day"), "status").agg(F.count("*").alias("n"))
-    out = streams.run_to_table(days, "complete")
-    return spark.read.parquet(out).drop("version")
+    rows = streams.read(spark, f"{d}/events.parque[t]", A.table(spark, d, "events").schema)  # a pattern reads one file and a folder of files alike
+    days = streams.daily_counts(rows.withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("success")), "ts", ["status"])
+    return streams.newest_version(spark, streams.run_to_table(days, "complete"))
 
-from . import annotation_queries, catalogue_queries, upkeep_queries  # noqa: E402, F401  add their queries
+from . import annotation_queries, catalogue_queries, listing_queries, upkeep_queries  # noqa: E402, F401  add their queries

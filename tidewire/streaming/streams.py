@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -25,10 +25,15 @@ def daily_counts(stream: DataFrame, at: str, group: list[str], lateness: str = "
 
 
 def rising_counts(stream: DataFrame, at: str, group: list[str], lateness: str = "2 minutes") -> DataFrame:
-    """Sliding eight days by the hour: rows of the last day and of the seven before."""
-    w = F.window(at, "8 days", "1 hour")
-    recent = F.col(at) >= F.col("window.end") - F.expr("interval 1 day")
-    return stream.withWatermark(at, lateness).withColumn("window", w).groupBy("window", *group).agg(F.count_if(recent).alias("today"), F.count_if(~recent).alias("before"))
+    """Counts by hour, from which `rising` makes those of the last day and of the seven before: each row counts once in the stream's state."""
+    return stream.withWatermark(at, lateness).groupBy(F.window(at, "1 hour"), *group).agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), *group, "n")
+
+
+def rising(hours: DataFrame, group: list[str]) -> DataFrame:
+    """Of hourly counts: at each hour that has rows, those of the 24 hours up to it and of the seven days before these."""
+    w = Window.partitionBy(*group).orderBy(F.unix_seconds("hour"))
+    total = lambda a, b: F.coalesce(F.sum("n").over(w.rangeBetween(a * 3600, b * 3600)), F.lit(0))
+    return hours.select("hour", *group, total(-23, 0).alias("today"), total(-191, -24).alias("before"))
 
 
 def sessions(stream: DataFrame, at: str, group: list[str], gap: str = "72 hours", lateness: str = "2 minutes") -> DataFrame:
@@ -84,6 +89,12 @@ def run_to_table(stream: DataFrame, mode: str = "append", path: str | None = Non
     return path
 
 
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """What the last micro-batch of a complete-mode run left."""
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version", "left_semi").drop("version")
+
+
 def upsert(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str) -> str:
     """Each micro-batch folded into the newest version of a table. A batch that runs again writes the same version."""
     spark = stream.sparkSession
