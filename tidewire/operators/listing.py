@@ -93,8 +93,8 @@ def see_also(relations: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFr
 
 
 def fold_changes(entities: DataFrame, changes: DataFrame) -> DataFrame:
-    """Entities after a table of changes (entity_id, field, value, change_id): of each field the last change counts. Fields: name, kind, note, hidden, ambiguous, status."""
-    last = changes.groupBy("entity_id", "field").agg(F.max_by("value", "change_id").alias("value"))
+    """Entities after a table of changes (entity_id, field, value, change_id): of each field the last change counts, of equal ones the greater value. Fields: name, kind, note, hidden, ambiguous, status."""
+    last = changes.groupBy("entity_id", "field").agg(F.max_by("value", F.struct("change_id", "value")).alias("value"))
     fields = ["name", "kind", "note", "hidden", "ambiguous", "status"]
     wide = last.groupBy("entity_id").agg(*[F.max(F.when(F.col("field") == f, F.struct("value"))).alias(f"new_{f}") for f in fields])
     rows = entities.join(wide, "entity_id", "left")

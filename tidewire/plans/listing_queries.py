@@ -147,7 +147,7 @@ def _(spark, d):
 
 
 @query("folded_changes", """, c AS (SELECT l_partkey AS entity_id, CASE l_linenumber % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'hidden' ELSE 'status' END AS field, CASE WHEN l_linenumber % 3 = 1 THEN CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END ELSE 'v' || l_suppkey END AS value, l_orderkey * 10 + l_linenumber AS change_id FROM lineitem),
-    w AS (SELECT entity_id, field, arg_max(value, change_id) AS value FROM c GROUP BY 1, 2)
+    w AS (SELECT entity_id, field, arg_max(value, (change_id, value)) AS value FROM c GROUP BY 1, 2)
     SELECT p_partkey AS entity_id, coalesce(n.value, p_name) AS name, p_type AS kind, NULL::VARCHAR AS note, h.value AS hidden, NULL::VARCHAR AS ambiguous, s.value AS status FROM part
     LEFT JOIN w n ON n.entity_id = p_partkey AND n.field = 'name' LEFT JOIN w h ON h.entity_id = p_partkey AND h.field = 'hidden' LEFT JOIN w s ON s.entity_id = p_partkey AND s.field = 'status'""")
 def _(spark, d):
