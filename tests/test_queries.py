@@ -44,7 +44,7 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry_points_without_the_text_subpackage(spark):
