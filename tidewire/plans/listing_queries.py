@@ -175,13 +175,13 @@ def _(spark, d):
     return listing.name_claims(e.filter("entity_id % 3 <> 0"), claims)
 
 
-@query("country_variants", """, e AS (SELECT c_custkey AS entity_id, 'n' || (c_custkey % 40) AS folded, CASE WHEN c_custkey % 6 = 1 THEN c_custkey - 1 END AS authority_id FROM customer WHERE c_custkey < 41), r AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 99 END AS root_id FROM nation),
+@query("country_variants", """, e AS (SELECT c_custkey AS entity_id, 'n' || (c_custkey % 40) AS folded, CASE WHEN c_custkey % 6 = 1 THEN c_custkey - 1 END AS authority_id FROM customer), r AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 99 END AS root_id FROM nation),
     s AS (SELECT n_nationkey AS code, 'n' || (n_nationkey * 2) AS folded FROM nation UNION ALL SELECT n_nationkey, 'n' || (n_nationkey + 1) FROM nation), t AS (SELECT DISTINCT authority_id FROM e WHERE authority_id IS NOT NULL)
     SELECT s.code, s.folded, root_id, CASE WHEN entity_id IS NULL THEN 'created' WHEN entity_id = root_id THEN 'own' WHEN e.authority_id = root_id THEN 'linked_before' WHEN e.authority_id IS NOT NULL THEN 'chosen' WHEN t.authority_id IS NOT NULL THEN 'used' ELSE 'linked' END AS outcome
     FROM s JOIN r USING (code) LEFT JOIN e ON e.folded = s.folded LEFT JOIN t ON t.authority_id = entity_id""")
 def _(spark, d):
     key, n = F.col("c_custkey"), F.col("n_nationkey")
-    e = A.table(spark, d, "customer").filter("c_custkey < 41").select(key.alias("entity_id"), F.concat(F.lit("n"), (key % 40).cast("string")).alias("folded"), F.when(key % 6 == 1, key - 1).alias("authority_id"))
+    e = A.table(spark, d, "customer").select(key.alias("entity_id"), F.concat(F.lit("n"), (key % 40).cast("string")).alias("folded"), F.when(key % 6 == 1, key - 1).alias("authority_id"))
     nation = A.table(spark, d, "nation")
     roots = nation.select(n.alias("code"), F.when(n % 2 == 0, n).otherwise(99).alias("root_id"))
     spelled = nation.select(n.alias("code"), F.explode(F.array(n * 2, n + 1)).alias("x")).select("code", F.concat(F.lit("n"), F.col("x").cast("string")).alias("folded"))
