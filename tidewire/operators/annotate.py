@@ -137,3 +137,73 @@ def merge_short_names(people: DataFrame, key: str = "article_id") -> DataFrame:
     met = people.select(key, "name").join(ends, [key, "name"])
     best = met.groupBy(key, "name").agg(F.count_distinct("first").alias("firsts"), F.max_by("long", F.struct("long_n", "long")).alias("target"))
     return best.filter("firsts = 1").select(key, "name", "target")
+
+
+def locate(docs: DataFrame, value: str, key: str = "article_id") -> DataFrame:
+    """(key, section, start, end, text_start, text_end): whole-word places of a value, case aside, counted in characters from 0.
+
+    `docs`: key, sections (kind, text), which are read joined by a newline. A place within a section has its offsets there; one that
+    crosses sections has section `input` and the offsets of the joined text. Null texts are empty; an empty value is found nowhere.
+    """
+    import re
+
+    parts = F.transform("sections", lambda s: F.coalesce(s["text"], F.lit("")))
+    rows = docs.select(key, "sections", parts.alias("parts"), F.array_join(parts, "\n").alias("whole"))
+    pattern = r"(?iUs)(?<![\p{L}\p{N}_])" + re.escape(value) + r"(?![\p{L}\p{N}_])"
+    pieces = F.split("whole", pattern)
+    found = F.regexp_extract_all("whole", F.lit(f"({pattern})"), 1)
+    # A place begins where the pieces and matches before it end.
+    step = lambda acc, i: F.struct(
+        F.concat(acc["at"], F.array(acc["end"] + F.length(F.get("pieces", i)))).alias("at"), (acc["end"] + F.length(F.get("pieces", i)) + F.length(F.get("found", i))).alias("end")
+    )
+    places = F.aggregate(F.sequence(F.lit(0), F.size("found") - 1), F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end")), step)["at"]
+    rows = rows.select(key, "sections", "parts", pieces.alias("pieces"), found.alias("found")).filter((F.size("found") > 0) & F.lit(value != ""))
+    each = rows.select(key, "sections", "parts", F.explode(F.arrays_zip(places.alias("at"), F.col("found").alias("hit"))).alias("p")).select(key, "sections", "parts", F.col("p.at").alias("text_start"), (F.col("p.at") + F.length("p.hit")).alias("text_end"))
+    begin = F.aggregate("parts", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t) + 1)))
+    inside = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (F.get("begin", i) <= F.col("text_start")) & (F.col("text_end") <= F.get("begin", i) + F.length(F.get("parts", i))))
+    placed = each.withColumn("begin", begin).withColumn("i", F.get(inside, F.lit(0))).withColumn("from", F.coalesce(F.get("begin", F.col("i")), F.lit(0)))
+    section = F.coalesce(F.get("sections", F.col("i"))["kind"], F.lit("input"))
+    return placed.select(key, section.alias("section"), (F.col("text_start") - F.col("from")).alias("start"), (F.col("text_end") - F.col("from")).alias("end"), "text_start", "text_end")
+
+
+def annotations(articles: DataFrame, values: DataFrame, homes: DataFrame, kinds: list[str], key: str = "article_id", most: int = 50) -> DataFrame:
+    """One row an article: its columns, an array of values for each of `kinds`, best first (the length of the report is `most`), and its sources' countries.
+
+    `values`: key, kind, value, relevance; ties go by value. `homes`: key, country (nulls are left out). Articles without any have empty arrays.
+    """
+    ranked = values.withColumn("place", F.row_number().over(Window.partitionBy(key, "kind").orderBy(F.desc("relevance"), "value"))).filter(F.col("place") <= most)
+    each = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "value")))), lambda x: x["value"]).alias(k) for k in kinds]
+    lists = ranked.groupBy(key).agg(*each)
+    where = homes.groupBy(key).agg(F.array_sort(F.collect_set("country")).alias("source_countries"))
+    out = articles.join(lists, key, "left").join(where, key, "left")
+    kind = dict(values.dtypes)["value"]
+    empty = {k: F.coalesce(k, F.array().cast(f"array<{kind}>")) for k in kinds}
+    return out.withColumns(empty | {"source_countries": F.coalesce("source_countries", F.array().cast(f"array<{dict(homes.dtypes)['country']}>"))})
+
+
+def latest_runs(runs: DataFrame, states: DataFrame, key: str = "article_id") -> DataFrame:
+    """The newest run of each processor of an article, and whether the article's annotations are of its present text.
+
+    `runs`: key, processor, run_id, started_at, status; `states`: key, processor, fresh. Ties go to the larger run.
+    """
+    newest = runs.groupBy(key, "processor").agg(F.max_by(F.struct("run_id", "started_at", "status"), F.struct("started_at", "run_id")).alias("r"))
+    return states.join(newest, [key, "processor"], "left").select(key, "processor", "fresh", "r.*")
+
+
+def country_spellings(lexicon: DataFrame, shown: DataFrame, ambiguous: list[str], short: dict[str, str]) -> DataFrame:
+    """(code, display, normalized, written): other spellings of each country, without ambiguous names and the display name itself.
+
+    `lexicon`: code, names (array, the first is the usual one); `shown`: code, display, where that reads oddly. `short`: aliases in lower case and
+    their codes, written in capitals up to three letters and with a capital first letter beyond. Of a name written in two ways the first is taken.
+    """
+    usual = F.trim(F.split_part(F.get("names", F.lit(0)), F.lit(","), F.lit(1)))
+    base = lexicon.join(shown.select("code", F.col("display").alias("odd")), "code", "left").withColumn("display", F.coalesce("odd", usual))
+    each = base.select("code", "display", F.posexplode("names").alias("place", "written")).withColumn("normalized", canonical(F.col("written")))
+    listed = each.filter(~F.lower("written").isin(*ambiguous)) if ambiguous else each
+    if short:
+        pairs = [F.struct(F.lit(k).alias("normalized"), F.lit(v).alias("code")) for k, v in short.items()]
+        extra = base.select("code", "display", F.explode(F.filter(F.array(*pairs), lambda p: p["code"] == F.col("code"))).alias("p"))
+        n = F.col("p.normalized")
+        listed = listed.unionByName(extra.select("code", "display", F.lit(2**31 - 1).alias("place"), F.when(F.length(n) <= 3, F.upper(n)).otherwise(F.initcap(n)).alias("written"), n.alias("normalized")))
+    first = listed.groupBy("code", "display", "normalized").agg(F.min_by("written", "place").alias("written"))
+    return first.filter(F.col("normalized") != F.lower("display")).select("code", "display", "normalized", "written")

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import initials, trigrams
 
+#: Fixed values of the duplicate rules: what each reason is worth, kinds that are places, and kinds that are mistaken for others.
+RULES = {"item name": 0.9, "same name, other type": 0.85, "acronym": 0.8, "initials": 0.8, "surname": 0.6, "similar spelling": 0.6}
+PLACES = ["GPE", "LOCATION"]
+LOOSE = ["ORG", "PRODUCT", "EVENT", "TOPIC", "OTHER"]
+
 
 def roots(entities: DataFrame) -> DataFrame:
     """entity_id -> root_id; a variant points at its root and never further."""
@@ -67,14 +72,103 @@ def same_initials(names: DataFrame, group: str = "kind") -> DataFrame:
     return long.join(short, [group, "key"]).select("a", "b")
 
 
-def suggestions(pairs: DataFrame, rejected: DataFrame, links: DataFrame, k: int = 100) -> DataFrame:
-    """Pairs (a, b, rule score) scored by the best rule plus .05 a shared article up to .2, rejected pairs left out; best first."""
-    open_ = pairs.join(rejected.select("a", "b"), ["a", "b"], "left_anti").groupBy("a", "b").agg(F.max("rule").alias("rule"))
+def rule_pairs(names: DataFrame, connectors: list[str]) -> DataFrame:
+    """(a, b, reason), a < b: names of one language that may be one entity: acronym, surname, initials, and the same name of another kind.
+
+    `names`: entity_id, language, kind, name (lower case). Every rule is a join on its key. Acronyms are the first letters of all words or of those that
+    are no `connectors`, and join kinds alike, or not places of which one is loose; surnames are of people, three letters or more;
+    initials are names of the same number of words of which one has words cut to their first letter and all others alike.
+    """
+    group = F.when(F.col("kind").isin(*PLACES), "PLACE").otherwise(F.col("kind"))
+    n = names.select("entity_id", "language", "name", group.alias("kind"), F.col("kind").alias("type"), F.filter(F.split(F.trim("name"), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("words"))
+    first = lambda w: F.array_join(F.transform(w, lambda x: F.left(x, F.lit(1))), "")
+    long, single = n.filter(F.size("words") >= 2), n.filter(F.size("words") == 1).withColumn("key", F.element_at("words", 1))
+    short = single.select("language", "key", F.col("entity_id").alias("b"), F.col("kind").alias("b_kind"))
+    kept = F.filter("words", lambda w: ~w.isin(*connectors)) if connectors else F.col("words")
+    keys = long.withColumn("key", F.explode(F.array_distinct(F.array(first(F.col("words")), first(kept))))).filter(F.length("key") >= 2)
+    loose = ~F.array_contains(F.array("kind", "b_kind"), "PLACE") & (F.col("kind").isin(*LOOSE) | F.col("b_kind").isin(*LOOSE))
+    acronym = keys.join(short, ["language", "key"]).filter((F.col("kind") == F.col("b_kind")) | loose).select(F.col("entity_id").alias("a"), "b", F.lit("acronym").alias("reason"))
+    last = F.element_at("words", -1)
+    people = long.filter((F.col("kind") == "PERSON") & (F.length(last) >= 3)).withColumn("key", last)
+    surname = people.join(short.filter("b_kind = 'PERSON'"), ["language", "key"]).select(F.col("entity_id").alias("a"), "b", F.lit("surname").alias("reason"))
+    shape = long.select("entity_id", "language", "kind", "words", first(F.col("words")).alias("shape"), last.alias("last"))
+    cut = shape.filter(F.exists("words", lambda w: F.length(w) == 1)).withColumnsRenamed({"entity_id": "b", "words": "b_words"})
+    met = shape.join(cut, ["language", "kind", "shape", "last"]).filter((F.col("entity_id") != F.col("b")) & (F.size("words") == F.size("b_words")))
+    fits = F.zip_with("words", "b_words", lambda w, x: (w == x) | ((F.length(x) == 1) & (F.length(w) > 1)))
+    initial = met.filter(F.forall(fits, lambda x: x) & (F.col("words") != F.col("b_words"))).select(F.col("entity_id").alias("a"), "b", F.lit("initials").alias("reason"))
+    twin = n.select("language", "name", F.col("entity_id").alias("b"), F.col("type").alias("b_type"))
+    same = n.join(twin, ["language", "name"]).filter("entity_id < b AND type <> b_type").select(F.col("entity_id").alias("a"), "b", F.lit("same name, other type").alias("reason"))
+    rows = acronym.unionByName(surname).unionByName(initial).unionByName(same)
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "reason").distinct()
+
+
+def item_pairs(names: DataFrame, links: DataFrame, item_names: DataFrame) -> DataFrame:
+    """(a, b, reason): roots named like a label or alias of the item that another root of the same kind is linked to.
+
+    `links`: entity_id, item; `item_names`: item, language, name (as names are held).
+    """
+    linked = links.join(names.select("entity_id", "kind"), "entity_id").join(item_names.select("item", "language", "name").distinct(), "item")
+    found = linked.select(F.col("entity_id").alias("root"), "kind", "language", "name").join(names, ["language", "kind", "name"]).filter("root <> entity_id")
+    return found.select(F.least("root", "entity_id").alias("a"), F.greatest("root", "entity_id").alias("b"), F.lit("item name").alias("reason")).distinct()
+
+
+def suggestions(pairs: DataFrame, rejected: DataFrame, links: DataFrame, names: DataFrame, linked: DataFrame | None = None, k: int | None = 100) -> DataFrame:
+    """Pairs (a, b, reason) as merges, best first: keep, drop, reasons, shared, score.
+
+    The score is the best reason's plus .05 a shared article up to .2, 1 at most. Left out: rejected pairs (a < b), and pairs linked to two different items
+    (`linked`: entity_id, item). The name with more articles is kept, then the longer, then the earlier in the alphabet, then the smaller id. Ties
+    of scores: more shared articles, then the kept name, then ids. `k` is the length of the report, None all.
+    """
+    open_ = pairs.join(rejected.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    if linked is not None:
+        i, j = (linked.select(F.col("entity_id").alias(x), F.col("item").alias(f"{x}_item")) for x in ("a", "b"))
+        open_ = open_.join(i, "a", "left").join(j, "b", "left").filter("a_item IS NULL OR b_item IS NULL OR a_item = b_item").drop("a_item", "b_item")
+    rule = F.lit(0.0)
+    for reason, value in RULES.items():
+        rule = F.when(F.col("reason") == reason, value).otherwise(rule)
+    open_ = open_.groupBy("a", "b").agg(F.max(rule).alias("rule"), F.array_sort(F.collect_set("reason")).alias("reasons"))
     mine = links.select("article_id", "entity_id").distinct()
     shared = open_.select("a", "b").join(mine.withColumnRenamed("entity_id", "a"), "a").join(mine.withColumnRenamed("entity_id", "b"), ["b", "article_id"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = open_.join(shared, ["a", "b"], "left").fillna(0, ["shared"])
-    score = F.least(F.lit(1.0), F.col("rule") + F.least(F.lit(0.2), 0.05 * F.col("shared")))
-    return out.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "a", "b").limit(k)
+    known = names.select("entity_id", "name").join(mine.groupBy("entity_id").agg(F.count("*").alias("articles")), "entity_id", "left").fillna(0, ["articles"])
+    side = lambda x: known.select(F.col("entity_id").alias(x), F.struct((-F.col("articles")).alias("n"), (-F.length("name")).alias("length"), F.col("name").alias("name"), F.col("entity_id").alias("id")).alias(f"{x}_rank"))
+    out = open_.join(shared, ["a", "b"], "left").fillna(0, ["shared"]).join(side("a"), "a").join(side("b"), "b")
+    score = F.round(F.least(F.lit(1.0), F.col("rule") + F.least(F.lit(0.2), 0.05 * F.col("shared"))), 4)
+    rows = out.select(F.least("a_rank", "b_rank").alias("x"), F.greatest("a_rank", "b_rank").alias("y"), "reasons", "shared", score.alias("score"))
+    rows = rows.select(F.col("x.id").alias("keep"), F.col("y.id").alias("drop"), "reasons", "shared", "score", F.col("x.name").alias("name"))
+    if k is not None:
+        rows = rows.orderBy(F.desc("score"), F.desc("shared"), "name", "keep", "drop").limit(k)
+    return rows.drop("name")
+
+
+def claim_name(names: DataFrame, claims: DataFrame, claimed: DataFrame, problems: DataFrame | None = None) -> DataFrame:
+    """What a root's claim of a name in all its kinds does: (root_id, entity_id, outcome, holder) for every other entity of that name.
+
+    `names`: entity_id, language, name, authority_id, ambiguous; `claims` (wanted): root_id, name, which must be the root's own or a variant's;
+    `claimed` (held): language, name, root_id. `problems`: entity_id, root_id, problem, merges that may not be (`merge_problems`). Outcomes: `merge`, `other_root`
+    (a variant elsewhere; `holder` is its root), the problem's name; and one row with a null entity for a refused claim: `not_a_root`, `ambiguous`, `not_own_name`, `taken`.
+    """
+    root = names.select(F.col("entity_id").alias("root_id"), "language", F.col("ambiguous").alias("r_ambiguous"), F.col("authority_id").alias("r_authority"))
+    own = names.select(F.coalesce("authority_id", "entity_id").alias("root_id"), "language", "name", F.lit(True).alias("own")).distinct()
+    held = claimed.select("language", "name", F.col("root_id").alias("holder"))
+    rows = claims.select("root_id", "name").distinct().join(root, "root_id", "left").join(own, ["root_id", "language", "name"], "left").join(held, ["language", "name"], "left")
+    why = F.when(F.col("language").isNull() | F.col("r_authority").isNotNull(), "not_a_root").when(F.col("r_ambiguous"), "ambiguous").when(F.col("own").isNull(), "not_own_name").when(F.col("holder") != F.col("root_id"), "taken")
+    judged = rows.withColumn("outcome", why)
+    refused = judged.filter("outcome IS NOT NULL").select("root_id", F.lit(None).cast(dict(names.dtypes)["entity_id"]).alias("entity_id"), "outcome", "holder")
+    found = judged.filter("outcome IS NULL").select("root_id", "language", "name").join(names.select("entity_id", "language", "name", "authority_id"), ["language", "name"])
+    found = found.filter((F.col("entity_id") != F.col("root_id")) & (F.col("authority_id").isNull() | (F.col("authority_id") != F.col("root_id"))))
+    if problems is None:
+        found = found.withColumn("problem", F.lit(None).cast("string"))
+    else:
+        found = found.join(problems.select("entity_id", "root_id", "problem"), ["entity_id", "root_id"], "left")
+    outcome = F.when(F.col("authority_id").isNotNull(), "other_root").otherwise(F.coalesce("problem", F.lit("merge")))
+    return refused.unionByName(found.select("root_id", "entity_id", outcome.alias("outcome"), F.col("authority_id").alias("holder")))
+
+
+def other_types(names: DataFrame) -> DataFrame:
+    """(root_id, entity_id): other shown roots spelled like one of a root's names, under another kind: what a claim would bring in."""
+    group = names.select(F.coalesce("authority_id", "entity_id").alias("root_id"), "language", "name").distinct()
+    open_ = names.filter("authority_id IS NULL AND NOT coalesce(hidden, false)").select("entity_id", "language", "name")
+    return group.join(open_, ["language", "name"]).filter("root_id <> entity_id").select("root_id", "entity_id").distinct()
 
 
 def reach(edges: DataFrame, starts: DataFrame, steps: int = 10) -> DataFrame:

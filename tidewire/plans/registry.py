@@ -261,8 +261,8 @@ def _features(spark, d):
     g AS (SELECT article_id, effective_at, list_filter(tokens, lambda x: x NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'is', 'that', 'for', 'it')) AS tokens, ents FROM f),
     s AS (SELECT target, other, 0.5 * CASE WHEN len(x.tokens) > 0 AND len(y.tokens) > 0 THEN len(list_intersect(x.tokens, y.tokens)) / (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens))) ELSE 0 END
         + 0.35 * CASE WHEN len(x.ents) > 0 AND len(y.ents) > 0 THEN len(list_intersect(x.ents, y.ents)) / (len(x.ents) + len(y.ents) - len(list_intersect(x.ents, y.ents))) ELSE 0 END
-        + 0.15 * greatest(0, 1 - abs(epoch(x.effective_at) - epoch(y.effective_at)) / 172800.0) AS score FROM pairs JOIN g x ON x.article_id = target JOIN g y ON y.article_id = other)
-    SELECT target, other, round(score, 9) AS score FROM s WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, other) = 1""")
+        + 0.15 * greatest(0, 1 - abs(epoch(x.effective_at) - epoch(y.effective_at)) / 172800.0) AS score, abs(epoch(x.effective_at) - epoch(y.effective_at)) AS apart FROM pairs JOIN g x ON x.article_id = target JOIN g y ON y.article_id = other)
+    SELECT target, other, round(score, 9) AS score FROM s WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, apart, other) = 1""")
 def _(spark, d):
     scored = clustering.score(_candidates(spark, d), _features(spark, d))
     return clustering.best_match(scored.withColumn("score", F.round("score", 9)))
@@ -570,4 +570,4 @@ def _(spark, d):
     days = streams.daily_counts(rows.withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("success")), "ts", ["status"])
     return streams.newest_version(spark, streams.run_to_table(days, "complete"))
 
-from . import annotation_queries, catalogue_queries, listing_queries, upkeep_queries  # noqa: E402, F401  add their queries
+from . import annotation_queries, catalogue_queries, listing_queries, story_queries, upkeep_queries  # noqa: E402, F401  add their queries
