@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
-from tidewire.operators import annotate, authority, catalogue, clustering, graph, ingest, monitors, ranking, timelines
+from tidewire.operators import annotate, authority, catalogue, clustering, events, graph, ingest, monitors, ranking, timelines
 from tidewire.sources import feeds
 from tidewire.streaming import streams
 
@@ -207,3 +207,78 @@ def test_rising_counts_follow_the_hours(spark):
     hours = spark.createDataFrame([(f"2024-01-{d:02d} 05:00:00", 1, 10 if d == 9 else 1) for d in range(1, 10)], "hour string, feed long, n long").withColumn("hour", F.col("hour").cast("timestamp"))
     last = streams.rising(hours, ["feed"]).orderBy(F.desc("hour")).first()
     assert (last["today"], last["before"]) == (10, 7)
+
+
+def test_assign_joins_merges_and_founds_stories(spark):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    targets = spark.createDataFrame([(1,), (2,), (3,), (4,), (12,)], "article_id long")
+    pairs = [(1, 10, 0.9, 0), (1, 20, 0.5, 0), (2, 30, 0.6, 5), (2, 31, 0.6, 9), (4, 40, 0.7, 0), (12, 20, 0.8, 0)]
+    matches = spark.createDataFrame(pairs, "target long, other long, score double, apart long")
+    members = spark.createDataFrame([(10, 100, 1.0), (11, 100, 1.0), (12, 100, 1.0), (20, 200, 1.0), (21, 200, 1.0), (40, 400, 1.0), (3, 400, 0.5), (31, 500, 1.0)], "article_id long, cluster_id long, score double")
+    stories = spark.createDataFrame([(100, at(2), 2), (200, at(1), 2), (400, at(1), 2), (500, at(1), 1)], "cluster_id long, created_at timestamp, articles long")
+    after, merged = clustering.assign(targets, matches, members, stories)
+    # 1 connects stories 100 and 200: equal sizes, the older stays; 12 leaves 100 for 200. 2 brings its nearer best match 30 into 500, whose member 31 it matched too. 3 has no match and leaves.
+    assert sorted(map(tuple, after.collect())) == [(1, 200, 0.9), (2, 500, 0.6), (4, 400, 0.7), (10, 200, 1.0), (11, 200, 1.0), (12, 200, 0.8), (20, 200, 1.0), (21, 200, 1.0), (30, 500, 0.6), (31, 500, 1.0), (40, 400, 1.0)]
+    assert [tuple(r) for r in merged.collect()] == [(100, 200)]
+    alone, none = clustering.assign(targets, matches.limit(0), members.limit(0), stories.limit(0))
+    assert alone.isEmpty() and none.isEmpty()
+
+
+def test_stream_of_articles_keeps_stories(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    row = lambda i, h, title, feed: (i, at(h), title, title.split(), [], [feed])
+    schema = "article_id long, effective_at timestamp, title_hash string, tokens array<string>, entities array<long>, feeds array<long>"
+    batches = [[row(1, 0, "a b", 1), row(2, 1, "c d", 2)], [row(3, 2, "a b", 3), row(4, 3, "c d", 2)], [row(5, 4, "a b", 4), row(6, 200, "a b", 5)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    table = None
+    for i in range(3):  # as `upsert` folds micro-batches
+        table = clustering.fold_articles(table, spark.read.schema(schema).parquet(f"{tmp_path}/in/{i}"))
+    # 2 and 4 are of one feed; 6 is too late; 1, 3 and 5 are one story, named by its smallest article
+    assert sorted((r.article_id, r.cluster_id) for r in table.collect()) == [(1, 1), (2, None), (3, 1), (4, None), (5, 1), (6, None)]
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    path = streams.upsert(stream, clustering.fold_articles, f"{tmp_path}/out")
+    got = {r.article_id: r.cluster_id for r in spark.read.parquet(path).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[1] == got[3] == got[5] is not None and got[2] is got[4] is got[6] is None
+
+
+def test_event_is_scored_without_the_story_itself(spark):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    schema = "event_id long, cluster_id long, first timestamp, last timestamp, country string, entities array<string>, tokens array<string>"
+    stories = spark.createDataFrame([(1, 1, at(1), at(9), "fr", ["x", "y"], ["a", "b"]), (1, 2, at(2), at(3), "de", ["x"], ["a"]), (1, 3, at(3), at(4), "de", ["z"], []), (2, 4, at(20), at(20), None, [], [])], schema)
+    without = {r.cluster_id: tuple(r)[2:] for r in events.facts_without(stories).collect()}
+    assert without == {1: (at(2), at(4), 2, "de"), 2: (at(1), at(9), 2, "de"), 3: (at(1), at(9), 2, "de")}
+    known = stories.groupBy("event_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.lit("de").alias("country"))
+    pairs = spark.createDataFrame([(1, 1), (2, 1), (4, 1), (4, 2)], "cluster_id long, event_id long")
+    weights = spark.createDataFrame([("x", 0.5)], "entity_id string, weight double")
+    got = {r.cluster_id: (r.time, round(r.entities, 4), r.title, r.location) for r in events.score_events(pairs, stories, known, weights).collect()}
+    assert got == {1: (1.0, round(0.5 / 1.5, 4), 0.5, 0.0), 2: (1.0, round(0.5 / 1.5, 4), 0.5, 1.0), 4: (0.0, 0.0, 0.0, 0.0)}
+
+
+def test_duplicate_rules_and_claims(spark):
+    rows = [(1, "en", "ORG", "bank of england"), (2, "en", "TOPIC", "boe"), (3, "en", "ORG", "be"), (4, "en", "PERSON", "donald j trump"), (5, "en", "PERSON", "d j trump"), (6, "en", "PERSON", "trump"), (7, "en", "GPE", "boe"), (8, "fr", "ORG", "boe"), (9, "en", "PERSON", "d john trump")]
+    names = spark.createDataFrame(rows, "entity_id long, language string, kind string, name string")
+    got = {tuple(r) for r in authority.rule_pairs(names, ["of"]).collect()}
+    assert got == {(1, 2, "acronym"), (1, 3, "acronym"), (4, 5, "initials"), (5, 9, "initials"), (4, 6, "surname"), (5, 6, "surname"), (6, 9, "surname"), (2, 7, "same name, other type")}
+    linked = spark.createDataFrame([(4, "q1"), (5, "q2"), (6, "q1")], "entity_id long, item string")
+    seen = spark.createDataFrame([(1, 4), (1, 6), (2, 6)], "article_id long, entity_id long")
+    item = authority.item_pairs(names, linked, spark.createDataFrame([("q1", "en", "trump"), ("q1", "en", "d john trump")], "item string, language string, name string"))
+    assert {tuple(r) for r in item.collect()} == {(4, 6, "item name"), (4, 9, "item name"), (6, 9, "item name")}
+    refused = spark.createDataFrame([(5, 9)], "a long, b long")
+    out = authority.suggestions(authority.rule_pairs(names, ["of"]).unionByName(item), refused, seen, names, linked).collect()
+    assert [(r.keep, r.drop, r.score) for r in out if 6 in (r.keep, r.drop)] == [(6, 4, 0.95), (6, 9, 0.9)] and not any({r.keep, r.drop} in ({4, 5}, {5, 6}, {5, 9}) for r in out)
+    held = names.withColumns({"authority_id": F.when(F.col("entity_id") == 7, 1).cast("long"), "ambiguous": F.col("entity_id") == 6})
+    claims = spark.createDataFrame([(2, "boe"), (6, "trump"), (3, "boe"), (7, "boe"), (1, "bank of england")], "root_id long, name string")
+    taken = spark.createDataFrame([("en", "bank of england", 3)], "language string, name string, root_id long")
+    assert {tuple(r) for r in authority.claim_name(held, claims, taken).collect()} == {(2, 7, "other_root", 1), (6, None, "ambiguous", None), (3, None, "not_own_name", None), (7, None, "not_a_root", None), (1, None, "taken", 3)}
+
+
+def test_places_and_spellings(spark):
+    docs = spark.createDataFrame([(1, [("title", "Oslo!"), ("text", "In oslo, Oslofjord. OSLO")]), (2, [("title", None), ("text", "")]), (3, [("a", "x y"), ("b", "z")])], "article_id long, sections array<struct<kind string, text string>>")
+    assert [tuple(r) for r in annotate.locate(docs, "oslo").orderBy("text_start").collect()] == [(1, "title", 0, 4, 0, 4), (1, "text", 3, 7, 9, 13), (1, "text", 20, 24, 26, 30)]
+    assert [tuple(r) for r in annotate.locate(docs, "y\nz").collect()] == [(3, "input", 2, 5, 2, 5)]
+    assert annotate.locate(docs, "").isEmpty()
+    lexicon = spark.createDataFrame([("US", ["United States of America, the", "U.S.A.", "States"]), ("TD", ["Chad"])], "code string, names array<string>")
+    shown = spark.createDataFrame([("US", "United States")], "code string, display string")
+    got = {tuple(r) for r in annotate.country_spellings(lexicon, shown, ["states"], {"us": "US", "america": "US"}).collect()}
+    assert got == {("US", "United States", "united states of america, the", "United States of America, the"), ("US", "United States", "usa", "U.S.A."), ("US", "United States", "us", "US"), ("US", "United States", "america", "America")}

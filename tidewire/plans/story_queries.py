@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import annotate, authority, clustering, events
 from ..sources import archive as A
-from .registry import _PAIRS, STOP_WORDS, _candidates, _features, query
+from .registry import _PAIRS, STOP_WORDS, query
 
 _STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
@@ -48,8 +48,9 @@ def _(spark, d):
     return scored.select("target", "other", F.round("score", 6).alias("score"))
 
 
-_LINKS = _PAIRS + """, fd AS (SELECT article_id, list(DISTINCT feed_id) AS feeds FROM members GROUP BY 1), f AS (SELECT a.article_id, effective_at, list_distinct(regexp_extract_all(lower(language || ' ' || cluster_id), '[0-9a-z]+')) AS tokens, coalesce(e, []) AS ents, coalesce(feeds, []) AS feeds
-        FROM articles a LEFT JOIN (SELECT article_id, list(DISTINCT entity_id) AS e FROM links GROUP BY 1) l USING (article_id) LEFT JOIN fd USING (article_id)),
+_HEADS = """, heads AS (SELECT a.*, language || ' ' || replace(country, '_', ' ') AS headline FROM articles a JOIN countries USING (article_id))"""
+_LINKS = _HEADS + _PAIRS.replace("FROM articles x JOIN articles y ON x.cluster_id = y.cluster_id", "FROM heads x JOIN heads y ON x.headline = y.headline") + """, fd AS (SELECT article_id, list(DISTINCT feed_id) AS feeds FROM members GROUP BY 1), f AS (SELECT a.article_id, effective_at, list_distinct(regexp_extract_all(lower(headline), '[0-9a-z]+')) AS tokens, coalesce(e, []) AS ents, coalesce(feeds, []) AS feeds
+        FROM heads a LEFT JOIN (SELECT article_id, list(DISTINCT entity_id) AS e FROM links GROUP BY 1) l USING (article_id) LEFT JOIN fd USING (article_id)),
     s AS (SELECT target, other, abs(epoch(x.effective_at) - epoch(y.effective_at)) AS apart, len(list_intersect(x.feeds, y.feeds)) AS same, len(list_intersect(x.tokens, y.tokens)) AS tk, len(x.tokens) + len(y.tokens) AS ts, len(list_intersect(x.ents, y.ents)) AS en, len(x.ents) + len(y.ents) AS es
         FROM pairs JOIN articles n ON n.article_id = target AND n.published_at IS NULL JOIN f x ON x.article_id = target JOIN f y ON y.article_id = other),
     g0 AS (SELECT target, other, apart, round(0.5 * coalesce(tk / nullif(ts - tk, 0), 0) + 0.35 * coalesce(en / nullif(es - en, 0), 0) + 0.15 * greatest(0, 1 - apart / 172800.0), 9) AS score FROM s WHERE same = 0),
@@ -66,13 +67,16 @@ _LINKS = _PAIRS + """, fd AS (SELECT article_id, list(DISTINCT feed_id) AS feeds
 
 
 def _assigned(spark, d):
-    """Articles without a date are the new ones; all others are in their stories. Stories are as old as their first article."""
-    every = A.articles(spark, d).select("article_id", "published_at", "effective_at", F.col("cluster_id").cast("long").alias("cluster_id")).withColumn("article_id", F.col("article_id").cast("long"))
+    """Articles without a date are the new ones; all others are in their stories. Headlines name the language and the country. Stories are as old as their first article."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    headline = F.concat_ws(" ", "language", F.regexp_replace("country", "_", " "))
+    every = A.articles(spark, d).join(A.countries(spark, d), "article_id").select(long("article_id"), "published_at", "effective_at", long("cluster_id"), C.title_hash(headline).alias("title_hash"), F.array_distinct(C.title_tokens(headline, [])).alias("tokens"))
     new, old = every.filter("published_at IS NULL"), every.filter("published_at IS NOT NULL")
-    pairs = _candidates(spark, d).join(new.select(F.col("article_id").alias("target")), "target", "left_semi")
-    scored = clustering.score(pairs, _features(spark, d).withColumn("tokens", F.array_distinct("tokens"))).withColumn("score", F.round("score", 9))
+    links = A.links(spark, d).withColumn("article_id", long("article_id"))
+    sets = links.groupBy("article_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+    features = every.join(sets, "article_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<long>")))
+    scored = clustering.score(clustering.candidates_by_rule(links, every, targets=new), features).withColumn("score", F.round("score", 9))
     matches = clustering.accepted(scored, every, A.members(spark, d))
-    matches = matches.withColumns({c: F.col(c).cast("long") for c in ("target", "other")})
     stories = old.groupBy("cluster_id").agg(F.min("effective_at").alias("created_at"), F.count("*").alias("articles"))
     return clustering.assign(new, matches, old.select("article_id", "cluster_id", F.lit(1.0).alias("score")), stories)
 
