@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
-from tidewire.operators import annotate, authority, catalogue, clustering, events, graph, ingest, monitors, ranking, timelines
-from tidewire.sources import feeds
+from tidewire.operators import annotate, authority, catalogue, clustering, events, graph, ingest, linking, monitors, ranking, timelines
+from tidewire.sources import feeds, lists
 from tidewire.streaming import streams
 
 
@@ -282,3 +282,49 @@ def test_places_and_spellings(spark):
     shown = spark.createDataFrame([("US", "United States")], "code string, display string")
     got = {tuple(r) for r in annotate.country_spellings(lexicon, shown, ["states"], {"us": "US", "america": "US"}).collect()}
     assert got == {("US", "United States", "united states of america, the", "United States of America, the"), ("US", "United States", "usa", "U.S.A."), ("US", "United States", "us", "US"), ("US", "United States", "america", "America")}
+
+
+def test_lists_and_authority_files(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("# words\nThe\n\nof\nthe\n")
+    (tmp_path / "lex.json").write_text('[{"code": "no", "names": ["Norway", null]}, {"code": "xx", "names": []}]')
+    stop = lists.read_stop_words(spark, f"{tmp_path}/stop.txt")
+    assert sorted(r.word for r in stop.collect()) == ["of", "the"]
+    assert [tuple(r) for r in lists.read_lexicon(spark, f"{tmp_path}/lex.json").collect()] == [("NO", ["Norway"])]
+    assert lists.version(stop).first() == lists.version(stop.orderBy(F.desc("word"))).first() != lists.version(stop.limit(0)).first()
+    schema = "entity_id long, language string, kind string, name string, authority_id long, preferred string, note string, hidden boolean, ambiguous boolean"
+    names = spark.createDataFrame([(1, "en", "ORG", "un", None, None, None, None, None), (2, "en", "ORG", "united nations", 1, None, None, None, None), (3, "en", "ORG", "fifa", None, None, None, None, None), (4, "en", "ORG", "who", None, None, "n", True, None)], schema)
+    ids = spark.createDataFrame([(1, "q", "q1")], "entity_id long, scheme string, value string")
+    claims = spark.createDataFrame([(1, "en", "un")], "root_id long, language string, name string")
+    out = lists.export_authority(names, ids, claims)
+    got = {r["name"]: (r.variants, r.ids, r.claims) for r in out.collect()}
+    assert got == {"un": ([("en", "ORG", "united nations")], [("q", "q1")], ["un"]), "who": (None, None, None)} and lists.export_authority(names, ids, claims, "fr").isEmpty()
+    out.write.json(f"{tmp_path}/file")
+    file = spark.read.json(f"{tmp_path}/file", schema=out.schema)
+    here = spark.createDataFrame([(7, "en", "ORG", "united nations", None, None, None, None, None), (8, "en", "ORG", "who", None, "WHO", None, None, None), (9, "en", "ORG", "fifa", None, None, None, None, None)], schema)
+    after, report = lists.import_authority(file, here)
+    assert {(r.id["name"], r.root["name"], r.preferred, r.note, r.hidden) for r in after.collect()} == {("un", "un", None, None, False), ("united nations", "un", None, None, False), ("who", "who", "WHO", "n", True), ("fifa", "fifa", None, None, False)}
+    assert {tuple(r) for r in report.collect()} == {("created", 1), ("linked", 1), ("unchanged", 1)}
+    elsewhere = spark.createDataFrame([(7, "en", "ORG", "united nations", 9, None, None, None, None), (9, "en", "ORG", "fifa", None, None, None, None, None)], schema)
+    assert {tuple(r) for r in lists.import_authority(file, elsewhere)[1].collect()} == {("created", 2), ("skipped", 1)}
+
+
+def test_item_names_and_states(spark):
+    labels = spark.createDataFrame([("q1", "fr", "Fifa", "alias", 0), ("q1", "en", "FIFA", "label", 0), ("q1", "en", "FIFA", "alias", 0), ("q1", "en", "The Federation", "alias", 1), ("q1", "xx", "F", "label", 0)], "item string, language string, name string, kind string, place int")
+    names = linking.item_names(labels, ["en", "fr"])
+    assert [(r.language, r["name"], r.kind) for r in names.orderBy("place").collect()] == [("en", "FIFA", "label"), ("en", "The Federation", "alias"), ("fr", "Fifa", "alias")]
+    entities = spark.createDataFrame([(1, "en", "ORG", "fifa", None), (2, "en", "ORG", "federation", None)], "entity_id long, language string, type string, name string, authority_id long")
+    states = linking.name_states(spark.createDataFrame([(1, "q1")], "entity_id long, item string"), names, entities)
+    assert {(r["name"], r.state, r.holder) for r in states.collect()} == {("FIFA", "this_entity", 1), ("The Federation", "other_entity", 2), ("Fifa", "absent", None)}
+    assert linking.names_to_add(states, states.limit(0)).isEmpty()
+    assert [tuple(r) for r in linking.names_to_add(states, states).collect()] == [(1, "fr", "Fifa")]
+
+
+def test_watches_do_not_announce_twice(spark):
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    watch = spark.createDataFrame([(1, at(8), at(2), 5, at(8))], "monitor_id long, eval_cursor_at timestamp, viewed_cursor_at timestamp, unseen int, notified_through timestamp")
+    back = monitors.apply_views(watch, spark.createDataFrame([(1, at(4))], "monitor_id long, viewed_at timestamp"))
+    assert (back.first().eval_cursor_at, back.first().unseen) == (at(4), 0)
+    matches = spark.createDataFrame([(1, i, i, at(h)) for i, h in enumerate((3, 6, 9))], "monitor_id long, article_id long, cluster_id long, enriched_at timestamp")
+    row = monitors.evaluate(matches, back, "2024-01-01 10:00:00").first()
+    assert (row.unseen_articles, row.new_articles, row.eval_cursor_at) == (2, 1, at(10))
+    assert monitors.evaluate(matches, back, "2024-01-01 02:00:00").first().eval_cursor_at == at(4)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .annotate import canonical
+
 #: What each reason adds to a candidate's score.
 LABEL, ALIAS, VARIANT, TYPE_FITS, TYPE_DIFFERS, KNOWN, KNOWN_AT = 0.6, 0.4, 0.2, 0.2, -0.4, 0.1, 400
 
@@ -41,3 +43,34 @@ def refresh(held: DataFrame, snapshot: DataFrame) -> DataFrame:
     rows = held.select("qid", F.col("revision").alias("old")).join(snapshot.select("qid", "revision", "redirect_to"), "qid", "left")
     state = F.when(F.col("revision").isNull(), "missing").when(F.col("redirect_to").isNotNull(), "redirected").when(F.col("revision") != F.col("old"), "changed").otherwise("same")
     return rows.select("qid", state.alias("state"), "redirect_to")
+
+
+def item_names(labels: DataFrame, languages: list[str]) -> DataFrame:
+    """(item, language, name, kind, place): an item's labels, then its aliases, in the order of the languages, each name of a language once.
+
+    `labels`: item, language, name, kind (label or alias), place among the aliases of a language.
+    """
+    order = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("language"))
+    rows = labels.filter(F.col("language").isin(*languages) & (F.col("name") != "")).withColumn("rank", F.struct((F.col("kind") != "label").alias("alias"), order.alias("language"), F.col("place").alias("place")))
+    first = rows.groupBy("item", "language", "name").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("item").orderBy("rank", "name")
+    return first.select("item", "language", "name", F.when(F.col("rank.alias"), "alias").otherwise("label").alias("kind"), F.row_number().over(w).alias("place"))
+
+
+def name_states(linked: DataFrame, names: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, language, name, kind, place, state, holder) for each name of the item that a root is linked to: absent, this_entity or other_entity.
+
+    `linked`: entity_id, item; `entities`: entity_id, language, type, name (as held), authority_id. A name is looked for under the root's type, by its key.
+    """
+    root = linked.join(entities.select("entity_id", "type"), "entity_id").join(names, "item").withColumn("key", canonical(F.col("name")))
+    held = entities.select("language", "type", F.col("name").alias("key"), F.coalesce("authority_id", "entity_id").alias("holder"))
+    rows = root.join(held, ["language", "type", "key"], "left")
+    state = F.when(F.col("holder").isNull(), "absent").when(F.col("holder") == F.col("entity_id"), "this_entity").otherwise("other_entity")
+    return rows.select("entity_id", "language", "name", "kind", "place", state.alias("state"), "holder")
+
+
+def names_to_add(states: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(entity_id, language, name): the absent labels, and those absent aliases that were chosen (entity_id, language, name)."""
+    wanted = chosen.select("entity_id", "language", "name").distinct().withColumn("chosen", F.lit(True))
+    rows = states.filter("state = 'absent'").join(wanted, ["entity_id", "language", "name"], "left")
+    return rows.filter((F.col("kind") == "label") | F.col("chosen")).select("entity_id", "language", "name").distinct()

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 
 def evaluate(matches: DataFrame, monitors: DataFrame, horizon: str) -> DataFrame:
     """Per watch: unseen articles and stories in (viewed, horizon], new ones in (cursor, horizon], latest match. A first run (null cursor)
-    is a baseline of zero. `matches`: monitor_id, article_id, cluster_id, enriched_at; running it again gives the same."""
+    is a baseline of zero. `matches`: monitor_id, article_id, cluster_id, enriched_at; running it again gives the same. Where watches have a
+    `notified_through`, what lies before it was announced and is not new again though a view took the cursor back; a cursor never goes back here."""
     h = F.lit(horizon).cast("timestamp")
     rows = monitors.join(matches.filter(F.col("enriched_at") <= h), "monitor_id", "left")
     started = F.col("eval_cursor_at").isNotNull()
     unseen = started & (F.col("enriched_at") > F.coalesce("viewed_cursor_at", "eval_cursor_at"))
-    fresh = started & (F.col("enriched_at") > F.col("eval_cursor_at"))
+    told = F.greatest("eval_cursor_at", "notified_through") if "notified_through" in monitors.columns else F.col("eval_cursor_at")
+    fresh = started & (F.col("enriched_at") > told)
     n = rows.groupBy("monitor_id").agg(
         F.count_distinct(F.when(unseen, F.col("article_id"))).alias("unseen_articles"), F.count_distinct(F.when(unseen, F.col("cluster_id"))).alias("unseen_stories"),
-        F.count_distinct(F.when(fresh, F.col("article_id"))).alias("new_articles"), F.max("enriched_at").alias("latest_match_at"),
+        F.count_distinct(F.when(fresh, F.col("article_id"))).alias("new_articles"), F.max("enriched_at").alias("latest_match_at"), F.max("eval_cursor_at").alias("cursor"),
     )
-    return n.withColumn("eval_cursor_at", h)
+    return n.withColumn("eval_cursor_at", F.greatest("cursor", h)).drop("cursor")
 
 
 def changes(matches: DataFrame, after: str, until: str, key: str, k: int = 10, shown: int = 3) -> DataFrame:
@@ -34,10 +36,12 @@ def changes(matches: DataFrame, after: str, until: str, key: str, k: int = 10, s
 
 
 def apply_views(monitors: DataFrame, views: DataFrame) -> DataFrame:
-    """Later view times move the viewed cursor on and zero the counts; earlier ones change nothing."""
+    """Later view times move the viewed cursor on and zero the counts; earlier ones change nothing. An evaluation cursor beyond the view, where watches have one, goes back to it, so that what came since is counted."""
     seen = views.groupBy("monitor_id").agg(F.max("viewed_at").alias("viewed_at"))
     rows = monitors.join(seen, "monitor_id", "left")
     on = F.col("viewed_at").isNotNull() & (F.col("viewed_cursor_at").isNull() | (F.col("viewed_at") > F.col("viewed_cursor_at")))
+    if "eval_cursor_at" in monitors.columns:
+        rows = rows.withColumn("eval_cursor_at", F.when(on & (F.col("eval_cursor_at") > F.col("viewed_at")), F.col("viewed_at")).otherwise(F.col("eval_cursor_at")))
     return rows.withColumn("unseen", F.when(on, 0).otherwise(F.col("unseen"))).withColumn("viewed_cursor_at", F.when(on, F.col("viewed_at")).otherwise(F.col("viewed_cursor_at"))).drop("viewed_at")
 
 
