@@ -29,7 +29,7 @@ from .common import U64, keyed, kind_of, mix, steps, task_caches, tidy
 
 MARK = "▁"
 #: Texts of about so many bytes share the lattices of their different words.
-SAMPLE_BYTES = 4 << 20
+SAMPLE_BYTES = 12 << 20
 #: A word with the spaces before it, but for the first, which every word has.
 WORDS = re.compile(" ( *[^ ]*)")
 

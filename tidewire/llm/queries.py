@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output
 
 
-def use_small_batches(spark: SparkSession) -> None:
+def use_small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Whole texts can be long: batches between the JVM and Python are bounded by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.encode(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model")).drop("ids")
+    docs = _docs(spark, sf_dir)
+    use_small_batches(spark, piece_sampling.SAMPLE_BYTES)
+    return piece_sampling.encode(docs, _tokenizer("piece_bpe_32k.model")).drop("ids")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
