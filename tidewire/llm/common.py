@@ -194,9 +194,9 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word `[^\\x20\\x09-\\x0D]+`; no word goes past its document."""
-    word = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offs: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each run of bytes that are not `blank` (words `[^\\x20\\x09-\\x0D]+`); no word goes past its document."""
+    word = ~blank[raw]
     if not len(raw):
         e = np.zeros(0, np.int64)
         return e, e, e

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output
+from . import exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output
 
 
 def use_small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
@@ -71,6 +71,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_docs(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +120,14 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
         g AS (SELECT node, min(root) AS group_id FROM r GROUP BY node)
         SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(g.group_id, c.class_id) AS group_id FROM c LEFT JOIN l ON l.a = c.class_id LEFT JOIN g ON g.node = c.class_id""",
+    "op13_lexical_search": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+        t AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM d SEMI JOIN b USING (term) GROUP BY 1, 2),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, docs),
+        i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))) AS impact FROM t JOIN w USING (term) JOIN n USING (doc_id), c),
+        s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM b JOIN i USING (term) GROUP BY 1, 2)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
