@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output
+from . import exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_output, vector_codes
 
 
 def use_small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
@@ -71,6 +72,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_docs(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -86,9 +92,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
     "op13_lexical_search": op13_lexical_search,
 }
 
+
+
+def _codes_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """The rounds of op11 one after another, over one row a vector and component."""
+    near = "SELECT vec_id, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM (SELECT v.vec_id, v.p, c.e, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS far FROM v JOIN {c} c USING (p, d) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+    steps = [
+        "k AS (SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"v AS MATERIALIZED (SELECT vec_id, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS d, floor(4096 * x::DOUBLE)::BIGINT AS x FROM (SELECT vec_id, len(embedding) AS n, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM k))",
+        f"c0 AS MATERIALIZED (SELECT p, d, e, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries}) USING (vec_id))",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(c=f'c{i}')})")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, d, e, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN (SELECT v.p, v.d, a.e, floor(sum(v.x)::BIGINT / count(*))::BIGINT AS x FROM v JOIN a{i} a USING (vec_id, p) GROUP BY 1, 2, 3) m USING (p, d, e))")
+    steps.append(f"f AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM ({near.format(c=f'c{rounds}')}) GROUP BY vec_id)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, d)) FROM c{rounds}) AS codebooks_sha256 FROM f JOIN k USING (vec_id)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -120,6 +144,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
         g AS (SELECT node, min(root) AS group_id FROM r GROUP BY node)
         SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(g.group_id, c.class_id) AS group_id FROM c LEFT JOIN l ON l.a = c.class_id LEFT JOIN g ON g.node = c.class_id""",
+    "op11_vector_codes": _codes_sql(),
     "op13_lexical_search": r"""
         WITH d AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
         b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
