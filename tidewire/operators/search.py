@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _kept
+from .skew import split_join
+
 WORD = r"([\p{L}\p{N}]+)"
 
 
@@ -77,7 +80,7 @@ def phrase(text: Column, words: list[str]) -> Column:
 def facets(docs: DataFrame, groups: dict[str, Column], k: int = 25, key: str = "article_id") -> DataFrame:
     """Values of each group by different articles in one pass: rows of all groups are counted together, then each is cut at `k`."""
     values = F.array(*[F.struct(F.lit(g).alias("facet"), F.array_distinct(F.transform(c, lambda x: x.cast("string"))).alias("v")) for g, c in groups.items()])
-    rows = docs.select(key, F.explode(values).alias("g")).select(key, "g.facet", F.explode("g.v").alias("value")).distinct()
+    rows = docs.select(key, F.explode(values).alias("g")).select(key, "g.facet", F.explode("g.v").alias("value"))
     n = rows.groupBy("facet", "value").agg(F.count("*").alias("articles"))
     w = Window.partitionBy("facet").orderBy(F.desc("articles"), "value")
     total = n.groupBy("facet").agg(F.count("*").alias("total"))
@@ -100,9 +103,10 @@ def related(posting: DataFrame, n_docs: int, articles: DataFrame, least: int = 5
     """
     if stop_words:
         posting = posting.filter(~F.col("term").isin(*stop_words))
+    posting = _kept(posting)  # read for the frequencies, the terms and the partners
     terms = distinctive(posting, n_docs, k, key=key)
     own = terms.join(articles.select(key), key, "left_semi").withColumnRenamed(key, "target")
-    met = own.join(posting.select(F.col(key).alias("other"), "term"), "term").filter(F.col("target") != F.col("other"))
+    met = split_join(own, posting.select(F.col(key).alias("other"), "term"), ["term"]).filter(F.col("target") != F.col("other"))
     found = met.groupBy("target", "other").agg(F.count("*").alias("shared"), F.round(F.sum("weight"), 6).alias("score")).filter(F.col("shared") >= least)
     if stories is not None:
         found = _other_stories(found, stories, key)
