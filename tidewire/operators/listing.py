@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import place_numbers
 from .search import same_element
 
 
@@ -32,13 +33,13 @@ def stories_of(links: DataFrame, condition: Column, k: int = 50) -> DataFrame:
 def story_members(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Per story its articles with their feeds and their place, newest first."""
     rows = members.groupBy(cluster, "article_id").agg(F.max("effective_at").alias("effective_at"), F.array_sort(F.collect_set("feed_id")).alias("feeds"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("effective_at"), "article_id")))
+    return place_numbers(rows, [cluster], [F.desc("effective_at"), F.col("article_id")])
 
 
 def event_stories(stories: DataFrame, scores: DataFrame) -> DataFrame:
     """Stories of events with the score and the signals that brought them there, largest score first; without one, last."""
     rows = stories.join(scores, "cluster_id", "left")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("score").desc_nulls_last(), "first", "cluster_id")))
+    return place_numbers(rows, ["event_id"], [F.col("score").desc_nulls_last(), F.col("first"), F.col("cluster_id")])
 
 
 def pick_by_name(rows: DataFrame, name: str, part: str) -> DataFrame:
@@ -54,8 +55,7 @@ def results(matches: DataFrame, monitors: DataFrame, horizon: str) -> DataFrame:
     since = F.coalesce("viewed_cursor_at", "eval_cursor_at")
     rows = matches.join(monitors.select("monitor_id", since.alias("since")), "monitor_id")
     rows = rows.filter((F.col("enriched_at") <= F.lit(horizon).cast("timestamp")) & (F.col("since").isNull() | (F.col("enriched_at") > F.col("since"))))
-    w = Window.partitionBy("monitor_id").orderBy(F.desc("enriched_at"), "article_id")
-    return rows.withColumn("place", F.row_number().over(w)).drop("since")
+    return place_numbers(rows.drop("since"), ["monitor_id"], [F.desc("enriched_at"), F.col("article_id")])
 
 
 def investigations(searches: DataFrame, monitors: DataFrame, by: str = "latest") -> DataFrame:
