@@ -26,16 +26,43 @@ def combine_rows(links: DataFrame, root_map: DataFrame) -> DataFrame:
     return out.withColumn("relevance", F.least(F.lit(1.0), F.col("occurrence_count") / 5.0))
 
 
-def merge_problems(requests: DataFrame, entities: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The first reason against each requested merge (source into target), or null."""
+def merge_problems(requests: DataFrame, entities: DataFrame, distinct: DataFrame, relations: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """The first reason against each requested merge (source into target), or null: self, already a variant (of it, or of another), a target that is one,
+    a pair marked as different, a see-also relation between them (`relations`: subject, object), different items (`items`: entity_id, item)."""
     e = entities.select("entity_id", "authority_id")
     rows = requests.join(e.withColumnsRenamed({"entity_id": "source", "authority_id": "source_root"}), "source", "left").join(e.withColumnsRenamed({"entity_id": "target", "authority_id": "target_root"}), "target", "left")
-    apart = distinct.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.lit(True).alias("apart")).distinct()
-    rows = rows.withColumn("lo", F.least("source", "target")).withColumn("hi", F.greatest("source", "target")).join(apart, ["lo", "hi"], "left")
+
+    def pairs(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        return df.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.lit(True).alias(name)).distinct()
+
+    rows = rows.withColumn("lo", F.least("source", "target")).withColumn("hi", F.greatest("source", "target")).join(pairs(distinct, "a", "b", "apart"), ["lo", "hi"], "left")
     why = F.when(F.col("source") == F.col("target"), "self").when(F.col("source_root").isNotNull(), "already_variant").when(F.col("target_root").isNotNull(), "target_is_variant").when(F.col("apart"), "distinct")
+    if relations is not None:
+        rows = rows.join(pairs(relations, "subject", "object", "linked"), ["lo", "hi"], "left")
+        why = why.when(F.col("linked"), "linked")
+    if items is not None:
+        one = items.groupBy("entity_id").agg(F.min("item").alias("item"))
+        for side in ("source", "target"):
+            rows = rows.join(one.select(F.col("entity_id").alias(side), F.col("item").alias(f"{side}_item")), side, "left")
+        why = why.when(F.col("source_item") != F.col("target_item"), "different items")
     return rows.select("source", "target", why.alias("problem"))
 
 
+def merge_changes(entities: DataFrame, merges: DataFrame, items: DataFrame) -> DataFrame:
+    """(entity_id, other_id, action, before, after): the history of merges: a root's own kind and "not a name" mark that it gives up as a variant, its item that
+    goes to the new root, and the merge. `entities`: entity_id, kind, preferred_kind, hidden; `merges`: source, target; `items`: entity_id, item."""
+    rows = merges.select(F.col("source").alias("entity_id"), F.col("target").alias("other_id")).join(entities.select("entity_id", "kind", "preferred_kind", "hidden"), "entity_id").join(items.select("entity_id", "item"), "entity_id", "left")
+    entry = lambda when, action, before, after, own="entity_id", other="other_id": F.when(when, F.struct(F.col(own).alias("entity_id"), (F.col(other) if other else F.lit(None).cast("long")).cast("long").alias("other_id"), F.lit(action).alias("action"), before.cast("string").alias("before"), after.cast("string").alias("after")))
+    none = F.lit(None)
+    each = F.array(
+        entry(F.col("item").isNotNull(), "item_linked", none, F.col("item"), "other_id", "entity_id"),
+        entry(F.col("preferred_kind").isNotNull(), "kind_changed", F.col("preferred_kind"), F.col("kind"), other=None),
+        entry(F.col("hidden"), "hidden_changed", F.lit("true"), F.lit("false"), other=None),
+        entry(F.lit(True), "merged", none, F.col("other_id")),
+    )
+    return rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("e.*")
+
+
 def apply_merges(entities: DataFrame, merges: DataFrame, steps: int = 10) -> DataFrame:
     """Variants re-rooted so that none points at another variant; chains of merges close in at most `steps` joins of doubling reach."""
     m = merges.select(F.col("source").alias("entity_id"), F.col("target").alias("to"))
