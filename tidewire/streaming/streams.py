@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import clustering, graph, monitors
 from ..session import shared_dir
 from ..shipping import ship
+from . import tables
 
 
 def read(spark: SparkSession, folder: str, schema, files: str = "*.parquet", files_a_batch: int = 1) -> DataFrame:
@@ -96,20 +98,50 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str) -> str:
-    """Each micro-batch folded into the newest version of a table. A batch that runs again writes the same version."""
+    """Each micro-batch folded into the newest version of a small table, which is written whole; versions before the last two are removed. A batch
+    that runs again writes the same version. `tables.BucketTable` rewrites only what a batch touches."""
     spark = stream.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
-        before = spark.read.parquet(f"{path}/v{n - 1}") if n else None
+        held = [v for v in tables.numbers(spark, path, "v") if v < n]
+        before = spark.read.parquet(f"{path}/v{held[-1]}") if held else None
         fold(before, batch).write.mode("overwrite").parquet(f"{path}/v{n}")
+        for v in held[:-1]:
+            tables.remove(spark, f"{path}/v{v}")
 
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    while last >= 0:
-        try:
-            spark.read.parquet(f"{path}/v{last}").schema
-            break
-        except Exception:  # the last progress may be of a batch without data
-            last -= 1
-    return f"{path}/v{last}"
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{path}/v{tables.numbers(spark, path, 'v')[-1]}"
+
+
+def keep_stories(stream: DataFrame, table: tables.BucketTable) -> None:
+    """Stories kept as articles arrive: `table` holds ARTICLES, keyed by article_id."""
+    table.fold(stream, lambda t, batch: clustering.article_changes(t.read(), batch))
+
+
+#: Columns of the table that `keep_stories` keeps, beside those of the stream.
+ARTICLES = "article_id long, effective_at timestamp, title_hash string, tokens array<string>, entities array<long>, feeds array<long>, cluster_id long, score double"
+MATCHES = "monitor_id long, article_id long, cluster_id long, enriched_at timestamp"
+WATCHES = "monitor_id long, eval_cursor_at timestamp, viewed_cursor_at timestamp, unseen_articles long, unseen_stories long, new_articles long, latest_match_at timestamp"
+
+
+def keep_watches(stream: DataFrame, matches: tables.BucketTable, watches: tables.BucketTable) -> None:
+    """Watches evaluated as matches arrive. Only the watches that a batch matches are counted again, over (cursor, newest match of the batch].
+
+    `matches` holds MATCHES, keyed by monitor_id and article_id, in buckets by monitor_id; `watches` holds WATCHES, keyed by monitor_id.
+    A batch may bring matches that are there already; a watch's first evaluation is a baseline.
+    """
+    def changes(table: tables.BucketTable, batch: DataFrame) -> DataFrame:
+        new = graph._kept(batch.select(*matches.schema.names).dropDuplicates(matches.keys))
+        n = (matches.versions() or [-1])[-1] + 1
+        told = graph._kept(new.join(matches.read(matches.touched(new)).select(*matches.keys), matches.keys, "left_anti"))
+        matches.apply(n, told)  # a batch that comes again finds its matches there
+        asked = new.select("monitor_id").distinct()
+        mine = table.read(table.touched(asked)).join(asked, "monitor_id", "left_semi").select("monitor_id", "eval_cursor_at", "viewed_cursor_at")
+        horizon = new.agg(F.max("enriched_at").cast("string")).first()[0]
+        if horizon is None:
+            return table.read().limit(0)
+        held = matches.read(matches.touched(asked)).join(asked, "monitor_id", "left_semi")
+        after = monitors.evaluate(held, mine, horizon)
+        return after.join(mine.select("monitor_id", "viewed_cursor_at"), "monitor_id").select(*table.schema.names)
+
+    watches.fold(stream, changes)
