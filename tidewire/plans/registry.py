@@ -476,11 +476,6 @@ def _(spark, d):
     return A.texts(spark, d).select("article_id", C.title_hash(F.col("title")).alias("title_hash"))
 
 
-@query("page_text")
-def _(spark, d):
-    return A.table(spark, d, "pages").select("page_id", C.main_text(F.col("html")).alias("text"))
-
-
 @query("page_links", """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
 def _(spark, d):
     return feeds.page_links(A.table(spark, d, "pages"))
@@ -570,4 +565,4 @@ def _(spark, d):
     days = streams.daily_counts(rows.withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("success")), "ts", ["status"])
     return streams.newest_version(spark, streams.run_to_table(days, "complete"))
 
-from . import annotation_queries, association_queries, catalogue_queries, listing_queries, relation_queries, story_queries, upkeep_queries  # noqa: E402, F401  add their queries
+from . import annotation_queries, association_queries, catalogue_queries, listing_queries, page_queries, relation_queries, story_queries, upkeep_queries  # noqa: E402, F401  add their queries
