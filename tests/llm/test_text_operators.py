@@ -99,6 +99,19 @@ def test_overfull_buckets_double_the_directory(spark):
     assert sum(a != b for a, b in zip(places, places[1:], strict=False)) == len(set(places)) - 1  # a bucket's slots are side by side
 
 
+def test_given_tables_split_buckets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    index, found, depth = exact_dedup.build_index(docs)
+    assert depth > 3 and found.select("bucket").distinct().count() > 8 and index.select("bucket").distinct().count() > 8
+    assert max(r["bucket_size"] for r in found.collect()) <= exact_dedup.LEAST_CAPACITY
+
+
+def test_directory_stops_at_its_largest_depth(spark):
+    keys = spark.range(500).select((F.col("id") * 16).alias("h"))  # the low bits are alike
+    found, depth = exact_dedup.directory(keys, 10, max_bits=6)
+    assert depth == 6 and sum({r["bucket"]: r["bucket_size"] for r in found.collect()}.values()) == 500
+
+
 def test_texts_of_one_hash_are_chained(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.length(c).cast("long") % 3)
     df = spark.createDataFrame([(i, f"text {i % 7}" * (i % 4)) for i in range(60)], "doc_id long, text string")
@@ -106,6 +119,9 @@ def test_texts_of_one_hash_are_chained(spark, monkeypatch):
     for i, x in held(df):
         by[x].append(i)
     same([tuple(r)[:3] for r in exact_dedup.groups(df, capacity=1).collect()], [(i, max(v), len(v)) for v in by.values() for i in v])
+    extra = df.withColumns({"keep_k": F.lit("clash"), "group_size": F.lit("clash"), "bucket": F.lit(0)})
+    same([r["doc_id"] for r in exact_dedup.keep_one(extra, capacity=1).collect()], [max(v) for v in by.values()])
+    assert exact_dedup.keep_one(extra).columns == extra.columns and exact_dedup.keep_one(extra).filter("keep_k = 'clash' AND group_size = 'clash'").count() == len(by)
     index, _, _ = exact_dedup.build_index(df, capacity=1)
     chains = defaultdict(list)
     for r in index.collect():
