@@ -70,10 +70,25 @@ def terms(docs: DataFrame, path: Column, k: int, subject: str = "article_id", wi
     return with_truncation(rows.groupBy("value").agg(F.count("*").alias("articles")), [F.desc("articles"), F.col("value")], k)
 
 
-def percentiles(rows: DataFrame, group: list[str], value: str, when: Column) -> DataFrame:
-    """Continuous median and 90th percentile of the values under a condition."""
+#: Rows of a group that one task's aggregate may hold.
+LARGEST = 1_000_000
+
+
+def percentiles(rows: DataFrame, group: list[str], value: str, when: Column, largest: int = LARGEST) -> DataFrame:
+    """Continuous median and 90th percentile of the values under a condition. Where a group has more than `largest` values none is held whole (`exact_quantiles`)."""
     v = F.when(when, F.col(value))
-    return rows.groupBy(*group).agg(F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.9)).alias("p90"))
+    shares = {"median": 0.5, "p90": 0.9}
+    sizes = rows.groupBy(*group).agg(F.count(v).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= largest:
+        return rows.groupBy(*group).agg(*[F.percentile(v, F.lit(p)).alias(name) for name, p in shares.items()])
+    from .quantiles import exact_quantiles
+
+    found = exact_quantiles(rows, group, v, shares)
+    names = [f"__{g}" for g in group]
+    same = F.lit(True)
+    for g, name in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(name))
+    return sizes.drop("n").join(found.withColumnsRenamed(dict(zip(group, names, strict=True))), same, "left").drop(*names)
 
 
 def map_totals(rows: DataFrame, column: str) -> DataFrame:
