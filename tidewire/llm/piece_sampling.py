@@ -62,34 +62,42 @@ class Lattice:
                 states.setdefault(p[:j], len(states))
         moves = sorted((states[p[:-1]] << 21 | ord(p[-1]), states[p]) for p in states if p)
         self.moves, self.goal = (np.array(x, np.int64) for x in zip(*moves, strict=True))
+        self.begin = np.zeros(1 + max(ord(p) for p in states if len(p) == 1), np.int64)  # the state after a first character
+        for p, i in states.items():
+            if len(p) == 1:
+                self.begin[ord(p)] = i
         self.piece = np.full(len(states), -1, np.int32)
         self.value = np.full(len(states), -np.inf)
         for p, (i, v) in weight.items():
             self.piece[states[p]], self.value[states[p]] = i, v
 
-    def edges(self, code: np.ndarray, word: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For characters of words one after another: each edge's first and last character, piece (-1: bytes) and log weight."""
-        at = np.arange(len(code))
-        state = np.zeros(len(code), np.int64)
-        end = stop[word]
+    def edges(self, code: np.ndarray, word: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[int]]:
+        """For characters of words one after another: each edge's first and last character, piece (-1: bytes) and log weight; and how many edges
+        there are of each length (those of bytes, of one character, last). Edges of one length are in the order of their characters."""
+        at = np.arange(len(code), dtype=np.int32)
+        end = stop.astype(np.int32)[word]
         out: list[tuple[np.ndarray, ...]] = []
         plain = np.ones(len(code), bool)
         step = 0
         while len(at):
-            key = state << 21 | code[at + step]
-            i = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
-            ok = self.moves[i] == key
-            at, state = at[ok], self.goal[i[ok]]
+            if step:
+                key = state << 21 | code[at + step]
+                i = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+                ok = self.moves[i] == key
+                at, state = at[ok], self.goal[i[ok]]
+            else:  # all characters take their first move
+                state = np.where(code < len(self.begin), self.begin[np.minimum(code, len(self.begin) - 1)], 0)
+                at, state = at[state > 0], state[state > 0]
             got = self.piece[state] >= 0
-            out.append((at[got], at[got] + step, self.piece[state[got]], self.value[state[got]]))
+            out.append((at[got], at[got] + np.int32(step), self.piece[state[got]], self.value[state[got]]))
             if step == 0:
                 plain[at[got]] = False
             step += 1
             more = at + step < end[at]
             at, state = at[more], state[more]
-        alone = np.flatnonzero(plain)  # no piece of this one character
+        alone = np.flatnonzero(plain).astype(np.int32)  # no piece of this one character
         out.append((alone, alone, np.full(len(alone), -1, np.int32), np.full(len(alone), self.byte_weight)))
-        return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+        return tuple(np.concatenate([x[i] for x in out]) for i in range(4)), [len(x[0]) for x in out]
 
     def filtered(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of different words: each word's first character and end, and for edges in the order of their last
@@ -100,13 +108,14 @@ class Lattice:
         stop = np.cumsum(size)
         start = stop - size
         word = np.repeat(np.arange(len(words)), size)
-        first, last, piece, value = self.edges(code, word, start, stop)
+        (first, last, piece, value), lengths = self.edges(code, word, start, stop)
         # alpha is kept relative to the place before the edge's word character by character: log domain, one level of first characters at a time
         alpha = np.full(len(code) + 1, -np.inf)
         before = np.where(np.arange(len(code)) == start[word], -1, np.arange(len(code)) - 1)
         depth = first - start[word[first]]
-        order = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+        deepest = int(depth.max())
+        order = np.argsort(depth.astype(np.uint16) if deepest < 1 << 16 else depth, kind="stable")  # by digits where 16 bits hold it
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=deepest + 1))])
         weight = np.empty(len(first))
         for d in range(len(bounds) - 1):
             e = order[bounds[d] : bounds[d + 1]]
@@ -114,7 +123,15 @@ class Lattice:
             w = np.where(come < 0, 0.0, alpha[come]) + value[e]
             weight[e] = w
             alpha[last[e]] = np.logaddexp(alpha[last[e]], w)  # edges of one depth of one word end at different characters
-        order = np.lexsort((first, last))
+        # By last character, then by first: of the edges that end at a character each length has one, and the longest begins first.
+        begins = np.cumsum(np.bincount(last, minlength=len(code)))
+        free = np.concatenate([[0], begins[:-1]])
+        order = np.empty(len(last), np.int64)
+        ends = np.cumsum(lengths)
+        for n, stop_at in sorted(zip(lengths, ends.tolist(), strict=True), key=lambda x: -x[1] if x[1] < ends[-1] else 0):
+            e = np.arange(stop_at - n, stop_at)
+            order[free[last[e]]] = e
+            free[last[e]] += 1
         first, last, piece = first[order], last[order], piece[order]
         share = np.exp(weight[order] - alpha[last])
         run = np.cumsum(share)
@@ -131,14 +148,15 @@ class Lattice:
             return []
         split = [WORDS.findall(" " + t) for t in texts]
         sizes = np.array([len(s) for s in split])
-        place: dict[str, int] = {}
-        which = np.array([place.setdefault(w, len(place)) for s in split for w in s])
-        words = list(place)
+        coded = pa.array([w for s in split for w in s], pa.large_string()).dictionary_encode()
+        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        del split, coded
         start, stop, drawn, first, piece = self.filtered(words)
         row = np.repeat(np.arange(len(texts)), sizes)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         key = mix(seeds[row] + mix(nth.astype(U64)))
-        occ = np.argsort(which, kind="stable")  # neighbours in memory are looked up together
+        near = which >> max(0, len(words).bit_length() - 16)
+        occ = np.argsort(near.astype(np.uint16), kind="stable")  # neighbours in memory are looked up together
         at, head = stop[which[occ]], start[which[occ]]
         n_taken = np.zeros(len(which), np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
