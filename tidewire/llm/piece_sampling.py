@@ -99,9 +99,17 @@ class Lattice:
         out.append((alone, alone, np.full(len(alone), -1, np.int32), np.full(len(alone), self.byte_weight)))
         return tuple(np.concatenate([x[i] for x in out]) for i in range(4)), [len(x[0]) for x in out]
 
-    def filtered(self, words: list[str]) -> tuple[np.ndarray, ...]:
+    def filtered(self, words: list[str], at_once: int = 1 << 15) -> tuple[np.ndarray, ...]:
         """Forward filtering of different words: each word's first character and end, and for edges in the order of their last
-        character: "drawn" (the last character's number plus the cumulative share among the edges that end there), first character, piece."""
+        character: "drawn" (the last character's number plus the cumulative share among the edges that end there), first character, piece.
+        `at_once` words are worked on at a time; their characters and edges are numbered on."""
+        parts, chars = [], 0
+        for i in range(0, len(words), at_once):
+            parts.append(self._filtered(words[i : i + at_once], chars))
+            chars = int(parts[-1][1][-1])
+        return tuple(np.concatenate([p[j] for p in parts]) for j in range(5))
+
+    def _filtered(self, words: list[str], offset: int) -> tuple[np.ndarray, ...]:
         marked = [MARK + (w.replace(MARK, "\0") if MARK in w else w).replace(" ", MARK) for w in words]
         code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64)
         size = np.array([len(w) for w in marked])
@@ -138,9 +146,10 @@ class Lattice:
         head = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         before_node = np.concatenate([[0.0], run])[head]
         n_edges = np.diff(np.append(head, len(last)))
+        last = last + np.int32(offset)
         drawn = last + np.minimum(run - np.repeat(before_node, n_edges), 1.0)
         drawn[np.append(head[1:], len(last)) - 1] = last[np.append(head[1:], len(last)) - 1] + 1.0
-        return start, stop, drawn, first, piece
+        return start + offset, stop + offset, drawn, first + np.int32(offset), piece
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of one sampled segmentation of each text; `seeds` are the rows' keys."""
