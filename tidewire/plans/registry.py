@@ -465,7 +465,14 @@ def _(spark, d):
 # ---------------------------------------------------------------- ingestion and text
 
 
-@query("article_dedup")
+_URLS = rf""", un AS (SELECT page_id AS seq, html, trim(url) AS u FROM pages),
+    up AS (SELECT seq, html, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(u, '^[^:]+://([^/?#:]*)', 1)) AS host, regexp_extract(u, '^[^:]+://[^/?#]*:(\d+)(?:[/?#]|$)', 1) AS port, regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ({", ".join(f"'{t}'" for t in C.TRACKING)}))), '&') AS query FROM un),
+    nu AS (SELECT seq, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS normalized_url
+        FROM up WHERE scheme IN ('http', 'https') AND host <> '')"""
+
+
+@query("article_dedup", _URLS + " SELECT normalized_url, min(seq) AS article_id, TIMESTAMP '2024-01-01' + to_hours(min(seq)) AS published_at, arg_max(title, seq) AS title, count(*) AS entries FROM nu GROUP BY 1")
 def _(spark, d):
     rows = A.entries(spark, d).withColumn("normalized_url", C.normalize_url(F.col("url")))
     return ingest.dedup_articles(rows.filter("normalized_url IS NOT NULL"))
@@ -501,7 +508,16 @@ def _(spark, d):
     return A.texts(spark, d).select("article_id", F.array_join(C.title_tokens(F.col("title"), STOP_WORDS), " ").alias("tokens"))
 
 
-@query("lede_terms")
+def _stem_sql(w: str) -> str:
+    """The three steps of `columns.stem` on the column `w`, as nested selects give it (a: without a plural, b: without a suffix)."""
+    bare = lambda x: f"CASE WHEN right({x}, 1) = left(right({x}, 2), 1) AND length({x}) > 1 AND right({x}, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') THEN left({x}, -1) ELSE {x} END"
+    plural = f"CASE WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN left({w}, -3) || 'y' WHEN {w} LIKE '%sses' THEN left({w}, -2) WHEN {w} LIKE '%s' AND NOT regexp_matches({w}, '(ss|us|is)$') AND length({w}) > 3 THEN left({w}, -1) ELSE {w} END"
+    suffix = f"CASE WHEN a LIKE '%ing' AND length(a) > 5 THEN {bare('left(a, -3)')} WHEN a LIKE '%ed' AND length(a) > 4 THEN {bare('left(a, -2)')} ELSE a END"
+    return f"SELECT article_id, CASE WHEN b LIKE '%e' AND length(b) > 3 THEN left(b, -1) ELSE b END AS term FROM (SELECT article_id, {suffix} AS b FROM (SELECT article_id, {plural} AS a FROM lw))"
+
+
+@query("lede_terms", rf""", lw AS (SELECT article_id, unnest(list_filter(regexp_extract_all(lower(text), '(\p{{L}}+)')[1:80], lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) AS w FROM texts), st AS ({_stem_sql("w")})
+    SELECT article_id, coalesce(terms, '') AS terms FROM texts LEFT JOIN (SELECT article_id, array_to_string(list_sort(list(DISTINCT left(term, 64))), ' ') AS terms FROM st GROUP BY 1) USING (article_id)""")
 def _(spark, d):
     return A.texts(spark, d).select("article_id", F.array_join(C.lede_terms(F.col("text"), STOP_WORDS), " ").alias("terms"))
 
@@ -553,7 +569,10 @@ def _(spark, d):
     return authority.merge_problems(wanted, p, p.filter(F.col("entity_id") % 10 == 0).select(F.col("entity_id").alias("a"), (F.col("entity_id") + 30).alias("b")))
 
 
-@query("similar_names")
+@query("similar_names", r""", nm AS (SELECT p_type AS kind, p_name || ' ' || p_brand AS name, min(p_partkey) AS entity_id FROM part GROUP BY 1, 2), ws AS (SELECT entity_id, kind, '  ' || w || ' ' AS w FROM (SELECT entity_id, kind, unnest(string_split_regex(lower(name), '[^\p{L}\p{N}]+')) AS w FROM nm) WHERE w <> ''),
+    gm AS MATERIALIZED (SELECT DISTINCT entity_id, kind, w[i:i + 2] AS gram FROM (SELECT entity_id, kind, w, unnest(generate_series(1, length(w) - 2)) AS i FROM ws)), n AS (SELECT entity_id, count(*) AS n FROM gm GROUP BY 1),
+    bo AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS c FROM gm x JOIN gm y ON x.kind = y.kind AND x.gram = y.gram AND x.entity_id < y.entity_id GROUP BY 1, 2)
+    SELECT a, b, round(c / (p.n + q.n - c), 6) AS similarity FROM bo JOIN n p ON p.entity_id = a JOIN n q ON q.entity_id = b WHERE c / (p.n + q.n - c) >= 0.8""")
 def _(spark, d):
     named = A.entities(spark, d).groupBy("kind", F.concat_ws(" ", "name", "brand").alias("name")).agg(F.min("entity_id").alias("entity_id"))
     return authority.similar_names(named, 0.8)
