@@ -584,4 +584,4 @@ def _(spark, d):
     days = streams.daily_counts(rows.withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("success")), "ts", ["status"])
     return streams.newest_version(spark, streams.run_to_table(days, "complete"))
 
-from . import annotation_queries, association_queries, catalogue_queries, growth_queries, list_queries, listing_queries, page_queries, relation_queries, story_queries, upkeep_queries  # noqa: E402, F401  add their queries
+from . import annotation_queries, association_queries, catalogue_queries, fulltext_queries, growth_queries, list_queries, listing_queries, page_queries, relation_queries, story_queries, upkeep_queries  # noqa: E402, F401  add their queries
