@@ -26,7 +26,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xF5] = True  # ASCII letters, and the first byte of any character past U+00BF
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_short_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_short_words", "n_bare_words")
 
 _c = F.col
 
@@ -42,6 +42,8 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "upper_case": (100 * _c("n_upper") > 40 * _c("n_letters"), 100 * _c("n_upper") <= 20 * _c("n_letters")),
         "letters": (100 * _c("n_letters") < 70 * _c("word_chars"), 100 * _c("n_letters") >= 85 * _c("word_chars")),
         "short_words": (100 * _c("n_short_words") < 5 * _c("n_words"), (100 * _c("n_short_words") >= 15 * _c("n_words")) & (100 * _c("n_short_words") <= 70 * _c("n_words"))),
+        "symbol_share": (100 * _c("n_symbols") > 5 * _c("word_chars"), 100 * _c("n_symbols") <= _c("word_chars")),
+        "bare_words": (100 * _c("n_bare_words") > 20 * _c("n_words"), 100 * _c("n_bare_words") <= 8 * _c("n_words")),
     }
 
 
@@ -71,6 +73,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words = np.bincount(doc, minlength=n)
             chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)])
             solid = _per_doc(((raw & 0xC0) != 0x80) & ~_SPACE[raw], offs)
+            letters = np.concatenate([[0], np.cumsum(_LETTER[raw], dtype=np.int64)])
+            bare = np.bincount(doc[letters[e] == letters[s]], minlength=n)  # words without a letter
             short = np.bincount(doc[chars[e] - chars[s] <= 3], minlength=n)
             # words in three-word windows found twice or more in their document
             h = span_hashes(raw, s, e)
@@ -92,7 +96,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct = np.unique(key, return_index=True)[1]
             lines = np.bincount(line_doc[full], minlength=n)
             dup = lines - np.bincount(line_doc[full][distinct], minlength=n)
-            cols = (n_words, solid, _per_doc(_SYMBOL[raw], offs), dup, repeat, lines, _per_doc(_LETTER[raw], offs), _per_doc(_UPPER[raw], offs), short)
+            cols = (n_words, solid, _per_doc(_SYMBOL[raw], offs), dup, repeat, lines, _per_doc(_LETTER[raw], offs), _per_doc(_UPPER[raw], offs), short, bare)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in cols)], ["doc_id", *COUNTS])
 
 
