@@ -519,7 +519,8 @@ def test_query_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     same([tuple(r) for r in got[sorted(got.columns)].values.tolist()], [tuple(r) for r in want[sorted(want.columns)].values.tolist()])
