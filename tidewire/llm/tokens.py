@@ -35,6 +35,8 @@ def byte_letters() -> dict[int, str]:
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 2 << 20
 _LETTERS = byte_letters()
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
 _ASCII_BLANK = np.zeros(256, bool)
 _ASCII_BLANK[[*range(9, 14), *range(28, 33)]] = True
 
@@ -130,7 +132,7 @@ class WordEncoder:
         self.plain = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")).findall  # the same for printable ASCII
         self.model = self.tokenizer.model
         self.units = Units(cache_bytes)
-        self.short: dict[str, list[int]] = {}  # marks and syllables, which end many units
+        self.short: dict[str, list[int]] = {}  # parts of units: marks, and words with other marks behind them
 
     def _parts(self, text: str) -> list[str]:
         if text.isascii() and text.isprintable():
@@ -159,7 +161,7 @@ class WordEncoder:
                 got = short.get(part)
                 if got is None:
                     got = [t.id for t in tokenize(part)]
-                    if len(part) < 4 and len(short) < 100_000:
+                    if len(short) < 200_000:
                         short[part] = got
                 ids += got
             ends.append(len(ids))
@@ -180,6 +182,8 @@ class WordEncoder:
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids begin (and the end)."""
         raw, offs = text_bytes(texts)
+        if not self.attached:  # these vocabularies are of lower case: words that differ in ASCII case alone are one unit
+            raw = _ASCII_LOWER[raw]
         start = self._starts(raw, offs)
         stop = np.append(start[1:], len(raw))
         found, at = [(np.zeros(0, np.uint16), np.zeros(0, np.int64))], 0
