@@ -1,7 +1,12 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tidewire.llm.common import written
+from tidewire.llm import sketch
+from tidewire.llm.common import keyed, written
 
 from .test_text_operators import SF, WORD, brute_links, held
 
@@ -52,3 +57,24 @@ def test_stages(spark):
 
     before, after = seen["packing"]
     assert {r["doc_id"] for r in after.collect()} == {i for i, _ in before}
+
+
+def test_waiting_workers_hold_no_broadcast_values(spark):
+    bits = spark.sparkContext.broadcast(np.full(1 << 13, 255, np.uint8))
+
+    def left(batches):
+        for b in sketch._pick(batches, 16, bits, True):
+            yield b
+        yield pa.RecordBatch.from_arrays([pa.array([int("_value" in vars(bits))]), pa.array([b""])], schema=b.schema)
+
+    rows = spark.range(8, numPartitions=2).select(F.lit(7).cast("long").alias("n"), F.unhex(F.md5(F.col("id").cast("string"))).alias("t"))
+    assert sorted(r["n"] for r in rows.mapInArrow(left, rows.schema).collect()) == [0, 0, *[7] * 8]
+
+
+def test_a_task_of_an_edit_takes_one_python_worker(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(2)
+    marks = written(keyed(docs).filter("k < 3").select("k", "t", F.array(F.lit(1)).alias("runs")), "few-marks")
+    found = sketch.edited(docs, marks, "runs", lambda text, runs: text + b"!")
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {i: f"text {i}" + "!" * (i < 3) for i in range(50)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

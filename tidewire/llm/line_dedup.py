@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     schema = f"doc_id {kind_of(docs, id_col)}, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
     marks = written(repeated_lines(rows, min_chars, **limits), "repeated-lines")
     hit, clear = sketch.split(rows, marks, lambda it: _dropped(it, min_chars), schema)
-    hit = hit.join(marks, ["k", "t"], "left").select("doc_id", "text", "keys")
+    hit = hit.join(sketch.shuffled(marks), ["k", "t"], "left").select("doc_id", "text", "keys")
     return hit.mapInArrow(lambda it: _dropped(it, min_chars), schema).unionByName(clear)
 
 

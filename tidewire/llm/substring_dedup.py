@@ -171,7 +171,7 @@ def _judged(rows: DataFrame, marks: DataFrame, window: int, kind: str) -> tuple[
     """The rows that may lose words, and the others."""
     schema = f"k {kind_of(rows)}, t binary, doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
     hit, clear = sketch.split(rows, marks, lambda it: _removed(it, window), schema)
-    return hit.join(marks, ["k", "t"], "left").mapInArrow(lambda it: _removed(it, window), schema), clear
+    return hit.join(sketch.shuffled(marks), ["k", "t"], "left").mapInArrow(lambda it: _removed(it, window), schema), clear
 
 
 def dedup_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
