@@ -208,6 +208,23 @@ def test_word_encoder_is_the_library(docs, name, attached):
         assert mine.encode(x).tolist() == whole.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,attached", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_are_one_unit_whatever_mark_stands_behind(name, attached):
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    mine = tokens.WordEncoder(path, attached)
+    words = ["plainword", "Élysée", "naïveté", "x"]
+    marks = [",", ".", "!!", "'s", "'sx", "=\u0338", "\u0338=", "7", "$\u00e9", "\u00d7,", "\u00f7)", "-b"]
+    for text in [" " + " ".join(w + m for m in marks for w in words), "".join(w + m for w in words for m in marks)]:
+        assert mine.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    mine.units.clear()
+    mine.encode(" plainword \u00e9t\u00e9 , . !! 's")
+    known = mine.units.n
+    mine.encode("".join(f" {w}{m}" for w in ("plainword", "\u00e9t\u00e9") for m in (",", ".", "!!", "'s")))
+    assert mine.units.n - known <= 4  # the marks without a space before them; not a unit for each word and mark
+
+
 def library(df, name, end):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
     whole.encode_special_tokens = True

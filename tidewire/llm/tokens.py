@@ -33,10 +33,15 @@ def byte_letters() -> dict[int, str]:
 
 
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 19
 _LETTERS = byte_letters()
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
+_ASCII_LOWER[[9, 10, 13]] = 32
+_LETTER, _MARK, _LATIN = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = ~_LETTER[33:127]
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True  # behind C3: the letters from U+00C0 to U+00FF
 _ASCII_BLANK = np.zeros(256, bool)
 _ASCII_BLANK[[*range(9, 14), *range(28, 33)]] = True
 
@@ -116,7 +121,8 @@ class WordEncoder:
     """Encodes texts to 16-bit ids. `attached`: a word keeps the one space before it, as in byte-level BPE; else white space is dropped.
 
     Units are cut in front of spaces (and line ends, where white space is dropped); with `attached` only where a character other than
-    white space comes before: no pre-token pattern reads past that. `cache_bytes` bounds what is held of the units.
+    white space comes before: no pre-token pattern reads past that. They are also cut between a Latin letter and an ASCII mark or digit
+    behind it, where a pre-token always ends, so that a word is one unit whatever stands behind it. `cache_bytes` bounds what is held of the units.
     """
 
     def __init__(self, path: str, attached: bool, cache_bytes: int = 128 << 20):
@@ -157,13 +163,17 @@ class WordEncoder:
         ids: list[int] = []
         ends = [0]
         for word in words:
-            for part in self._parts(word.decode()):
-                got = short.get(part)
-                if got is None:
-                    got = [t.id for t in tokenize(part)]
-                    if len(short) < 200_000:
-                        short[part] = got
-                ids += got
+            parts = self._parts(word.decode())
+            if len(parts) == 1:  # these are kept as units
+                ids += [t.id for t in tokenize(parts[0])]
+            else:
+                for part in parts:
+                    got = short.get(part)
+                    if got is None:
+                        got = [t.id for t in tokenize(part)]
+                        if len(short) < 50_000:
+                            short[part] = got
+                    ids += got
             ends.append(len(ids))
         return np.array(ids, np.uint16), np.diff(ends)
 
@@ -174,15 +184,16 @@ class WordEncoder:
             one[1:], two[2:] = raw[:-1], raw[:-2]
             # white space beyond ASCII ends in C2 85, C2 A0, or has 80, 81 or 9A for its second byte of three
             cut &= ~(_ASCII_BLANK[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | (two == 0x80) | (two == 0x81) | (two == 0x9A))
-        else:
-            cut |= raw == 0x0A
+        mark = _MARK[raw[1:]]
+        cut[1:] |= mark & _LETTER[raw[:-1]]
+        cut[2:] |= mark[1:] & _LATIN[raw[1:-1]] & (raw[:-2] == 0xC3)
         cut[offs[:-1][offs[:-1] < offs[1:]]] = True
         return np.flatnonzero(cut)
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids begin (and the end)."""
         raw, offs = text_bytes(texts)
-        if not self.attached:  # these vocabularies are of lower case: words that differ in ASCII case alone are one unit
+        if not self.attached:  # these vocabularies are of lower case and without white space: words that differ in ASCII case or by a line end alone are one unit
             raw = _ASCII_LOWER[raw]
         start = self._starts(raw, offs)
         stop = np.append(start[1:], len(raw))
@@ -202,7 +213,8 @@ class WordEncoder:
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
-            words = [raw[i:j].tobytes() for i, j in zip(start[miss[first]].tolist(), stop[miss[first]].tolist(), strict=True)]
+            text = raw.tobytes()
+            words = [text[i:j] for i, j in zip(start[miss[first]].tolist(), stop[miss[first]].tolist(), strict=True)]
             entry[miss] = units.add(new, words, *self._encode(words))[which]
         if (units.size[entry] == stop - start).all():
             other = units.bytes[np.repeat(units.at[entry] - start, stop - start) + np.arange(len(raw))] != raw
