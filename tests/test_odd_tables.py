@@ -1,5 +1,8 @@
 """Queries on small tables of odd rows, against their SQL."""
 
+import datetime
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -28,3 +31,10 @@ def test_word_places_one_mark_apart(spark, against_sql):
     texts = ["the", "say the the the", "THE-the,the.The", "the\nthe  the", "x the\nthe", "breathe the, the"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
     against_sql("word_places", documents=docs)
+
+
+def test_event_clusters_rounds_halves_as_sql(spark, against_sql):
+    orders = spark.createDataFrame([(k, k, datetime.datetime(1995, 1, k)) for k in range(1, 21)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").withColumns({"o_orderstatus": F.lit("O"), "o_totalprice": F.lit(1.0), "o_orderpriority": F.lit("1-URGENT")})
+    customers = spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey <= 20").withColumn("c_acctbal", F.element_at(F.array(*map(F.lit, [2885.5, 6456.5, -6113.5, 246.5, -0.5])), (F.col("c_custkey") % 5 + 1).cast("int")))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey <= 20")
+    against_sql("event_clusters", orders=orders, customer=customers, lineitem=lines)

@@ -64,8 +64,9 @@ _EVENTS = """, stories AS (SELECT cluster_id, cluster_id % 100 AS event_id, min(
 
 
 def _event_stories(spark, d):
+    """Scores are rounded to four places as SQL does, as a double times 10,000: Spark's `round` goes by the decimals of the shortest text instead."""
     stories = A.members(spark, d).groupBy("cluster_id").agg(F.min("effective_at").alias("first")).withColumn("event_id", F.col("cluster_id") % 100)
-    scores = A.table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("cluster_id"), F.round(F.col("c_acctbal") / 10000, 4).alias("score"))
+    scores = A.table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("cluster_id"), (F.round(F.col("c_acctbal") / 10000 * 10000) / 10000).alias("score"))
     return stories, scores
 
 
