@@ -112,3 +112,39 @@ def test_event_candidates_and_related_articles_with_a_heavy_key(spark, plain_shu
     docs = spark.createDataFrame([(i, f"common word{i % 9} term{i % 9} name{i % 9} place{i % 9} thing{i % 9}") for i in range(90)], "article_id long, text string")
     found = search.related(search.postings(docs, {"text": 1.0}), 90, docs.filter("article_id < 3"), least=5)
     assert {(r["target"], r["other"]) for r in found.collect()} == {(i, j) for i in range(3) for j in range(90) if i != j and i % 9 == j % 9}
+
+
+def stories_in_time(spark, seed, n=120):
+    rng = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda h: start + datetime.timedelta(hours=h)
+    rows = []
+    for i in range(n):
+        first = rng.randrange(3000)
+        rows.append((i, at(first), at(first + rng.choice([2, 50, 2500])), sorted({0, *(rng.randrange(9) for _ in range(rng.randrange(5)))}) if i % 11 else None))
+    return rows, spark.createDataFrame(rows, "cluster_id long, first timestamp, last timestamp, entities array<long>")
+
+
+def newest_by_a_loop(rows, most):
+    reach, want = datetime.timedelta(hours=72), set()
+    for i, first, last, items in rows:
+        near = [(-(z - datetime.datetime(2024, 1, 1)).total_seconds(), j, len(set(items) & set(x))) for j, a, z, x in rows if i != j and items and x and a - last <= reach and first - z <= reach and len(set(items) & set(x)) >= 2]
+        want |= {(i, j, n) for _, j, n in sorted(near)[:most]}
+    return want
+
+
+@pytest.mark.parametrize(("first_others", "most_cells"), [(4, 1 << 20), (4, 60), (16, 0), (1000, 1 << 20)])
+def test_newest_event_candidates_by_slabs(spark, monkeypatch, first_others, most_cells):
+    monkeypatch.setattr(events, "CAP", 7)
+    rows, facts = stories_in_time(spark, first_others)
+    got = events.candidates(facts, first_others=first_others, most_cells=most_cells)
+    assert sorted(map(tuple, got.collect())) == sorted(newest_by_a_loop(rows, 7))
+
+
+def test_stories_that_all_meet_make_no_pairs_of_all(spark, monkeypatch):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start, start + datetime.timedelta(hours=i), [1, 2, 3]) for i in range(700)]
+    facts = spark.createDataFrame(rows, "cluster_id long, first timestamp, last timestamp, entities array<long>")
+    monkeypatch.setattr(events, "_met", lambda *_: pytest.fail("all pairs are joined"))
+    got = events.candidates(facts.repartition(3)).collect()
+    assert {(r["target"], r["other"]) for r in got} == {(i, j) for i in range(700) for j in [j for j in range(699, 0, -1) if j != i][:50]}
