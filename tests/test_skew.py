@@ -148,3 +148,23 @@ def test_stories_that_all_meet_make_no_pairs_of_all(spark, monkeypatch):
     monkeypatch.setattr(events, "_met", lambda *_: pytest.fail("all pairs are joined"))
     got = events.candidates(facts.repartition(3)).collect()
     assert {(r["target"], r["other"]) for r in got} == {(i, j) for i in range(700) for j in [j for j in range(699, 0, -1) if j != i][:50]}
+
+
+def test_event_scores_with_and_without_a_broadcast(spark):
+    _, facts = stories_in_time(spark, 5)
+    facts = facts.withColumn("country", F.when(F.col("cluster_id") % 3 > 0, F.concat(F.lit("c"), (F.col("cluster_id") % 3).cast("string"))))
+    weights = spark.createDataFrame([(e, 1.0 / (e + 1)) for e in range(8)], "entity_id long, weight double")  # 8 has none
+    pairs = events.candidates(facts)
+    plain, shuffled = (sorted(map(tuple, events.score(pairs, facts, weights, most_cells=m).collect())) for m in (1 << 20, 0))
+    f = {r["cluster_id"]: r for r in facts.collect()}
+    w = {e: 1.0 / (e + 1) for e in range(8)}
+    want = []
+    for r in pairs.collect():
+        x, y = f[r["target"]], f[r["other"]]
+        a, b = ({e for e in s["entities"] if e in w} for s in (x, y))
+        gap = max((y["first"] - x["last"]).total_seconds(), (x["first"] - y["last"]).total_seconds(), 0)
+        both = sum(w[e] for e in a & b)
+        if a & b:
+            want.append((r["target"], r["other"], round(0.25 * max(0, 1 - gap / 259200) + 0.4 * both / (sum(w[e] for e in a | b)) + 0.15 * (x["country"] is not None and x["country"] == y["country"]), 6)))
+    assert plain == shuffled and [x[:2] for x in plain] == [x[:2] for x in sorted(want)]
+    assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(plain, sorted(want), strict=True))
