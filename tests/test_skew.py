@@ -168,3 +168,26 @@ def test_event_scores_with_and_without_a_broadcast(spark):
             want.append((r["target"], r["other"], round(0.25 * max(0, 1 - gap / 259200) + 0.4 * both / (sum(w[e] for e in a | b)) + 0.15 * (x["country"] is not None and x["country"] == y["country"]), 6)))
     assert plain == shuffled and [x[:2] for x in plain] == [x[:2] for x in sorted(want)]
     assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(plain, sorted(want), strict=True))
+
+
+def sent_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none, lists = context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util
+    stages = context._jsc.sc().statusStore().stageList(lists.ArrayList(), False, False, none, lists.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_stories_of_one_title_are_met_once_an_event(spark, plain_shuffles):
+    n, start = 1200, datetime.datetime(2024, 1, 1)
+    rows = [(i % 3, i, start, start, "c", [i, -i - 1], ["news", f"w{i % 4}" if i < n - 1 else "alone"]) for i in range(n)]
+    stories = spark.createDataFrame(rows, "event_id long, cluster_id long, first timestamp, last timestamp, country string, entities array<long>, tokens array<string>")
+    known = stories.groupBy("event_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("country").alias("country"))
+    pairs = stories.select("cluster_id").crossJoin(known.select("event_id"))
+    weights = spark.createDataFrame([(0, 1.0)], "entity_id long, weight double")
+    before = sent_rows(spark)
+    got = {(r["cluster_id"], r["event_id"]): (r["entities"], r["title"]) for r in events.score_events(pairs, stories, known, weights).collect()}
+    assert sent_rows(spark) - before < 300_000  # the pairs of stories are 1,440,000
+    assert len(got) == 3 * n and {x for x, _ in got.values()} == {0.0}
+    assert {k: t for k, (_, t) in got.items() if t < 1} == {(n - 1, e): 0.333333 for e in range(3)}
