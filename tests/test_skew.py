@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import clustering, events, overlap, search, skew
+from tidewire.operators import clustering, events, linking, overlap, search, skew
 
 
 @pytest.fixture()
@@ -191,3 +191,11 @@ def test_stories_of_one_title_are_met_once_an_event(spark, plain_shuffles):
     assert sent_rows(spark) - before < 300_000  # the pairs of stories are 1,440,000
     assert len(got) == 3 * n and {x for x, _ in got.values()} == {0.0}
     assert {k: t for k, (_, t) in got.items() if t < 1} == {(n - 1, e): 0.333333 for e in range(3)}
+
+
+def test_link_pairs_are_not_shuffled(spark, plain_shuffles):
+    n = spark.range(900).selectExpr("id AS entity_id", "'A' AS kind", "'l' AS home", "'l' AS language", "'x' AS folded")
+    l = spark.range(900).selectExpr("id AS qid", "'l' AS language", "'x' AS folded", "true AS is_label")
+    before = sent_rows(spark)
+    got = linking.score_candidates(n, l, spark.range(900).selectExpr("id AS qid", "'A' AS kind", "0 AS sitelinks"))
+    assert got.count() == 810_000 and sent_rows(spark) - before < 300_000

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .annotate import canonical
+from .skew import split_join
 
 #: What each reason adds to a candidate's score.
 LABEL, ALIAS, VARIANT, TYPE_FITS, TYPE_DIFFERS, KNOWN, KNOWN_AT = 0.6, 0.4, 0.2, 0.2, -0.4, 0.1, 400
@@ -15,13 +16,27 @@ def score_candidates(names: DataFrame, labels: DataFrame, items: DataFrame) -> D
     """(entity_id, qid, score, label_match, type_match) of items whose label or alias is one of a root's names.
 
     `names`: entity_id, kind, home (the root's language), language, folded. `labels`: qid, language, folded, is_label. `items`: qid, kind, sitelinks.
-    The join is on language and name together, so all candidates of a name meet once.
+    The join is on language and name together. Each side brings all its names along, so a pair is scored where it first meets, by the least name
+    in common, and the pairs themselves are not shuffled. A name that many roots and items have is split (`split_join`).
     """
-    met = names.join(labels, ["language", "folded"])
+    key = F.struct("language", "folded")
     own = F.col("language") == F.col("home")
-    g = met.groupBy("entity_id", "kind", "qid").agg(F.bool_or(own & F.col("is_label")).alias("label_match"), F.bool_or(own & ~F.col("is_label")).alias("alias"), F.bool_or(~own & F.col("is_label")).alias("variant"))
-    g = g.filter(F.col("label_match") | F.col("alias") | F.col("variant"))
-    rows = g.join(items.select("qid", F.col("kind").alias("item_kind"), "sitelinks"), "qid")
+    roots = names.dropna(subset=["language", "folded"]).groupBy("entity_id", "kind").agg(F.collect_set(F.struct(key.alias("key"), own.alias("own"))).alias("root_names"))
+    held = labels.dropna(subset=["language", "folded"]).groupBy("qid").agg(F.collect_set(F.struct(key.alias("key"), "is_label")).alias("item_names"))
+    held = held.join(items.select("qid", F.col("kind").alias("item_kind"), "sitelinks"), "qid")
+    of = lambda rows, bag: rows.withColumn("k", F.explode(F.array_distinct(F.transform(bag, lambda n: n["key"])))).select(*rows.columns, "k.*")
+    met = split_join(of(roots, "root_names"), of(held, "item_names"), ["language", "folded"])
+    one = (F.size("root_names") == 1) & (F.size("item_names") == 1)
+    least = F.array_min(F.array_intersect(F.transform("root_names", lambda n: n["key"]), F.transform("item_names", lambda n: n["key"])))
+    met = met.filter(one | (least == key))
+
+    def has(test) -> Column:
+        """Whether a name of the root and one of the item are the same and fit `test` (own language, label)."""
+        each = F.exists("root_names", lambda r: F.exists("item_names", lambda i: (r["key"] == i["key"]) & test(r["own"], i["is_label"])))
+        return F.coalesce(F.when(one, test(F.get("root_names", F.lit(0))["own"], F.get("item_names", F.lit(0))["is_label"])).otherwise(each), F.lit(False))
+
+    g = met.withColumns({"label_match": has(lambda o, x: o & x), "alias": has(lambda o, x: o & ~x), "variant": has(lambda o, x: ~o & x)})
+    rows = g.filter(F.col("label_match") | F.col("alias") | F.col("variant"))
     fits = F.col("kind") == F.col("item_kind")
     score = F.when(F.col("label_match"), LABEL).when(F.col("alias"), ALIAS).otherwise(0.0) + F.when(F.col("variant"), VARIANT).otherwise(0.0) + F.when(fits, TYPE_FITS).when(~fits, TYPE_DIFFERS).otherwise(0.0)
     score = score + F.when(F.col("sitelinks") > 0, KNOWN * F.least(F.lit(1.0), F.log1p("sitelinks") / F.log1p(F.lit(KNOWN_AT)))).otherwise(0.0)
