@@ -193,6 +193,23 @@ def test_stories_of_one_title_are_met_once_an_event(spark, plain_shuffles):
     assert {k: t for k, (_, t) in got.items() if t < 1} == {(n - 1, e): 0.333333 for e in range(3)}
 
 
+def test_link_candidates_of_many_names_are_scored_where_they_meet(spark, plain_shuffles):
+    rng = random.Random(4)
+    tongue, kinds = ["l0", "l1", "l2", None], ["A", "B", None]
+    roots = [(i, rng.choice(kinds), rng.choice(tongue)) for i in range(60)]
+    names = [(i, k, h, rng.choice(tongue), rng.choice(["x", "y", "z", None])) for i, k, h in roots for _ in range(rng.randrange(1, 4))]
+    labels = [(q, rng.choice(tongue), rng.choice(["x", "y", "z", None]), rng.choice([True, False, None])) for q in range(60) for _ in range(rng.randrange(1, 4))]
+    items = [(q, rng.choice(kinds), rng.choice([0, 5, 900])) for q in range(55)]
+    n, l, i = (spark.createDataFrame(*x) for x in ((names, "entity_id long, kind string, home string, language string, folded string"), (labels, "qid long, language string, folded string, is_label boolean"), (items, "qid long, kind string, sitelinks long")))
+    for x, name in ((n, "names"), (l, "labels"), (i, "items")):
+        x.createOrReplaceTempView(f"t_{name}")
+    want = spark.sql("""SELECT g.*, g_kind = t.kind AS fits FROM (SELECT entity_id, t_names.kind AS g_kind, qid, coalesce(bool_or(language = home AND is_label), false) AS label, coalesce(bool_or(language = home AND NOT is_label), false) AS alias, coalesce(bool_or(language <> home AND is_label), false) AS variant
+        FROM t_names JOIN t_labels USING (language, folded) GROUP BY 1, 2, 3) g JOIN t_items t USING (qid) WHERE label OR alias OR variant""").collect()
+    got = linking.score_candidates(n, l, i).collect()
+    assert sorted((r["entity_id"], r["qid"], r["label_match"], str(r["type_match"])) for r in got) == sorted((r["entity_id"], r["qid"], r["label"], str(r["fits"])) for r in want)
+    assert len(got) > 150
+
+
 def test_link_pairs_are_not_shuffled(spark, plain_shuffles):
     n = spark.range(900).selectExpr("id AS entity_id", "'A' AS kind", "'l' AS home", "'l' AS language", "'x' AS folded")
     l = spark.range(900).selectExpr("id AS qid", "'l' AS language", "'x' AS folded", "true AS is_label")
