@@ -216,3 +216,26 @@ def test_link_pairs_are_not_shuffled(spark, plain_shuffles):
     before = sent_rows(spark)
     got = linking.score_candidates(n, l, spark.range(900).selectExpr("id AS qid", "'A' AS kind", "0 AS sitelinks"))
     assert got.count() == 810_000 and sent_rows(spark) - before < 300_000
+
+
+@pytest.mark.parametrize("most_terms", [0, 1 << 20])
+def test_related_articles_with_and_without_a_broadcast(spark, most_terms):
+    rng = random.Random(7)
+    texts = [" ".join(f"word{rng.randrange(25)}" for _ in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "article_id long, text string")
+    got = search.related(search.postings(docs, {"text": 1.0}), 60, docs.filter("article_id < 9"), k=10, most_terms=most_terms)
+    whole = search.distinctive(search.postings(docs, {"text": 1.0}), 60, 10).filter("article_id < 9").collect()
+    want = {}
+    for r in whole:
+        for j, x in enumerate(texts):
+            if j != r["article_id"] and r["term"] in x.split():
+                want.setdefault((r["article_id"], j), []).append(r["weight"])
+    found, want = {(r["target"], r["other"]): (r["shared"], r["score"]) for r in got.collect()}, {p: (len(w), sum(w)) for p, w in want.items() if len(w) >= 5}
+    assert found.keys() == want.keys() and all(found[p][0] == n and abs(found[p][1] - s) < 2e-6 for p, (n, s) in want.items())
+
+
+def test_articles_that_share_too_little_make_no_pairs(spark, plain_shuffles):
+    docs = spark.range(500).selectExpr("id AS article_id", "concat('alpha beta gamma delta own', id) AS text")
+    posting, before = search.postings(docs, {"text": 1.0}), sent_rows(spark)
+    found = search.related(posting, 500, docs.filter("article_id < 300"), least=5)
+    assert found.count() == 0 and sent_rows(spark) - before < 40_000  # 300 x 499 pairs share four words
